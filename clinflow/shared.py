@@ -29,16 +29,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, share: float = HOT_SHARE) -> DataFrame:
     """Left join of rows with table, which has one row per key and a column `weight` (its rows in `rows`).
 
-    Keys with at least HOT_SHARE of the total weight, at most 1 / HOT_SHARE of them, are joined by
+    Keys with at least `share` of the total weight, at most 1 / share of them, are joined by
     broadcast, so that no task gets a hot key's rows; all other keys by an ordinary shuffled join.
     Rows without a partner keep nulls. `rows` and `table` are each read more than once: materialise them.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = table.where(F.col(weight) >= F.lit(max(1.0, HOT_SHARE * total)))
-    cold = table.where(F.col(weight) < F.lit(max(1.0, HOT_SHARE * total)))
+    hot = table.where(F.col(weight) >= F.lit(max(1.0, share * total)))
+    cold = table.where(F.col(weight) < F.lit(max(1.0, share * total)))
     values = [c for c in table.columns if c not in keys]
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     on = same[0]
