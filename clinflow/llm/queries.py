@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinflow.llm import exact_dedup, quality_rules, secrets, toxicity
+import public_tokenizers
+from clinflow.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,74 @@ def _fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer() -> str:
+    """Path of the byte-level BPE file, which every machine has."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), _fold() == 1, tokenizer())
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (poor), 1 (sound but toxic), 2 (sound); kept: sound is likelier than not."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grades = labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    known = docs.select("doc_id", "text").where(_fold() != 0).join(grades, "doc_id")
+    got = quality_classifier.grade(docs, quality_classifier.learn(known, 3))
+    return got.select("doc_id", (_fold() == 0).alias("held_out"), "expected_grade", F.col("tails")[0].alias("p_above_0"), F.col("tails")[1].alias("p_above_1"), (F.col("tails")[0] >= 0.5).alias("kept"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document appears when no source is repeated more than twice as often as another."""
+    plan = mixing.plan(_table(spark, sf_dir, "documents"), repetition=2.0, budget="cover")
+    return plan.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), "tokens", "weight", "passes", "copies", "block", F.col("part").alias("rank"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after the first mail address and the first run of nine or more digits are redacted."""
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    edit = lambda pattern, mark, found: F.when(
+        found != "", F.struct((F.instr(text, found) - 1).cast("long").alias("start_at"), (F.instr(text, found) - 1 + F.length(found)).cast("long").alias("end_at"), F.lit(mark).alias("replacement"))
+    )
+    mail = F.regexp_extract(text, MAIL, 0)
+    digits = F.regexp_extract(text, DIGITS, 0)
+    edits = F.array_compact(F.array(edit(MAIL, "<mail>", mail), edit(DIGITS, "<number>", digits)))
+    # the later edit first, so that both offsets are those of the text as it was
+    plan = F.reverse(F.array_sort(F.transform(edits, lambda e: e)))
+    got = token_counts.count_planned(docs, plan, tokenizer())
+    return got.select("doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded_chars", F.sha2("text_after", 256).alias("after_sha256"))
+
+
+#: What the edits of op6 look for. A run of digits and an address cannot overlap: the run has no @ beside it.
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+DIGITS = r"(?<![0-9A-Za-z._%+@-])[0-9]{9,}(?![0-9A-Za-z._%+@-])"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of docs in windows, with a checksum for the ids."""
+    got = packing.pack(docs, tokenizer())
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    """Learnt from the labelled documents outside fold 0."""
     known = docs.select("doc_id", "text").where(_fold() != 0).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
-    got = toxicity.score(docs, toxicity.learn(known))
+    return toxicity.learn(known)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    got = toxicity.score(docs, toxic_lexicon(docs, labels))
     return got.select("doc_id", (_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -46,8 +111,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_mixing": op3_mixing,
+    "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_secret_scans": op7_secret_scans,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
