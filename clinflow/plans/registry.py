@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from clinflow.plans import cohort_queries, evaluation_queries, table_queries
+
 FLAGSHIP = "landmark_risk_set"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = table_queries.QUERIES | cohort_queries.QUERIES | evaluation_queries.QUERIES
+ORACLE_SQL = table_queries.ORACLE_SQL | cohort_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL
