@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from clinflow.llm.pieces import PieceEncoder, as_bytes, groups
+from clinflow.llm import pieces
+from clinflow.llm.pieces import as_bytes, groups
 
 #: Tokens of a window, open windows of a partition, the id that ends each document.
 WINDOW, OPEN, END_ID = 1024, 32, 0
@@ -85,16 +86,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("_id", to_arrow_type(id_type)), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = pieces.encoder(tokenizer)
         part = TaskContext.get().partitionId() << 36
         tokens: dict[int, tuple[object, np.ndarray]] = {}  # of documents with pieces in open windows
         out: list[list] = [[] for _ in schema]
         count = 0
 
-        def emit(pieces: list[tuple[int, int, int]]) -> None:
+        def emit(held: list[tuple[int, int, int]]) -> None:
             nonlocal count
             offset = 0
-            for doc, start, n in pieces:
+            for doc, start, n in held:
                 key, ids = tokens[doc]
                 for column, value in zip(out, (key, start, n, ids[start : start + n].tobytes(), len(ids), part + count, offset), strict=True):
                     column.append(value)

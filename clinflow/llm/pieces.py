@@ -8,19 +8,25 @@ those of encoding each whole text.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Pieces longer than this are not remembered; beyond MOST pieces the memory starts anew.
-LONG, MOST = 48, 300_000
+LONG, MOST = 48, 500_000
 #: A batch's texts are handled in groups of about so many bytes.
 GROUP = 4_000_000
 _ODD_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _BEFORE = np.zeros(256, bool)
 _BEFORE[0x21:0x7F] = True
 _BEFORE[0x80:] = True
+#: Bytes after which a joined piece may begin: the printable ASCII ones.
+_INNER = [0x21 <= b <= 0x7E for b in range(256)]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -51,46 +57,83 @@ def groups(offsets: np.ndarray, most: int = GROUP) -> list[tuple[int, int]]:
     return out
 
 
+def _byte_ranks(tokenizer: Tokenizer) -> dict[bytes, int]:
+    """The vocabulary as bytes. Byte-level files write a byte that is no printable Latin-1 character as the next free code point from 256 on."""
+    printable = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    return {bytes(of[c] for c in word): i for word, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in of for c in word)}
+
+
+#: Fixed value: how byte-level files of this kind divide a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """The process's encoder for a tokenizer file; what it remembers serves all tasks of the process."""
+    return PieceEncoder(path)
+
+
 class PieceEncoder:
-    """Encodes texts with the tokenizer file at `path`."""
+    """Encodes texts with the byte-level tokenizer file at `path`.
+
+    Unknown pieces are joined and merged in one call; as every joined piece begins at a safe cut, the ids fall
+    apart at the pieces' bounds. Pieces at a text's bounds go through the tokenizer one by one.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ranks = _byte_ranks(self.tokenizer)
+        ranks = {b: i for b, i in ranks.items() if len(b) == 1 or not b.startswith(b"<|")}
+        self.joined = tiktoken.Encoding("joined", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for b, i in ranks.items():
+            self.bytes_of[i] = len(b)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.first, self.size = np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
         self.rows = 0
 
+    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Adds rows; the first one's number."""
+        need, row = self.used + len(ids), self.rows
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * need - self.used, np.uint32)])
+        if row + len(sizes) > len(self.first):
+            more = np.zeros(row + 2 * len(sizes), np.int64)
+            self.first, self.size = np.concatenate([self.first[:row], more]), np.concatenate([self.size[:row], more])
+        self.flat[self.used : need] = ids
+        self.first[row : row + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[row : row + len(sizes)] = sizes
+        self.used, self.rows = need, row + len(sizes)
+        return row
+
     def _rows(self, pieces: list[bytes]) -> np.ndarray:
         """Rows of the table of ids, adding what it lacks."""
-        if len(self.known) > MOST:
+        if self.rows > MOST:
             self._forget()
-        known = self.known
-        out = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        out = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         lacking = np.flatnonzero(out < 0)
-        for lo in range(0, len(lacking), 20_000):
-            part = lacking[lo : lo + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            need = self.used + int(sizes.sum())
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(need, np.uint32)])
-            if self.rows + len(got) > len(self.first):
-                self.first = np.concatenate([self.first[: self.rows], np.zeros(self.rows + len(got), np.int64)])
-                self.size = np.concatenate([self.size[: self.rows], np.zeros(self.rows + len(got), np.int64)])
-            if sizes.sum():
-                self.flat[self.used : need] = np.concatenate([np.asarray(g, np.uint32) for g in got if g])
-            self.first[self.rows : self.rows + len(got)] = self.used + np.cumsum(sizes) - sizes
-            self.size[self.rows : self.rows + len(got)] = sizes
-            out[part] = self.rows + np.arange(len(got))
-            for i in part:
-                if len(pieces[i]) <= LONG:
-                    known[pieces[i]] = int(out[i])
-            self.used, self.rows = need, self.rows + len(got)
+        if not len(lacking):
+            return out
+        lack = [pieces[i] for i in lacking]
+        inner = np.fromiter((p[0] == 32 and _INNER[p[-1]] for p in lack), bool, len(lack))
+        parts = [p for p, own in zip(lack, inner, strict=True) if own]
+        if parts:
+            ids = np.array(self.joined.encode_ordinary(b"".join(parts).decode("utf-8", "replace")), np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))) + 1
+            row = self._put(ids, np.diff(ends, prepend=0))
+            out[lacking[inner]] = row + np.arange(len(parts))
+        parts = [p for p, own in zip(lack, inner, strict=True) if not own]
+        if parts:
+            got = [self.tokenizer.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids for p in parts]
+            row = self._put(np.array([i for g in got for i in g], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            out[lacking[~inner]] = row + np.arange(len(parts))
+        self.known.update((p, r) for p, r in zip(lack, out[lacking].tolist(), strict=True) if len(p) <= LONG)
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, texts: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
