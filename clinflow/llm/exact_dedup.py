@@ -89,9 +89,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     Repeated rows (same id and text) stay once.
     """
-    kept = classes(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_h"))
+    kept = classes(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_h"))
     stays = kept.distinct()
     repeated = kept.count() != stays.count()
-    rows = docs.withColumn("_own_h", F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(stays, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_own_h") == F.col("_kept_h")), "left_semi")
-    return (rows.dropDuplicates([id_col, "_own_h"]) if repeated else rows).drop("_own_h")
+    rows = docs.withColumn("__own_h", F.sha2(normalised(F.col(text_col)), 256))
+    rows = rows.join(stays, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__own_h") == F.col("__kept_h")), "left_semi")
+    return (rows.dropDuplicates([id_col, "__own_h"]) if repeated else rows).drop("__own_h")

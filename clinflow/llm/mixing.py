@@ -124,7 +124,7 @@ def _planned(rows: DataFrame, entropy: float | None, repetition: float | None, b
 def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = 1.5, budget: float | str = "cover", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 3) -> DataFrame:
     """docs, each row as often as the plan says, with mix_pass, mix_block and mix_rank; sort by these for the mixed order.
 
-    The number of copies depends on the row's content alone, so rows that repeat have their copies together.
+    Rows that repeat have the same number of copies: their share of the sum, rounded up.
     """
     clash = [c for c in ADDED if c in docs.columns]
     docs = docs.drop(*clash)
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     planned = _planned(rows, entropy, repetition, budget)
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col), F.col(source_col).cast("string"))
     by_key = planned.groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_same"), F.first("block").alias("mix_block"), F.first("part").alias("mix_rank"))
-    # rows that repeat share the sum of their copies, the first ones get the remainder: told apart only by place, so shared evenly
-    out = docs.withColumn("_key", key).join(by_key.where("_copies > 0"), "_key")
-    number = F.ceil(F.col("_copies") / F.col("_same")).cast("int")
+    # rows that repeat share the sum of their copies evenly, rounded up
+    out = docs.withColumn("__key", key).join(by_key.where("_copies > 0").withColumnsRenamed({"_key": "__key", "_copies": "__copies", "_same": "__same"}), "__key")
+    number = F.ceil(F.col("__copies") / F.col("__same")).cast("int")
     return out.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), number))).select(*docs.columns, "mix_pass", "mix_block", "mix_rank")

@@ -37,35 +37,35 @@ def _columns(text: Column) -> list[tuple[str, Column]]:
     text = F.coalesce(text, F.lit(""))
     n = F.col("n_words")
     hashed = F.transform(
-        F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")),
+        F.when(F.size("__qr_w") >= 3, F.sequence(F.lit(0), F.size("__qr_w") - 3)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.xxhash64(F.get("__qr_w", i), F.get("__qr_w", i + 1), F.get("__qr_w", i + 2)).alias("h"), i.alias("i")),
     )
-    same = lambda x, k: F.coalesce(F.get("_g", k)["h"] == x["h"], F.lit(False))
+    same = lambda x, k: F.coalesce(F.get("__qr_g", k)["h"] == x["h"], F.lit(False))
     twin = lambda x, k: same(x, k - 1) | same(x, k + 1)
-    covered = F.array_distinct(F.flatten(F.transform(F.filter("_g", twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    covered = F.array_distinct(F.flatten(F.transform(F.filter("__qr_g", twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(f"[^{SPACE}]"))
     ratio = lambda a: F.when(n > 0, a / n).otherwise(F.lit(0.0))
     return [
-        ("_w", F.filter(F.split(text, f"[{SPACE}]+"), lambda s: s != "")),
-        ("_j", F.array_join("_w", "")),
-        ("_g", F.sort_array(hashed)),
-        ("_l", lines),
-        ("n_words", F.size("_w").cast("long")),
-        ("word_chars", F.length("_j").cast("long")),
-        ("n_symbols", (F.length("_j") - F.length(F.regexp_replace("_j", r"[#*$%&|<>]", ""))).cast("long")),
-        ("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")),
+        ("__qr_w", F.filter(F.split(text, f"[{SPACE}]+"), lambda s: s != "")),
+        ("__qr_j", F.array_join("__qr_w", "")),
+        ("__qr_g", F.sort_array(hashed)),
+        ("__qr_l", lines),
+        ("n_words", F.size("__qr_w").cast("long")),
+        ("word_chars", F.length("__qr_j").cast("long")),
+        ("n_symbols", (F.length("__qr_j") - F.length(F.regexp_replace("__qr_j", r"[#*$%&|<>]", ""))).cast("long")),
+        ("n_dup_lines", (F.size("__qr_l") - F.size(F.array_distinct("__qr_l"))).cast("long")),
         ("n_repeat_words", F.size(covered).cast("long")),
-        ("n_stop_words", F.size(F.filter("_w", lambda s: F.lower(s).isin(STOP_WORDS))).cast("long")),
+        ("n_stop_words", F.size(F.filter("__qr_w", lambda s: F.lower(s).isin(STOP_WORDS))).cast("long")),
         ("repeat_word_ratio", ratio(F.col("n_repeat_words"))),
         ("mean_word_chars", ratio(F.col("word_chars"))),
         ("symbols_per_word", ratio(F.col("n_symbols"))),
         ("stop_word_ratio", ratio(F.col("n_stop_words"))),
-        ("dup_line_ratio", F.when(F.size("_l") > 0, F.col("n_dup_lines") / F.size("_l")).otherwise(F.lit(0.0))),
-        ("shout_ratio", F.when(F.length("_j") > 0, 1 - F.length(F.regexp_replace("_j", r"\p{Lu}", "")) / F.length("_j")).otherwise(F.lit(0.0))),
+        ("dup_line_ratio", F.when(F.size("__qr_l") > 0, F.col("n_dup_lines") / F.size("__qr_l")).otherwise(F.lit(0.0))),
+        ("shout_ratio", F.when(F.length("__qr_j") > 0, 1 - F.length(F.regexp_replace("__qr_j", r"\p{Lu}", "")) / F.length("__qr_j")).otherwise(F.lit(0.0))),
     ]
 
 
-HELPERS = ["_w", "_j", "_g", "_l"]
+HELPERS = ["__qr_w", "__qr_j", "__qr_g", "__qr_l"]
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     clash = [c for c in docs.columns if c in {n for n, _ in _columns(F.lit(""))} and c != text_col]
     out = docs.drop(*clash)
     text = F.col(text_col)
-    for layer in (("_w", "_l"), ("_j", "_g")):
+    for layer in (("__qr_w", "__qr_l"), ("__qr_j", "__qr_g")):
         out = out.withColumns({n: e for n, e in _columns(text) if n in layer})
     rest = [(n, e) for n, e in _columns(text) if n not in HELPERS]
     counts = {n: e for n, e in rest if n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words")}

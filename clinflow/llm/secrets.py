@@ -15,8 +15,9 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed patterns: kind, expression, group whose length counts, least length. Offsets are of the whole match.
 KINDS = ["assign", "access", "hex", "random"]
@@ -112,19 +113,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """
     models = MarkovPair(samples() if labelled is None else labelled)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    id_type = docs.schema[id_col].dataType
+    span = pa.struct([("kind", pa.string()), ("start_at", pa.int64()), ("end_at", pa.int64()), ("secret", pa.string())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text in batch["_text"]:
+            for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 spans = sorted(base + random_spans(text, base, models, threshold), key=lambda s: (s[0], KINDS.index(s[1])))
                 found.append([{"kind": k, "start_at": s, "end_at": e, "secret": text[s:e]} for s, k, e in spans])
-            yield pd.DataFrame({id_col: batch["_id"].astype("object"), "found": found})
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(span))], names=[id_col, "found"])
 
-    rows = docs.selectExpr(f"`{id_col}` as _id", f"`{text_col}` as _text")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(find, f"`{id_col}` {kind}, found array<struct<kind:string,start_at:long,end_at:long,secret:string>>")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(find, f"`{id_col}` {id_type.simpleString()}, found array<struct<kind:string,start_at:long,end_at:long,secret:string>>")
 
 
 def redact(text: str, spans: list[tuple[int, str, int]]) -> str:

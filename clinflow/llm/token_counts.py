@@ -16,11 +16,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinflow.llm import pieces
 from clinflow.llm.pieces import PieceEncoder, as_bytes, groups
 
 #: Bytes of a leaf at least.
@@ -159,30 +159,31 @@ def count_planned(docs: DataFrame, plan, tokenizer: str, id_col: str = "doc_id",
 
 
 def _count(rows: DataFrame, tokenizer: str, id_col: str, id_type: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(tokenizer)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = pieces.encoder(tokenizer)
         per = counter(encoder)
-        for batch in batches:
-            texts = [t or "" for t in batch["_text"]]
-            leaves = [cut(t) for t in texts]
-            flat = pa.array([x for own in leaves for x in own], pa.large_string())
-            data, offsets = as_bytes(flat)
-            counts: list[int] = []
-            for lo, hi in groups(offsets):
-                counts += np.diff(encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], flat.slice(lo, hi - lo))[1]).tolist()
-            out, at = [], 0
-            for own, edits in zip(leaves, batch["_edits"], strict=True):
-                tree = TokenTree(own, counts[at : at + len(own)], per)
-                at += len(own)
-                before, n = tree.total, 0
-                for e in edits if edits is not None else ():
-                    if e is not None and e["start_at"] is not None and e["end_at"] is not None:
-                        tree.edit(int(e["start_at"]), int(e["end_at"]), e["replacement"] or "")
-                        n += 1
-                out.append((before, tree.total, n, tree.encoded, tree.text if n else None))
-            got = pd.DataFrame(out, columns=["n_tokens", "n_tokens_after", "n_edits", "n_reencoded_chars", "text_after"])
-            got["text_after"] = [x if x is not None else t for x, t in zip(got["text_after"], texts, strict=True)]
-            got.insert(0, id_col, batch["_id"].astype("object").values)
-            yield got
-
-    return rows.mapInPandas(run, f"`{id_col}` {id_type}, n_tokens long, n_tokens_after long, n_edits long, n_reencoded_chars long, text_after string")
+        for whole in batches:
+            for lo, hi in groups(as_bytes(whole.column(1))[1]):
+                batch = whole.slice(lo, hi - lo)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                leaves = [cut(t) for t in texts]
+                flat = pa.array([x for own in leaves for x in own], pa.large_string())
+                counts = np.diff(encoder.encode(*as_bytes(flat), flat)[1]).tolist()
+                out, after, at = [], [], 0
+                for text, own, edits in zip(texts, leaves, batch.column(2).to_pylist(), strict=True):
+                    known = counts[at : at + len(own)]
+                    at += len(own)
+                    usable = [e for e in edits or () if e is not None and e["start_at"] is not None and e["end_at"] is not None]
+                    if not usable:  # nothing to keep a tree for
+                        out.append((sum(known), sum(known), 0, 0))
+                        after.append(text)
+                        continue
+                    tree = TokenTree(own, known, per)
+                    for e in usable:
+                        tree.edit(e["start_at"], e["end_at"], e["replacement"] or "")
+                    out.append((sum(known), tree.total, len(usable), tree.encoded))
+                    after.append(tree.text)
+                columns = [pa.array([row[i] for row in out], pa.int64()) for i in range(4)]
+                yield pa.record_batch([batch.column(0), *columns, pa.array(after, pa.string())], names=[id_col, "n_tokens", "n_tokens_after", "n_edits", "n_reencoded_chars", "text_after"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, n_tokens_after long, n_edits long, n_reencoded_chars long, text_after string")

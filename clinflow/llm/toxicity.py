@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,20 +176,22 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, score in 0..1, hits array<struct<entry, weight>> in the text's order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hit = pa.struct([("entry", pa.string()), ("weight", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
             scores, hits = [], []
-            for text in batch["_text"]:
+            for text in batch.column(1).to_pylist():
                 folded = fold(text or "")
                 found = sorted(lexicon.matches(folded, automaton))
                 scores.append(lexicon.score(lexicon.features(folded, automaton)))
                 hits.append([{"entry": folded[s:e], "weight": w} for s, e, w in found])
-            yield pd.DataFrame({id_col: batch["_id"].astype("object"), "score": scores, "hits": hits})
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.list_(hit))], names=[id_col, "score", "hits"])
 
-    rows = docs.selectExpr(f"`{id_col}` as _id", f"`{text_col}` as _text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, score double, hits array<struct<entry:string,weight:double>>")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, score double, hits array<struct<entry:string,weight:double>>")
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
