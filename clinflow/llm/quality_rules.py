@@ -32,6 +32,11 @@ THRESHOLDS: list[tuple[str, float | None, float | None]] = [
 ]
 
 
+def _here(measure: Column) -> Column:
+    """The measure, never moved into a filter: there the arrays below it would be built again for each of their elements."""
+    return F.when(F.monotonically_increasing_id() >= 0, measure)
+
+
 def _columns(text: Column) -> list[tuple[str, Column]]:
     """Names and expressions, in an order in which each may use those before it."""
     text = F.coalesce(text, F.lit(""))
@@ -50,12 +55,12 @@ def _columns(text: Column) -> list[tuple[str, Column]]:
         ("__qr_j", F.array_join("__qr_w", "")),
         ("__qr_g", F.sort_array(hashed)),
         ("__qr_l", lines),
-        ("n_words", F.size("__qr_w").cast("long")),
+        ("n_words", _here(F.size("__qr_w").cast("long"))),
         ("word_chars", F.length("__qr_j").cast("long")),
         ("n_symbols", (F.length("__qr_j") - F.length(F.regexp_replace("__qr_j", r"[#*$%&|<>]", ""))).cast("long")),
-        ("n_dup_lines", (F.size("__qr_l") - F.size(F.array_distinct("__qr_l"))).cast("long")),
-        ("n_repeat_words", F.size(covered).cast("long")),
-        ("n_stop_words", F.size(F.filter("__qr_w", lambda s: F.lower(s).isin(STOP_WORDS))).cast("long")),
+        ("n_dup_lines", _here((F.size("__qr_l") - F.size(F.array_distinct("__qr_l"))).cast("long"))),
+        ("n_repeat_words", _here(F.size(covered).cast("long"))),
+        ("n_stop_words", _here(F.size(F.filter("__qr_w", lambda s: F.lower(s).isin(STOP_WORDS))).cast("long"))),
         ("repeat_word_ratio", ratio(F.col("n_repeat_words"))),
         ("mean_word_chars", ratio(F.col("word_chars"))),
         ("symbols_per_word", ratio(F.col("n_symbols"))),
