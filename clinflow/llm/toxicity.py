@@ -37,7 +37,7 @@ LEARN_ROWS = 3000
 LEAST_DOCS, LEAST_LIFT = 12, 25.0
 LONGEST = 24
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
-_INNER = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<!\w)[@$0134578](?=[^\W\d_]{2})")
+_INNER = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<![\w@$!])[@$0134578](?=[^\W\d_])")
 _OTHER = re.compile(r"[\W\d_]+")
 _SUBSTITUTED = {ord(k): v for k, v in SUBSTITUTES.items()}
 
@@ -48,7 +48,7 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = text.translate(_FOLD)
     text = _INNER.sub(lambda m: m[0].translate(_SUBSTITUTED), text)
-    return f" {_OTHER.sub(' ', text)} "
+    return f" {_OTHER.sub(' ', text).strip()} "
 
 
 @dataclass

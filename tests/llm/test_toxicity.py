@@ -2,7 +2,7 @@ from clinflow.llm import queries, toxicity
 
 
 def test_fold():
-    assert toxicity.fold("You 1D10T, stуpid!") == " you idiot stypid "
+    assert toxicity.fold("You 1D10T, sсum \u0456di\u043et!") == " you idiot scum idiot "
     assert toxicity.fold("m0r0n $cum tr@sh") == " moron scum trash "
 
 
