@@ -178,3 +178,19 @@ def filter_effect(before: DataFrame, after_: DataFrame, key: str, time: str) ->
     a = before.groupBy(key).agg(F.max(time).alias("_a"))
     b = after_.groupBy(key).agg(F.max(time).alias("_b"))
     return a.join(b, key, "left").agg(F.count("*").alias("n_before"), F.count_if(F.col("_b").isNull()).alias("n_lost"), F.count_if(F.col("_b") < F.col("_a")).alias("n_older"))
+
+
+def allocate(sizes: DataFrame, component: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1) -> DataFrame:
+    """component, part (0 ..): components in a seeded order are cut where the rows so far pass the shares, so no component is divided."""
+    from pyspark.sql import Window
+
+    from clinflow.operators.ordering import hash_order
+
+    order = Window.orderBy(hash_order(seed, F.col(component)), component)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = (before + F.col(size) / 2) / F.sum(size).over(Window.partitionBy())
+    out, edge = F.lit(len(shares) - 1), 1.0
+    for k in range(len(shares) - 1, 0, -1):
+        edge -= shares[k]
+        out = F.when(middle < F.lit(edge), k - 1).otherwise(out)
+    return sizes.select(component, out.alias("part"))

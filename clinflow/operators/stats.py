@@ -204,3 +204,16 @@ def increments(metrics: DataFrame, key: str, model: str, value: str, contrasts:
     wide = metrics.groupBy(key).pivot(model, names).agg(F.first(value))
     rows = [F.struct(F.lit(f"{a} - {b}").alias("contrast"), (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("difference")) for a, b in contrasts]
     return wide.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*")
+
+
+def cross_construct(df: DataFrame, rows: list[str], columns: list[str]) -> DataFrame:
+    """row, matched_rho, mean_other_rho, matched_rank: each row construct's rank correlation with its own column beside those with the others. rows[i] belongs to columns[i]."""
+    from clinflow.operators.aggregates import spearman
+
+    out = None
+    for i, r in enumerate(rows):
+        for j, c in enumerate(columns):
+            one = spearman(df, r, c).select(F.lit(r).alias("row"), F.lit(i == j).alias("own"), "rho")
+            out = one if out is None else out.unionByName(one)
+    ranked = out.withColumn("k", F.rank().over(Window.partitionBy("row").orderBy(F.desc_nulls_last("rho"))))
+    return ranked.groupBy("row").agg(F.max(F.when(F.col("own"), F.col("rho"))).alias("matched_rho"), F.avg(F.when(~F.col("own"), F.col("rho"))).alias("mean_other_rho"), F.max(F.when(F.col("own"), F.col("k"))).alias("matched_rank"))

@@ -391,4 +391,14 @@ def risk_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match(rows.where("label = 1").drop("label"), rows.where("label = 0").drop("label"), "block", "clock", k=3)
 
 
+@R.add()
+def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets that share a subject stay in one part; tested for both."""
+    from clinflow.operators.cohort import allocate, set_components
+
+    sets = X.infusions(spark, sf_dir).join(X.stays(spark, sf_dir).select("stay_id", "subject_id"), "stay_id").select(F.concat_ws(":", "agent", F.col("stay_id") % 97).alias("match_set"), "subject_id")
+    labels = set_components(sets)
+    return labels.join(allocate(labels.groupBy("component").agg(F.count("*").alias("n")), "component", "n"), "component").select("match_set", "component", "part")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -332,4 +332,24 @@ def site_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.site_transfer(s.where("source = '1-URGENT'"), s.where("source = '5-LOW'"), [*M.dense_stages(["p_aug", "p_base"], []), M.logistic(1.0, 3000)], "case_id"), ["probability"])
 
 
+@R.add()
+def refit_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models fitted again in every replicate; tested for whole clusters and against the unweighted fit."""
+    return rounded(M.refit_bootstrap(X.scores(spark, sf_dir), "subject_id", "y", "fold", ["p_base"], ["p_aug"], 8), ["auc_base", "auc_more", "delta"])
+
+
+@R.add("""
+a AS (SELECT subject_id, round(avg(p_base), 9) AS x, round(avg(p_aug), 9) AS y, round(avg(p_base * 2 + fold), 9) AS u, round(avg(p_aug - fold), 9) AS v FROM sc GROUP BY 1),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y,
+  rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2.0 AS u, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS v FROM a)
+SELECT 'x' AS row, round(corr(x, u), 4) AS matched_rho, round(corr(x, v), 4) AS mean_other_rho, CASE WHEN corr(x, u) > corr(x, v) THEN 1 ELSE 2 END AS matched_rank FROM r
+UNION ALL SELECT 'y', round(corr(y, v), 4), round(corr(y, u), 4), CASE WHEN corr(y, v) > corr(y, u) THEN 1 ELSE 2 END FROM r
+""")
+def cross_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I19."""
+    a = X.scores(spark, sf_dir).groupBy("subject_id").agg(F.avg("p_base").alias("x"), F.avg("p_aug").alias("y"), F.avg(F.col("p_base") * 2 + F.col("fold")).alias("u"), F.avg(F.col("p_aug") - F.col("fold")).alias("v"))
+    got = I.cross_construct(a.select(*[F.round(c, 9).alias(c) for c in ("x", "y", "u", "v")]), ["x", "y"], ["u", "v"])
+    return got.select("row", F.round("matched_rho", 4).alias("matched_rho"), F.round("mean_other_rho", 4).alias("mean_other_rho"), "matched_rank")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

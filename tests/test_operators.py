@@ -144,3 +144,16 @@ def test_power():
     assert I.hanley_mcneil(0.5, 100, 100) == pytest.approx(0.00168, abs=1e-4)
     d = I.detectable(0.8, 300, 6000, 0.5)
     assert I.power(0.8, d, 300, 6000, 0.5) == pytest.approx(0.8, abs=1e-6)
+
+
+def test_refit_bootstrap_without_resampling_effect(spark):
+    rows = [(i, i % 2 if i % 10 else 1 - i % 2, i % 5, float(i % 7), float(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "c int, y int, fold int, a double, b double")
+    got = M.refit_bootstrap(df, "c", "y", "fold", ["a"], ["b"], 3).collect()
+    assert len(got) == 3 and all(r["auc_more"] > 0.75 and r["delta"] > 0.2 for r in got)
+
+
+def test_allocate_keeps_components_whole(spark):
+    got = C.allocate(spark.range(200).selectExpr("id as c", "1 + id % 3 as n"), "c", "n")
+    share = {r["part"]: r["n"] for r in got.join(spark.range(200).selectExpr("id as c", "1 + id % 3 as n"), "c").groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    assert got.count() == 200 and abs(share[0] / sum(share.values()) - 0.7) < 0.03

@@ -51,3 +51,17 @@ def test_sinks(spark, tmp_path):
         S.write_aggregate(df.withColumnRenamed("name", "Subject_ID"), str(tmp_path / "k"))
     with pytest.raises(ValueError, match="not marked"):
         S.synthetic_only(spark.createDataFrame([(True,), (None,)], "synthetic boolean"))
+
+
+def test_contracts(spark, tmp_path):
+    from clinflow.sources import contracts as K
+
+    K.write_checkpoint({"approved": True, "v": 1}, str(tmp_path / "r.json"))
+    assert K.require_registration(str(tmp_path / "r.json"), {"v": 1})["v"] == 1
+    with pytest.raises(PermissionError):
+        K.require_registration(str(tmp_path / "r.json"), {"v": 2})
+    with pytest.raises(ValueError):
+        K.require_hash(str(tmp_path / "r.json"), "0")
+    assert K.export(str(tmp_path), str(tmp_path / "x.zip")) == ["r.json"]
+    got = K.template_corpus(spark, 200, {"worse": ["is worse"], "better": ["is better"]}, ["Patient", "Pt"])
+    assert got.count() == 200 and got.where("label = 'worse' and not contains(text, 'is worse')").count() == 0 and got.where("label is null").count() > 20
