@@ -23,7 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = n + (n >> 3)
         inverse = np.uint64(pow(int(_R), -1, 1 << 64))
         with np.errstate(over="ignore"):
             for name, base in (("up", _R), ("down", inverse)):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from clinflow.llm import pieces
-from clinflow.llm.pieces import as_bytes, groups
+from clinflow.llm.pieces import as_bytes, groups, rest
 
 #: Tokens of a window, open windows of a partition, the id that ends each document.
 WINDOW, OPEN, END_ID = 1024, 32, 0
@@ -125,6 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     yield ready()
         windows.close()
         yield ready()
+        rest()
 
     rows = docs.selectExpr(f"`{id_col}` as _id", f"`{text_col}` as _text")
     return rows.mapInArrow(run, f"_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long").withColumnRenamed("_id", id_col)

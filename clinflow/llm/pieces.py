@@ -8,6 +8,8 @@ those of encoding each whole text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import itertools
 
@@ -18,7 +20,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Pieces longer than this are not remembered; beyond MOST pieces the memory starts anew.
-LONG, MOST = 48, 500_000
+LONG, MOST = 48, 150_000
 #: A batch's texts are handled in groups of about so many bytes.
 GROUP = 4_000_000
 _ODD_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -47,6 +49,13 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def rest() -> None:
+    """Give memory that a finished task has left back, as the worker process stays and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def groups(offsets: np.ndarray, most: int = GROUP) -> list[tuple[int, int]]:
     """Ranges of texts of about `most` bytes each; a longer text is a range of its own."""
     out, at, n = [], 0, len(offsets) - 1
@@ -95,7 +104,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
+        self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.rows = 0
 
     def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
