@@ -89,16 +89,17 @@ def _parts(data: np.ndarray, offsets: np.ndarray):
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """Dense rows of WIDTH features, for fitting."""
+    """Dense rows of WIDTH features, for fitting; made group by group, so that little more than the rows is held."""
     out = np.zeros((len(texts), WIDTH), np.float32)
     data, offsets = as_bytes(pa.array(texts, pa.large_string()))
-    (tri, a), (pair, b), cells = _parts(data, offsets)
-    for i in range(len(texts)):
-        for hit, at in ((tri, a), (pair, b)):
-            own = hit[at[i] : at[i + 1]]
-            if len(own):
-                out[i] += np.bincount(own, minlength=WIDTH).astype(np.float32)[:WIDTH] * (SCALE / len(own))
-        out[i, cells[i]] = 1
+    for lo, hi in groups(offsets, 1 << 19):
+        (tri, a), (pair, b), cells = _parts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        for i in range(hi - lo):
+            for hit, at in ((tri, a), (pair, b)):
+                own = hit[at[i] : at[i + 1]]
+                if len(own):
+                    out[lo + i] += np.bincount(own, minlength=WIDTH).astype(np.float32) * (SCALE / len(own))
+            out[lo + i, cells[i]] = 1
     return out
 
 
