@@ -10,7 +10,9 @@ draws come from a table of 65,536 triples that a hash of (shingle, sample) index
 levels of five per cent. Bands of the samples propose pairs: every member of a bucket with the bucket's
 heads, of which there are a fixed number, so the pairs grow with the members and not with their square.
 Proposed pairs are verified by the exact weighted Jaccard similarity. A second round proposes pairs
-with further heads only between documents that are not yet in one class. Texts with equal
+with further heads only between documents that are not yet in one class. A last round takes all other
+pairs of a bucket whose documents are still not in one class, block against block, so that every pair
+of a bucket ends in one class or is found to be below SIMILAR. Texts with equal
 shingles are one node throughout, and joins on a hot node or bucket go by broadcast of that one row.
 
 Every row of the input gets its class, repeated rows too; other columns are ignored by `classes` and
@@ -42,6 +44,8 @@ LEVELS, STEP = 80, 0.05
 #: Heads of a bucket: first round, second round.
 HEADS = 4
 HOT = 0.005
+#: Members of a block of the last round, on average.
+BLOCK = 64
 #: Bytes of text handled at once; a longer text is handled whole.
 GROUP = 1_000_000
 
@@ -268,6 +272,62 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _blocks(members: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, i, j, side, _node, label: the blocks i and j of a bucket that are still to be compared.
+
+    Members are the nodes of a bucket that are no heads of it, buckets of one label left out. A label of more than BLOCK / 2
+    members has blocks of its own, which are not compared with each other. No task gets a whole bucket or label.
+    """
+    heads = buckets.select("key", F.array(*[f"h{j}" for j in range(HEADS)]).alias("heads"), "n")
+    rest_ = join_hot(members.join(heads.select("key"), "key", "left_semi"), heads, ["key"], "n", HOT).where(~F.array_contains("heads", F.col("_node"))).drop("heads", "n")
+    rest_ = materialise(rest_.join(labels.withColumnRenamed("node", "_node"), "_node", "left").withColumn("label", F.coalesce("label", "_node")))
+    runs = materialise(rest_.groupBy("key", "label").agg(F.count("*").alias("n")))
+    open_ = materialise(runs.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.when(F.col("n") <= BLOCK // 2, F.col("n")).otherwise(0)).alias("small")).where("labels > 1"))
+    runs = materialise(join_hot(runs.join(open_.select("key"), "key", "left_semi"), open_.select("key", "small", F.col("labels").alias("w")), ["key"], "w", HOT).drop("w"))
+    mine = materialise(rest_.join(open_.select("key"), "key", "left_semi"))
+    placed = join_hot(mine, runs, ["key", "label"], "n", HOT)
+    cut = lambda h, n: F.pmod(h, F.ceil(n / BLOCK)).cast("int")
+    large = F.col("n") > BLOCK // 2
+    block = F.when(large, F.struct(F.col("label").alias("own"), cut(F.xxhash64("_node"), F.col("n")).alias("at"))).otherwise(F.struct(F.lit(None).cast("binary").alias("own"), cut(F.xxhash64("label"), F.col("small")).alias("at")))
+    placed = materialise(placed.select("key", "_node", "label", block.alias("block")))
+    blocks = materialise(placed.select("key", "block").distinct())
+    left, right = (blocks.withColumnRenamed("block", x) for x in ("i", "j"))
+    pairs = materialise(left.join(right, "key").where("i <= j and not (i.own is not null and i.own <=> j.own)"))
+    sides = pairs.select("key", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).union(pairs.where("i <> j").select("key", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side")))
+    return placed.join(sides, ["key", "block"]).select("key", "i", "j", "side", "_node", "label")
+
+
+def _compared(blocks: DataFrame, nodes: DataFrame, features: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the blocks that are SIMILAR. A pair that shares several bands is compared in the first of them, and not at all once it is in one class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, node, label, key, bands = (table.column(c).to_pylist() for c in ("side", "_node", "label", "key", "_bands"))
+        held = [(np.frombuffer(s, np.uint32), np.frombuffer(w, np.uint8)) for s, w in zip(table.column("_s").to_pylist(), table.column("_w").to_pylist(), strict=True)]
+        weight = np.array([_WEIGHT[w].sum() for _, w in held])
+        bands, up, a, b = np.array(bands, np.int64), {x: x for x in label}, [], []
+        own = int(np.flatnonzero(bands[0] == key[0])[0])
+
+        def top(x: bytes) -> bytes:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        first, second = (np.array([i for i, s in enumerate(side) if s == which], np.int64) for which in (0, 1))
+        for at, x in enumerate(first):
+            others = second if len(second) else first[at + 1 :]
+            near = (np.minimum(weight[others], weight[x]) >= SIMILAR * np.maximum(weight[others], weight[x])) & ~(bands[others, :own] == bands[x, :own]).any(1)
+            for y in others[near]:
+                p, q = top(label[x]), top(label[y])
+                if p != q and weighted_jaccard(*held[x], *held[y]) >= SIMILAR:
+                    up[max(p, q)] = min(p, q)
+                    a.append(node[x])
+                    b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    rows = blocks.join(nodes.select("_node", "_bands"), "_node").join(features, "_node")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, class_id (smallest id of its class), class_size (rows), kept (is the class's id)."""
     idf = idf_levels(*document_frequencies(docs, text_col))
@@ -289,7 +349,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     open_ = pairs.where("round = 1").join(label("a"), "a", "left").join(label("b"), "b", "left").where("not (la <=> lb) or la is null").select("a", "b")
     more = materialise(_verified(materialise(open_), features))
     if more.limit(1).count():
-        labels = components(edges.union(more))
+        edges = materialise(edges.union(more))
+        labels = components(edges)
+    blocks = materialise(_blocks(members, buckets.where(F.col("n") > 2), labels))
+    if blocks.limit(1).count():
+        last = materialise(_compared(blocks, nodes, features))
+        if last.limit(1).count():
+            labels = components(edges.union(last))
     named = nodes.select("_node", "least", "n").join(labels.withColumnRenamed("node", "_node"), "_node", "left").select("_node", "least", "n", F.coalesce("label", "_node").alias("label"))
     named = materialise(named)
     whole = materialise(named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("nodes")))

@@ -78,3 +78,18 @@ def test_sampler_estimates_similarity():
     x = one.bands(np.concatenate([a, b]), np.concatenate([level, level]), np.array([0, 3000, 6000]))
     near_rows.append((x[0] == x[1]).mean())
     assert old == 3 and 0.05 < near_rows[0] < 0.6  # (2/3) ** 3 of the bands agree, about
+
+
+def test_star_of_copies(spark):
+    """Copies that are similar to their original and not to each other; the original is seldom among a bucket's heads."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for star in range(2):
+        words = [f"w{x}" for x in draw.integers(5000, size=300)]
+        for v in range(60):
+            w = list(words)
+            for k in draw.choice(60, 5, replace=False) * 5 if v else ():
+                w[k] = f"edit{star}x{v}x{k}"
+            rows.append((star * 100 + v, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and set(got.values()) == {0, 100}
