@@ -10,8 +10,9 @@ softmax (class, then symbol in the class) over logits that are the corpus's smoo
 log-probabilities plus the output of one causal attention layer with relative positions. Attention sees
 the CONTEXT symbols before a window and the window itself; windows advance by STRIDE, so each token is
 scored once, with at least CONTEXT symbols before it where the document has them. The attention weights are
-trained by Adam in numpy on a sample of at most about SAMPLE_DOCS training documents (those whose hashed id falls in
-a residue class); everything counted is counted over all of them.
+trained by Adam in numpy over all training documents: in each of ROUNDS rounds every partition trains on its
+share of a hashed slice of the documents, every window once, and the weights are averaged by windows. Small corpora are
+passed several times, until about LEAST_STEPS steps.
 
 Null texts are empty: an empty document is its end token. Repeated rows are scored each for itself.
 Without training documents all counts are 0 and every subword is equally rare. Other columns are ignored.
@@ -19,6 +20,7 @@ Without training documents all counts are 0 and every subword is equally rare. O
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -44,7 +46,11 @@ IDS = 50_257
 END_ID = IDS - 1
 #: Words whose counts every task knows; all other words are looked up by a join.
 KNOWN_WORDS = 200_000
-SAMPLE_DOCS, TRAIN_STEPS, BATCH_WINDOWS = 1500, 900, 64
+TRAIN_STEPS, BATCH_WINDOWS = 900, 64
+#: Averagings in a pass over the training documents; steps that small corpora are trained for, in more passes.
+ROUNDS, LEAST_STEPS = 4, 900
+#: Weights in a row when they are averaged.
+CHUNK = 1 << 12
 SMOOTH = 30.0
 #: Windows scored at once.
 AT_ONCE = 128
@@ -278,21 +284,41 @@ def prior(pairs: DataFrame, documents: int) -> Model:
     )
 
 
-def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int = TRAIN_STEPS, rate: float = 0.004, seed: int = 9) -> Model:
-    """Adam over windows of the texts with these ids, drawn anew each step."""
+def _summed(where: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Sums of the rows of g by symbol."""
+    sums = np.zeros((SYMBOLS, g.shape[1]), np.float32)
+    order = np.argsort(where, kind="stable")
+    own = where[order]
+    b = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    sums[own[b]] = np.add.reduceat(g[order], b)
+    return sums
+
+
+def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRAIN_STEPS, rate: float = 0.004, seed: int = 9, state: dict | None = None) -> Model:
+    """Adam over windows of the texts with these ids, each window once before any comes again. No steps: one pass.
+
+    state: kept from call to call (moments, t, windows); the rate then does not fall.
+    """
     n = len(at) - 1
-    if n < 1 or not len(ids):
+    if n < 1:
         return model
     streams = [np.concatenate([[model.end], model.symbol[ids[a:b]], [model.end]]) for a, b in zip(at, at[1:], strict=False)]
     flat = np.concatenate(streams)
     first = np.cumsum([0] + [len(s) for s in streams])
-    windows = [(d, o) for d in range(n) for o in range(0, len(streams[d]) - 1, STRIDE)]
+    counts = -(-(np.diff(first) - 1) // STRIDE)
+    docs, offsets = np.repeat(np.arange(n), counts), STRIDE * ragged(np.zeros(n, np.int64), counts)
     draw = np.random.default_rng(seed)
-    moments = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in Model.LEARNT}
+    falls, state = state is None, {} if state is None else state
+    moments = state.setdefault("moments", {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in Model.LEARNT})
+    state["windows"] = state.get("windows", 0) + len(docs)
+    begun = state.get("t", 0)
+    steps = -(-len(docs) // BATCH_WINDOWS) if steps is None else steps
+    state["t"] = begun + steps
+    passes = np.concatenate([draw.permutation(len(docs)) for _ in range(-(-steps * BATCH_WINDOWS // len(docs)))]) if steps else ()
     distance = np.clip(np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :], 0, SPAN - 1)
-    for t in range(1, steps + 1):
-        chosen = [windows[i] for i in draw.integers(len(windows), size=BATCH_WINDOWS)]
-        d, o = np.array([c[0] for c in chosen]), np.array([c[1] for c in chosen])
+    for t in range(begun + 1, begun + steps + 1):
+        chosen = passes[(t - begun - 1) * BATCH_WINDOWS : (t - begun) * BATCH_WINDOWS]
+        d, o = docs[chosen], offsets[chosen]
         size = np.diff(first)[d] - 1
         place = o[:, None] + np.arange(-CONTEXT, STRIDE)
         real = place >= 0
@@ -325,10 +351,8 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int = TRAIN_STEP
         da *= np.float32(1 / math.sqrt(WIDTH))
         last = x[:, CONTEXT:]
         for name, where, g in (("own", last, dz), ("query", last, np.matmul(da, k)), ("key", x, np.matmul(da.transpose(0, 2, 1), q)), ("value", x, np.matmul(a.transpose(0, 2, 1), dz))):
-            sums = np.zeros((SYMBOLS, WIDTH), np.float32)
-            np.add.at(sums, where.ravel(), g.reshape(-1, WIDTH))
-            grads[name] = sums
-        step = rate * min(1.0, t / 50) * (1 - 0.9 * t / steps)
+            grads[name] = _summed(where.ravel(), g.reshape(-1, WIDTH))
+        step = rate * min(1.0, t / 50) * (1 - 0.9 * t / steps if falls else 1)
         for name, g in grads.items():
             m, s = moments[name]
             m += np.float32(0.1) * (g - m)
@@ -337,15 +361,59 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int = TRAIN_STEP
     return model
 
 
+def train_round(docs: DataFrame, model: Model, tokenizer: str, rate: float, text_col: str = "text") -> int:
+    """Every partition of docs trains a copy of the model on all its windows; the model gets the mean of their weights by windows. Returns the windows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, encoder = copy.deepcopy(shared.value), {}, pieces.encoder(tokenizer)
+        for batch in batches:
+            data, offsets = as_bytes(batch.column(0))
+            for lo, hi in groups(offsets, 1 << 20):
+                ids, at = encode_words(encoder, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[:2]
+                train(own, ids, at, None, rate, 9 + state.get("t", 0), state)
+        n = state.get("windows", 0)
+        if n:
+            flat = np.concatenate([getattr(own, k).ravel() for k in Model.LEARNT]).astype(np.float64) * n
+            for i in range(0, len(flat), CHUNK):
+                yield pa.record_batch({"chunk": pa.array([i // CHUNK], pa.int32()), "n": pa.array([n], pa.int64()), "held": pa.array([flat[i : i + CHUNK].tobytes()], pa.binary())})
+        rest()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        windows: Counter[int] = Counter()
+        for batch in batches:
+            for c, n, held in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                part = np.frombuffer(held, np.float64)
+                sums[c] = sums[c] + part if c in sums else part
+                windows[c] += n
+        yield pa.record_batch({"chunk": pa.array(list(sums), pa.int32()), "n": pa.array([windows[c] for c in sums], pa.int64()), "held": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    kind = "chunk int, n long, held binary"
+    got = sorted(docs.select(F.col(text_col).alias("_text")).mapInArrow(run, kind).repartition("chunk").mapInArrow(total, kind).collect())
+    shared.unpersist()
+    if not got:
+        return 0
+    flat, at = np.concatenate([np.frombuffer(r["held"], np.float64) / r["n"] for r in got]), 0
+    for k in Model.LEARNT:
+        w = getattr(model, k)
+        w[...] = flat[at : at + w.size].reshape(w.shape)
+        at += w.size
+    return got[0]["n"]
+
+
 def learn(docs: DataFrame, words: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts from the word table of all training documents, attention from a sample of docs."""
+    """Counts from the word table of all training documents, attention from all training documents."""
     pairs = materialise(pair_counts(words, tokenizer))
-    n = docs.count()
-    model = prior(pairs, n)
-    share = max(1, n // SAMPLE_DOCS)
-    texts = [r[0] or "" for r in docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(share)) == 0).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).select(text_col).toLocalIterator()]
-    ids, at = encode_words(pieces.encoder(tokenizer), *as_bytes(pa.array(texts, pa.large_string())))[:2]
-    return train(model, ids, at)
+    model = prior(pairs, docs.count())
+    done, windows = 0, 1
+    while windows and done < LEAST_STEPS * BATCH_WINDOWS:
+        windows = 0
+        for r in range(ROUNDS):
+            slice_ = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(ROUNDS)) == r)
+            windows += train_round(slice_, model, tokenizer, 0.004 * (1 - 0.9 * min(1.0, (done + windows) / (LEAST_STEPS * BATCH_WINDOWS)) * r / ROUNDS), text_col)
+        done += windows
+    return model
 
 
 def encode_words(encoder: PieceEncoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:

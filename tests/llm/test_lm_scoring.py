@@ -84,3 +84,16 @@ def test_edges(odd, none, tokenizer):
     assert len(rows) == odd.count() and all(r["score"] < 0 and r["base_score"] < 0 for r in rows)
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (0, 1, 5)} == {1}
     assert lm_scoring.score(none, F.lit(True), tokenizer).count() == 0
+
+
+def test_attention_is_trained_on_all_documents(spark, docs, tokenizer, monkeypatch):
+    texts = [r["text"] or "" for r in docs.collect()]
+    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer), *pieces.as_bytes(lm_scoring.pa.array(texts)))[:2]
+    windows = int((-(-(np.diff(at) + 1) // lm_scoring.STRIDE)).sum())
+    seen, one = [], lm_scoring.train_round
+    monkeypatch.setattr(lm_scoring, "train_round", lambda *a, **b: seen.append(one(*a, **b)) or seen[-1])
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
+    before = lm_scoring.prior(lm_scoring.pair_counts(lm_scoring.word_counts(docs), tokenizer), len(texts)).score(ids, at).sum()
+    model = lm_scoring.learn(docs.repartition(3), lm_scoring.word_counts(docs), tokenizer)
+    assert len(seen) == lm_scoring.ROUNDS and sum(seen) == windows
+    assert model.score(ids, at).sum() > before
