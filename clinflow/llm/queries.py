@@ -48,18 +48,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts before and after the first mail address and the first run of nine or more digits are redacted."""
-    docs = _table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    edit = lambda pattern, mark, found: F.when(
-        found != "", F.struct((F.instr(text, found) - 1).cast("long").alias("start_at"), (F.instr(text, found) - 1 + F.length(found)).cast("long").alias("end_at"), F.lit(mark).alias("replacement"))
-    )
-    mail = F.regexp_extract(text, MAIL, 0)
-    digits = F.regexp_extract(text, DIGITS, 0)
-    edits = F.array_compact(F.array(edit(MAIL, "<mail>", mail), edit(DIGITS, "<number>", digits)))
-    # the later edit first, so that both offsets are those of the text as it was
-    plan = F.reverse(F.array_sort(F.transform(edits, lambda e: e)))
-    got = token_counts.count_planned(docs, plan, tokenizer())
+    """Token counts before and after all mail addresses and all runs of nine or more digits are redacted."""
+    got = token_counts.count_found(_table(spark, sf_dir, "documents"), {"<mail>": MAIL, "<number>": DIGITS}, tokenizer())
     return got.select("doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded_chars", F.sha2("text_after", 256).alias("after_sha256"))
 
 

@@ -152,13 +152,20 @@ def count(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "doc_
     return _count(rows, tokenizer, id_col, id_type)
 
 
-def count_planned(docs: DataFrame, plan, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As `count`, with the edits as a column expression over docs, so that nothing is joined."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), plan.alias("_edits"))
-    return _count(rows, tokenizer, id_col, docs.schema[id_col].dataType.simpleString())
+def count_found(docs: DataFrame, patterns: dict[str, str], tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `count`, with every match of the patterns (Python's, without groups; the leftmost first, then the first named) replaced by its pattern's name."""
+    names = list(patterns)
+    either = "|".join(f"({p})" for p in patterns.values())
 
+    def find(text: str) -> list[dict]:
+        found = [{"start_at": m.start(), "end_at": m.end(), "replacement": names[m.lastindex - 1]} for m in re.finditer(either, text)]
+        return found[::-1]  # the last first, so that all offsets are those of the text as it was
 
-def _count(rows: DataFrame, tokenizer: str, id_col: str, id_type: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return _count(rows, tokenizer, id_col, docs.schema[id_col].dataType.simpleString(), find)
+
+
+def _count(rows: DataFrame, tokenizer: str, id_col: str, id_type: str, find: Callable[[str], list[dict]] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.encoder(tokenizer)
         per = counter(encoder)
@@ -170,7 +177,7 @@ def _count(rows: DataFrame, tokenizer: str, id_col: str, id_type: str) -> DataFr
                 flat = pa.array([x for own in leaves for x in own], pa.large_string())
                 counts = np.diff(encoder.encode(*as_bytes(flat), flat)[1]).tolist()
                 out, after, at = [], [], 0
-                for text, own, edits in zip(texts, leaves, batch.column(2).to_pylist(), strict=True):
+                for text, own, edits in zip(texts, leaves, map(find, texts) if find else batch.column(2).to_pylist(), strict=True):
                     known = counts[at : at + len(own)]
                     at += len(own)
                     usable = [e for e in edits or () if e is not None and e["start_at"] is not None and e["end_at"] is not None]

@@ -1,8 +1,10 @@
 import random
+import re
+from hashlib import sha256
 
 from tokenizers import Tokenizer
 
-from clinflow.llm import pieces, token_counts
+from clinflow.llm import pieces, queries, token_counts
 
 
 def test_edits_follow_whole_counts(docs, tokenizer):
@@ -39,3 +41,15 @@ def test_edges(spark, odd, none, tokenizer):
         assert r["n_tokens_after"] == len(tk.encode(r["text_after"], add_special_tokens=False).ids)
     assert {r["text_after"] for r in got if r["doc_id"] == 8} == {"ONE t"} and [r["text_after"] for r in got if r["doc_id"] == 2] == ["A qb c"]
     assert token_counts.count(none, edits, tokenizer).count() == 0
+
+
+def test_query_redacts_every_match(spark, tokenizer, tmp_path):
+    tk = Tokenizer.from_file(tokenizer)
+    texts = ["123456789@x.org wrote é 123456789", "a@b.org, c@d.org and a@b.org: 1234567890 or 1234567890", ("call 123456789012 or mail me@here.net ü " * 300), "no match", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        mails, n = re.subn(queries.MAIL, "<mail>", text or "")
+        after, m = re.subn(queries.DIGITS, "<number>", mails)
+        assert got[i]["n_edits"] == n + m and got[i]["after_sha256"] == sha256(after.encode()).hexdigest()
+        assert got[i]["n_tokens_after"] == len(tk.encode(after, add_special_tokens=False).ids)
