@@ -14,6 +14,11 @@ trained by Adam in numpy over all training documents: in each of ROUNDS rounds e
 share of a hashed slice of the documents, every window once, and the weights are averaged by windows. Small corpora are
 passed several times, until about LEAST_STEPS steps.
 
+The score is that of the whole vocabulary: pairs of successive subwords, across words and with the text's
+beginning and end, are counted over all training documents in a table that grows with the corpus, and
+p(b | a) = (count(a, b) + TRUST * model's p) / (count(a) + TRUST). Every task knows up to KNOWN_PAIRS frequent
+pairs; all others are looked up by a join.
+
 Null texts are empty: an empty document is its end token. Repeated rows are scored each for itself.
 Without training documents all counts are 0 and every subword is equally rare. Other columns are ignored.
 """
@@ -46,6 +51,9 @@ IDS = 50_257
 END_ID = IDS - 1
 #: Words whose counts every task knows; all other words are looked up by a join.
 KNOWN_WORDS = 200_000
+KNOWN_PAIRS, TRUST = 500_000, 30.0
+#: Tokens whose pairs are held before they are summed.
+PAIRS_AT_ONCE = 1 << 21
 TRAIN_STEPS, BATCH_WINDOWS = 900, 64
 #: Averagings in a pass over the training documents; steps that small corpora are trained for, in more passes.
 ROUNDS, LEAST_STEPS = 4, 900
@@ -127,6 +135,61 @@ def pair_counts(words: DataFrame, tokenizer: str) -> DataFrame:
     return words.mapInArrow(run, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def followers(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pair (a * IDS + b) of each id b, and of each text's end, with the id a before it; a text begins after END_ID."""
+    n = len(at) - 1
+    ends = at[1:] + np.arange(n)
+    b = np.full(len(ids) + n, END_ID, np.int64)
+    inside = np.ones(len(b), bool)
+    inside[ends] = False
+    b[inside] = ids
+    a = np.empty_like(b)
+    a[1:] = b[:-1]
+    a[at[:-1] + np.arange(n)] = END_ID
+    return a * IDS + b
+
+
+def follower_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """pair (see `followers`), n: over all documents, across words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, held = pieces.encoder(tokenizer), []
+
+        def rows() -> pa.RecordBatch:
+            pair, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            return pa.record_batch({"pair": pa.array(pair, pa.int64()), "n": pa.array(n.astype(np.int64))})
+
+        for batch in batches:
+            data, offsets = as_bytes(batch.column(0))
+            for lo, hi in groups(offsets, 1 << 20):
+                held.append(followers(*encode_words(encoder, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[:2]))
+                if sum(map(len, held)) > PAIRS_AT_ONCE:
+                    yield rows()
+        yield rows()
+        rest()
+
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def known_pairs(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pairs with their counts, those above a count that leaves at most KNOWN_PAIRS, and the counts of all ids as the first of a pair."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    least, so_far = 1 << 30, 0
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        so_far += r["k"]
+        if so_far > KNOWN_PAIRS:
+            break
+        least = r["level"]
+    got = table.where(level >= least).toArrow()
+    pair, n = (got.column(c).to_numpy() for c in ("pair", "n"))
+    order = np.argsort(pair)
+    ones = table.groupBy(F.floor(F.col("pair") / IDS).cast("int").alias("a")).agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
+    before = np.zeros(IDS)
+    before[ones.column("a").to_numpy()] = ones.column("n").to_numpy()
+    return pair[order], n[order].astype(np.float64), before
+
+
 @dataclass
 class Model:
     """symbol: of each subword id; rare: log share of an id inside the rare symbol; pair, head: log-probabilities of symbols in their class and of classes, by the symbol before."""
@@ -181,6 +244,11 @@ class Model:
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each text: its ids, then the end."""
+        sizes = np.diff(at) + 1
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.each(ids, at), len(sizes)) / math.log(10)
+
+    def each(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each id and of each text's end, text after text."""
         n = len(at) - 1
         sizes = np.diff(at) + 1
         starts = at[:-1] + np.arange(n)  # in the stream of texts with their ends
@@ -196,7 +264,7 @@ class Model:
         windows = -(-sizes // STRIDE)
         whose = np.repeat(np.arange(n), windows)
         offset = STRIDE * ragged(np.zeros(n, np.int64), windows)
-        out = np.bincount(np.repeat(np.arange(n), sizes), rare, n)
+        out = rare
         for lo in range(0, len(whose), AT_ONCE):
             w, o = whose[lo : lo + AT_ONCE], offset[lo : lo + AT_ONCE]
             place = o[:, None] + np.arange(-CONTEXT, STRIDE)
@@ -204,8 +272,8 @@ class Model:
             p = starts[w][:, None] + np.clip(place, 0, sizes[w][:, None] - 1)
             own = place[:, CONTEXT:] < sizes[w][:, None]
             got = self.log_probabilities(x[p], y[p[:, CONTEXT:]], real).reshape(own.shape)
-            out += np.bincount(w, (got * own).sum(1), n)
-        return out / math.log(10)
+            out[p[:, CONTEXT:][own]] += got[own]
+        return out
 
 
 def _relative(place: np.ndarray) -> np.ndarray:
@@ -441,12 +509,13 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_
     known = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()}  # a bounded table
     whole = total + 0.5 * (distinct + 1)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, known))
+    pairs = materialise(follower_counts(taught, tokenizer, text_col))
+    shared = spark.sparkContext.broadcast((model, known, known_pairs(pairs)))
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([("row", pa.int64()), ("_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64()), ("pair", pa.int64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
+        model, known, (often, often_n, before) = shared.value
         encoder = pieces.encoder(tokenizer)
         row = TaskContext.get().partitionId() << 36
         end_value = math.log10((known.get(b"", 0) + 0.5) / whole)
@@ -462,24 +531,34 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_
                 base = np.bincount(whose[found], np.log10((counts[found] + 0.5) / whole), n) + end_value
                 n_known = np.bincount(whose[found], minlength=n) + (known.get(b"", 0) > 0)
                 own = row + np.arange(n)
-                cols = [pa.array(own), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(word_at) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(model.score(ids, at)), nulls(n, "word"), nulls(n, "n")]
+                follows, p, text = followers(ids, at), np.exp(model.each(ids, at)) * TRUST, np.repeat(np.arange(n), np.diff(at) + 1)
+                place = np.minimum(np.searchsorted(often, follows), max(0, len(often) - 1))
+                told = often[place] == follows if len(often) else np.zeros(len(follows), bool)
+                part = -np.log10(before[follows // IDS] + TRUST)
+                part[told] += np.log10(often_n[place[told]] + p[told])
+                cols = [pa.array(own), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(word_at) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(np.bincount(text, part, n)), *[nulls(n, f) for f in ("word", "n", "pair", "p")]]
                 yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
                 if not found.all():
                     pair, times = np.unique(whose[~found] * len(words.dictionary) + words.indices.to_numpy()[~found], return_counts=True)
                     which = words.dictionary.take(pa.array(pair % len(words.dictionary))).cast(pa.binary())
                     m = len(pair)
-                    cols = [pa.array(own[pair // len(words.dictionary)]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score")], which, pa.array(times.astype(np.int64))]
+                    cols = [pa.array(own[pair // len(words.dictionary)]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score")], which, pa.array(times.astype(np.int64)), nulls(m, "pair"), nulls(m, "p")]
+                    yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                if not told.all():
+                    m = int((~told).sum())
+                    cols = [pa.array(own[text[~told]]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n")], pa.array(follows[~told]), pa.array(p[~told])]
                     yield pa.record_batch(cols, schema=schema)
                 row += n
         rest()
 
-    rows = docs.select(F.col(id_col).alias("_id"), held_out.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, f"row long, _id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long")
+    rows = docs.select(F.col(id_col).alias("_id"), held_out.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, f"row long, _id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long, pair long, p double")
     rows = materialise(rows)
     looked_up = rows.where("word is not null").select("row", "word", F.col("n").alias("times")).join(words, "word", "left")
     c = F.coalesce("n", F.lit(0))
     further = looked_up.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(whole))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = rows.where("word is null").select("row", "_id", "held_out", "n_tokens", "n_known", "base", "score").join(further, "row", "left")
+    rare = rows.where("pair is not null").select("row", "pair", "p").join(pairs, "pair", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.col("p"))).alias("more_score"))
+    out = rows.where("word is null and pair is null").select("row", "_id", "held_out", "n_tokens", "n_known", "base", "score").join(further, "row", "left").join(rare, "row", "left")
     return out.select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -97,3 +97,26 @@ def test_attention_is_trained_on_all_documents(spark, docs, tokenizer, monkeypat
     model = lm_scoring.learn(docs.repartition(3), lm_scoring.word_counts(docs), tokenizer)
     assert len(seen) == lm_scoring.ROUNDS and sum(seen) == windows
     assert model.score(ids, at).sum() > before
+
+
+def test_pairs_across_words_are_counted_and_scored(docs, tokenizer, monkeypatch):
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.limit(40).collect()]
+    few, encoder, c, held = docs.sparkSession.createDataFrame(texts, "doc_id long, text string"), pieces.encoder(tokenizer), Counter(), {}
+    for i, t in texts:
+        ids, at = lm_scoring.encode_words(encoder, *pieces.as_bytes(lm_scoring.pa.array([t])))[:2]
+        own, held[i] = [lm_scoring.END_ID, *ids.tolist(), lm_scoring.END_ID], (ids, at)
+        c.update(zip(own, own[1:], strict=False))
+    got = {divmod(r["pair"], lm_scoring.IDS): r["n"] for r in lm_scoring.follower_counts(few, tokenizer).collect()}
+    assert got == dict(c)
+    one, first = lm_scoring.learn, Counter()
+    for (a, _), n in c.items():
+        first[a] += n
+    kept = []
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
+    monkeypatch.setattr(lm_scoring, "KNOWN_PAIRS", 200)
+    monkeypatch.setattr(lm_scoring, "learn", lambda *a, **b: kept.append(one(*a, **b)) or kept[-1])
+    scores = {r["doc_id"]: r["score"] for r in lm_scoring.score(few, F.lit(False), tokenizer).collect()}
+    for i, (ids, at) in held.items():
+        own, p = [lm_scoring.END_ID, *ids.tolist(), lm_scoring.END_ID], np.exp(kept[0].each(ids, at))
+        want = sum(math.log10((c[x] + lm_scoring.TRUST * q) / (first[x[0]] + lm_scoring.TRUST)) for x, q in zip(zip(own, own[1:], strict=False), p, strict=True))
+        assert scores[i] == pytest.approx(want, rel=1e-5)
