@@ -304,7 +304,7 @@ def chunk_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def question_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: greedy packs; tested against a loop."""
-    d = X.table(spark, sf_dir, "benchmark").withColumn("lengths", F.transform(F.slice(F.split("text", " "), 1, 12), lambda w: F.length(w)))
+    d = X.table(spark, sf_dir, "benchmark").withColumn("lengths", F.transform(F.split("text", " "), lambda w: F.length(w)))
     return d.select("item_id", F.to_json(T.packs(F.col("lengths"), 10, 30, 4)).alias("packs"))
 
 
