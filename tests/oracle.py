@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,7 +18,7 @@ def connect(sf_dir):
 
 
 def cell(x):
-    if x is None or x != x or str(x) in ("NaT", "<NA>"):
+    if x is None or (not hasattr(x, "__len__") and pd.isna(x)):
         return "~"
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))
