@@ -6,13 +6,12 @@ as the next stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clinflow.llm import exact_dedup, mixing, near_dedup, packing, queries, toxicity
-from clinflow.shared import shared_dir
+from clinflow.shared import made, new_path, release
 
 #: The mix repeats no source more than so many times as often as the least repeated, which is taken whole once.
 REPETITION = 1.5
@@ -58,8 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each one's result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    begun = made()
+    for _, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(path := new_path(spark))
+        release(spark, begun, keep=(path,))  # the stage's own tables and the stage before
         docs = spark.read.parquet(path)
     return docs
