@@ -35,3 +35,15 @@ def test_hot_group_is_split(spark, docs):
     hot = docs.crossJoin(spark.range(60).withColumnRenamed("id", "k")).selectExpr("doc_id * 60 + k as doc_id", "if(k < 20, 'the same text', concat(text, k)) as text")
     got = exact_dedup.classes(hot)
     assert got.where("group_size > 1000").count() == 20 * docs.count() and got.where("kept").count() == 1 + hot.where("text <> 'the same text'").select("text").distinct().count()
+
+
+def test_the_comparison_decides(spark, monkeypatch):
+    """With a comparison that finds no two texts equal nothing is a copy; with one that finds all equal all are. 5 texts in many buckets."""
+    monkeypatch.setattr(exact_dedup, "PER_BUCKET", 20)
+    df = spark.range(400).selectExpr("id as doc_id", "if(id < 200, 'Hot text', concat('text ', id % 4)) as text")
+    groups = lambda: sorted(r[0] for r in exact_dedup.classes(df).select("keep_id", "group_size").distinct().select("group_size").collect())
+    assert groups() == [50, 50, 50, 50, 200]
+    monkeypatch.setattr(exact_dedup, "_differs", lambda before, text: exact_dedup.F.lit(True))
+    assert groups() == [1] * 400
+    monkeypatch.setattr(exact_dedup, "_differs", lambda before, text: exact_dedup.F.lit(False))
+    assert groups() == [400]
