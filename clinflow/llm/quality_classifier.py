@@ -5,7 +5,8 @@ is linear in the shares of hashed byte trigrams and word bigrams of the whole te
 cells (repeated words, signs, capitals, digits, line lengths in steps). Trained by Adam on at most a
 stated number of graded rows; the thresholds are a first one plus positive gaps.
 
-Null texts are empty; an empty text has its own cell. Rows whose grade is null teach nothing; without
+A text's features come from that text alone, whatever stands beside it in a batch. Null texts are empty;
+an empty text has its own cell. Very long texts are read whole, one group of their own. Rows whose grade is null teach nothing; without
 graded rows every text gets equal chances. Repeated rows repeat their result. Other columns are dropped.
 """
 
@@ -60,6 +61,9 @@ def _indicators(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, at: np
     twin[at[:-1][at[:-1] < len(words)]] = False
     third = np.zeros(len(words), bool)
     third[2:] = words[2:] == words[:-2]
+    for k in (0, 1):
+        own = at[:-1][np.diff(at) > k] + k
+        third[own] = False
     sign = _SIGN[data]
     measures = [
         _shares(twin, at) * 4,
@@ -79,12 +83,18 @@ _UPPER[65:91] = True
 _DIGIT[48:58] = True
 
 
+#: Stands before a text's first word.
+START = np.uint64(0x5851F42D4C957F2D)
+
+
 def _parts(data: np.ndarray, offsets: np.ndarray):
     words, at = hashing.words(data, offsets)
     pair = np.zeros(0, np.int64)
     if len(words):
         with np.errstate(over="ignore"):
-            pair = (hashing.mixed(words * np.uint64(3) + np.roll(words, 1)) & np.uint64(CELLS - 1)).astype(np.int64) + CELLS
+            before = np.roll(words, 1)
+            before[at[:-1][np.diff(at) > 0]] = START  # a text's first word follows nothing of another text
+            pair = (hashing.mixed(words * np.uint64(3) + before) & np.uint64(CELLS - 1)).astype(np.int64) + CELLS
     return _trigrams(data, offsets), (pair, at), _indicators(data, offsets, words, at)
 
 
@@ -118,8 +128,8 @@ class Ordinal:
         (tri, a), (pair, b), cells = _parts(data, offsets)
         out = self.weights[cells].sum(1)
         for hit, at in ((tri, a), (pair, b)):
-            sums = np.concatenate([[0.0], np.cumsum(self.weights[hit], dtype=np.float64)])
-            out += SCALE * (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+            n = np.diff(at)
+            out += SCALE * np.bincount(np.repeat(np.arange(len(n)), n), self.weights[hit], len(n)) / np.maximum(n, 1)
         return out
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
