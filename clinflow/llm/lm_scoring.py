@@ -26,6 +26,7 @@ Without training documents all counts are 0 and every subword is equally rare. O
 from __future__ import annotations
 
 import copy
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -33,10 +34,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from tokenizers import Tokenizer
 
 from clinflow.llm import hashing, pieces
 from clinflow.llm.pieces import PieceEncoder, as_bytes, groups, ragged, rest
@@ -44,19 +47,21 @@ from clinflow.shared import materialise
 
 CLASSES = 32
 SYMBOLS = CLASSES * CLASSES
-WIDTH, CONTEXT, STRIDE = 32, 32, 32
+WIDTH, CONTEXT, STRIDE = 16, 16, 32
 SPAN = CONTEXT + STRIDE
 #: Subword ids of the tokenizer file; the last is the end's.
 IDS = 50_257
 END_ID = IDS - 1
 #: Words whose counts every task knows; all other words are looked up by a join.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 400_000
 KNOWN_PAIRS, TRUST = 500_000, 30.0
+#: Words whose ids a task remembers, ids handled at once.
+REMEMBERED, TOKENS_AT_ONCE = 400_000, 1 << 20
 #: Tokens whose pairs are held before they are summed.
 PAIRS_AT_ONCE = 1 << 21
-TRAIN_STEPS, BATCH_WINDOWS = 900, 64
+TRAIN_STEPS, BATCH_WINDOWS = 900, 128
 #: Averagings in a pass over the training documents; steps that small corpora are trained for, in more passes.
-ROUNDS, LEAST_STEPS = 4, 900
+ROUNDS, LEAST_STEPS = 4, 450
 #: Weights in a row when they are averaged.
 CHUNK = 1 << 12
 SMOOTH = 30.0
@@ -81,38 +86,88 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArr
     return words.dictionary_encode(), np.searchsorted(b, offsets)
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (binary; empty for the end), n: over all documents."""
+def encoded(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: _id, held_out, n_words and ids (little-endian 16-bit, as binary); and rows of word (binary; empty for the end), n, sums over documents outside held_out.
+
+    Every later pass reads the ids, so that a text is split and encoded once.
+    """
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([("_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("ids", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        sums: Counter[bytes] = Counter()
+        encoder = pieces.encoder(tokenizer, REMEMBERED, False)
 
         def rows() -> pa.RecordBatch:
-            got = pa.record_batch({"word": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
-            held.clear()
+            own = [pa.nulls(len(sums), f.type) for f in list(schema)[:4]]
+            got = pa.record_batch([*own, pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], schema=schema)
+            sums.clear()
             return got
 
         for batch in batches:
-            data, offsets = as_bytes(batch.column(0))
-            held[b""] += batch.num_rows
+            data, offsets = as_bytes(batch.column(2))
             for lo, hi in groups(offsets):
-                words, _ = split_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).tolist()
+                n, held = hi - lo, batch.column(1).slice(lo, hi - lo)
+                ids, at, words, word_at = encode_words(encoder, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                taught = ~held.to_numpy(zero_copy_only=False).astype(bool)
+                counts = np.bincount(words.indices.to_numpy()[np.repeat(taught, np.diff(word_at))], minlength=len(words.dictionary)).tolist()
                 for w, c in zip(words.dictionary.to_pylist(), counts, strict=True):
-                    held[w] += c
-                if len(held) > 400_000:
+                    if c:
+                        sums[w] += c
+                if taught.any():
+                    sums[b""] += int(taught.sum())
+                flat = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+                cols = [batch.column(0).slice(lo, n), held, pa.array(np.diff(word_at)), flat, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
+                yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                if len(sums) > 400_000:
                     yield rows()
         yield rows()
         rest()
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    wanted = docs.select(F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("_held"), F.col(text_col).alias("_text"))
+    return wanted.mapInArrow(run, f"_id {kind.simpleString()}, held_out boolean, n_words long, ids binary, word binary, n long")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word (binary; empty for the end), n: over all documents of `encoded` outside held_out."""
+    return rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def as_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents of a batch of `encoded`, and the n + 1 offsets of theirs."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    raw = column.buffers()[2]
+    ids = np.frombuffer(raw, "<u2", raw.size // 2) if raw is not None else np.zeros(0, "<u2")
+    return ids[at[0] : at[-1]], at - at[0]
+
+
+@functools.lru_cache(maxsize=2)
+def _vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all subwords one after another, where each begins, its length."""
+    of = {i: b for b, i in pieces._byte_ranks(Tokenizer.from_file(path)).items()}
+    size = np.array([len(of.get(i, b"")) for i in range(IDS)])
+    return np.frombuffer(b"".join(of.get(i, b"") for i in range(IDS)), np.uint8), np.cumsum(size) - size, size
+
+
+def words_of(ids: np.ndarray, at: np.ndarray, tokenizer: str) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words that `encode_words` has encoded as ids, as `split_words` gives them: each begins at a subword with a space before it."""
+    flat, first, size = _vocabulary(tokenizer)
+    ids = ids.astype(np.int64)
+    data = flat[ragged(first[ids], size[ids])]
+    ends = np.concatenate([[0], np.cumsum(size[ids])])
+    begins = data == 32
+    b = np.flatnonzero(begins)
+    kept = np.ascontiguousarray(data[~begins])
+    bounds = np.append(b - np.arange(len(b)), len(kept)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
+    return words.dictionary_encode(), np.searchsorted(b, ends[at])
 
 
 def pair_counts(words: DataFrame, tokenizer: str) -> DataFrame:
     """a, b, n: subword b after a inside words; a = IDS for a word's first subword, b = IDS after its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.encoder(tokenizer)
+        encoder = pieces.encoder(tokenizer, REMEMBERED, False)
         for batch in batches:
             known = [(b" " + w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w]
             if not known:
@@ -149,39 +204,37 @@ def followers(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return a * IDS + b
 
 
-def follower_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """pair (see `followers`), n: over all documents, across words."""
+def follower_counts(rows: DataFrame) -> DataFrame:
+    """pair (see `followers`), n: over all documents of `encoded` outside held_out, across words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held = pieces.encoder(tokenizer), []
+        held: list[np.ndarray] = []
 
-        def rows() -> pa.RecordBatch:
+        def summed() -> pa.RecordBatch:
             pair, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             held.clear()
             return pa.record_batch({"pair": pa.array(pair, pa.int64()), "n": pa.array(n.astype(np.int64))})
 
         for batch in batches:
-            data, offsets = as_bytes(batch.column(0))
-            for lo, hi in groups(offsets, 1 << 20):
-                held.append(followers(*encode_words(encoder, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[:2]))
+            ids, at = as_ids(batch.column(0))
+            for lo, hi in groups(at, TOKENS_AT_ONCE):
+                held.append(followers(ids[at[lo] : at[hi]].astype(np.int64), at[lo : hi + 1] - at[lo]))
                 if sum(map(len, held)) > PAIRS_AT_ONCE:
-                    yield rows()
-        yield rows()
+                    yield summed()
+        yield summed()
         rest()
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return taught(rows).select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def taught(rows: DataFrame) -> DataFrame:
+    """The documents of `encoded` that may be learnt from."""
+    return rows.where("not held_out")
 
 
 def known_pairs(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted pairs with their counts, those above a count that leaves at most KNOWN_PAIRS, and the counts of all ids as the first of a pair."""
-    level = F.floor(F.log2("n") * 4).cast("int")
-    least, so_far = 1 << 30, 0
-    for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):
-        so_far += r["k"]
-        if so_far > KNOWN_PAIRS:
-            break
-        least = r["level"]
-    got = table.where(level >= least).toArrow()
+    got = table.where(F.col("n") >= _least(table, KNOWN_PAIRS)).toArrow()
     pair, n = (got.column(c).to_numpy() for c in ("pair", "n"))
     order = np.argsort(pair)
     ones = table.groupBy(F.floor(F.col("pair") / IDS).cast("int").alias("a")).agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
@@ -212,34 +265,39 @@ class Model:
     def attend(self, x: np.ndarray, real: np.ndarray) -> tuple:
         """States of the last STRIDE places of each window; real: False where a window reaches back over the document's start."""
         last = x[:, CONTEXT:]
-        q, k, v = self.query[last], self.key[x], self.value[x]
+        q, k, v = np.take(self.query, last, 0), np.take(self.key, x, 0), np.take(self.value, x, 0)
+        q *= np.float32(1 / math.sqrt(WIDTH))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(1 / math.sqrt(WIDTH))
         a += _relative(self.place)
-        if not real.all():
-            a += np.where(real, np.float32(0), np.float32(-1e9))[:, None, :]
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        return np.tanh(np.matmul(a, v) + self.own[last]), a, q, k, v
+        short = np.flatnonzero(~real[:, 0])
+        if len(short):
+            a[short] += np.where(real[short], np.float32(0), np.float32(-1e9))[:, None, :]
+        a = _weights(a)
+        h = np.matmul(a, v)
+        h += np.take(self.own, last, 0)
+        return np.tanh(h, out=h), a, q, k, v
+
+    def logits(self, h: np.ndarray, before: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class logits, logits of the symbols of the row's class cls, and the bounds of the classes' rows; the rows are sorted by class."""
+        top = h @ self.to_class.T
+        top += np.take(self.head, before, 0)
+        bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
+        members, low = self.to_symbol.reshape(CLASSES, CLASSES, WIDTH), np.empty((len(cls), CLASSES), np.float32)
+        for c in np.flatnonzero(np.diff(bounds)):
+            np.matmul(h[bounds[c] : bounds[c + 1]], members[c].T, out=low[bounds[c] : bounds[c + 1]])
+        low += np.take(self.pair.reshape(SYMBOLS * CLASSES, CLASSES), before * CLASSES + cls, 0)
+        return top, low, bounds
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Natural log-probability of each symbol y after the windows x."""
         h = self.attend(x, real)[0].reshape(-1, WIDTH)
-        before, y = x[:, CONTEXT:].ravel(), y.ravel()
-        cls = y // CLASSES
-        i = np.arange(len(y))
-        top = h @ self.to_class.T
-        top += self.head[before]
-        out = top[i, cls].astype(np.float64) - _logsum(top)
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        members, low = self.to_symbol.reshape(CLASSES, CLASSES, WIDTH), np.empty((len(y), CLASSES), np.float32)
-        sorted_h = h[order]
-        for c in np.flatnonzero(np.diff(bounds)):
-            np.matmul(sorted_h[bounds[c] : bounds[c + 1]], members[c].T, out=low[bounds[c] : bounds[c + 1]])
-        low += self.pair.reshape(SYMBOLS * CLASSES, CLASSES)[before[order] * CLASSES + cls[order]]
-        out[order] += low[i, y[order] % CLASSES] - _logsum(low)
+        y = y.ravel()
+        order = np.argsort((y // CLASSES).astype(np.uint8), kind="stable")
+        y = y[order]
+        top, low, _ = self.logits(np.take(h, order, 0), x[:, CONTEXT:].ravel()[order], y // CLASSES)
+        i, out = np.arange(0, CLASSES * len(y), CLASSES), np.empty(len(y))
+        hit = np.take(top.ravel(), i + y // CLASSES) + np.take(low.ravel(), i + y % CLASSES)
+        out[order] = hit - _logsum(top) - _logsum(low)
         return out
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -252,7 +310,7 @@ class Model:
         n = len(at) - 1
         sizes = np.diff(at) + 1
         starts = at[:-1] + np.arange(n)  # in the stream of texts with their ends
-        y = np.full(len(ids) + n, self.end, np.int64)
+        y = np.full(len(ids) + n, self.end, np.int32)
         rare = np.zeros(len(y))
         inside = np.ones(len(y), bool)
         inside[starts + sizes - 1] = False
@@ -271,7 +329,7 @@ class Model:
             real = place >= 0
             p = starts[w][:, None] + np.clip(place, 0, sizes[w][:, None] - 1)
             own = place[:, CONTEXT:] < sizes[w][:, None]
-            got = self.log_probabilities(x[p], y[p[:, CONTEXT:]], real).reshape(own.shape)
+            got = self.log_probabilities(np.take(x, p), np.take(y, p[:, CONTEXT:]), real).reshape(own.shape)
             out[p[:, CONTEXT:][own]] += got[own]
         return out
 
@@ -282,9 +340,30 @@ def _relative(place: np.ndarray) -> np.ndarray:
     return np.where(distance >= 0, place[np.clip(distance, 0, SPAN - 1)], np.float32(-1e9)).astype(np.float32)
 
 
+def _weights(a: np.ndarray) -> np.ndarray:
+    """Attention weights of the scores a (windows x STRIDE x SPAN), in place. Masked scores are far below zero; every row sees its own place, so rows are shifted only where a score is extreme."""
+    own = a[:, np.arange(STRIDE), np.arange(CONTEXT, SPAN)]
+    if a.size and (a.max() > 60 or own.min() < -60):
+        a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
+    a *= 1 / np.matmul(a, np.ones((SPAN, 1), np.float32))
+    return a
+
+
 def _logsum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    """Logarithm of the sum of exponentials of each row, in double precision."""
+    shift = x.max(1) if x.size and (x.max() > 60 or x.min() < -60) else None
+    e = np.exp(x if shift is None else x - shift[:, None])
+    sums = np.log((e @ np.ones(x.shape[1], np.float32)).astype(np.float64))
+    return sums if shift is None else sums + shift
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(1)[:, None]
+    np.exp(x, out=x)
+    x *= 1 / (x @ np.ones((x.shape[1], 1), np.float32))
+    return x
 
 
 def _classes(p: np.ndarray) -> np.ndarray:
@@ -307,10 +386,9 @@ def _classes(p: np.ndarray) -> np.ndarray:
 
 def prior(pairs: DataFrame, documents: int) -> Model:
     """The model before training of its attention: corpus counts only."""
-    ones = pairs.where(F.col("b") < IDS).groupBy("b").agg(F.sum("n").alias("n")).collect()  # at most IDS rows
+    ones = pairs.where(F.col("b") < IDS).groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
     counts = np.zeros(IDS)
-    for r in ones:
-        counts[r["b"]] = r["n"]
+    counts[ones.column("b").to_numpy()] = ones.column("n").to_numpy()
     counts[END_ID] = 0
     order = np.argsort(-counts, kind="stable")
     top = order[order != END_ID][: SYMBOLS - 2]
@@ -327,9 +405,10 @@ def prior(pairs: DataFrame, documents: int) -> Model:
     for side in ("a", "b"):
         mapped = mapped.join(F.broadcast(names.withColumnRenamed("id", side).withColumnRenamed("s", f"s{side}")), side, "left")
     name = lambda side: F.when(F.col(side) == IDS, F.lit(SYMBOLS)).otherwise(F.coalesce(f"s{side}", F.lit(rare_symbol)))
-    got = mapped.select(name("a").alias("x"), name("b").alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n")).toPandas()
+    got = mapped.select(name("a").alias("x"), name("b").alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((SYMBOLS + 1, SYMBOLS + 1))
-    table[got["x"], got["y"]] = got["n"]
+    table[got.column("x").to_numpy(), got.column("y").to_numpy()] = got.column("n").to_numpy()
+    del got, mapped
     words = table[SYMBOLS].sum()
     begin = table[SYMBOLS, :SYMBOLS].copy()
     begin[end] = documents
@@ -352,14 +431,18 @@ def prior(pairs: DataFrame, documents: int) -> Model:
     )
 
 
-def _summed(where: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Sums of the rows of g by symbol."""
-    sums = np.zeros((SYMBOLS, g.shape[1]), np.float32)
+def _summed(where: np.ndarray, *parts: np.ndarray) -> list[np.ndarray]:
+    """Sums of the rows of each part by symbol."""
+    where = where.ravel().astype(np.int16)
     order = np.argsort(where, kind="stable")
     own = where[order]
     b = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    sums[own[b]] = np.add.reduceat(g[order], b)
-    return sums
+    out = []
+    for g in parts:
+        sums = np.zeros((SYMBOLS, WIDTH), np.float32)
+        sums[own[b]] = np.add.reduceat(np.take(g.reshape(-1, WIDTH), order, 0), b)
+        out.append(sums)
+    return out
 
 
 def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRAIN_STEPS, rate: float = 0.004, seed: int = 9, state: dict | None = None) -> Model:
@@ -370,9 +453,9 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
     n = len(at) - 1
     if n < 1:
         return model
-    streams = [np.concatenate([[model.end], model.symbol[ids[a:b]], [model.end]]) for a, b in zip(at, at[1:], strict=False)]
-    flat = np.concatenate(streams)
-    first = np.cumsum([0] + [len(s) for s in streams])
+    first = at + 2 * np.arange(n + 1)  # each text between two ends
+    flat = np.full(len(ids) + 2 * n, model.end, np.int32)
+    flat[np.arange(len(ids)) + np.repeat(2 * np.arange(n) + 1, np.diff(at))] = model.symbol[ids]
     counts = -(-(np.diff(first) - 1) // STRIDE)
     docs, offsets = np.repeat(np.arange(n), counts), STRIDE * ragged(np.zeros(n, np.int64), counts)
     draw = np.random.default_rng(seed)
@@ -384,42 +467,40 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
     state["t"] = begun + steps
     passes = np.concatenate([draw.permutation(len(docs)) for _ in range(-(-steps * BATCH_WINDOWS // len(docs)))]) if steps else ()
     distance = np.clip(np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :], 0, SPAN - 1)
+    members = model.to_symbol.reshape(CLASSES, CLASSES, WIDTH)
     for t in range(begun + 1, begun + steps + 1):
         chosen = passes[(t - begun - 1) * BATCH_WINDOWS : (t - begun) * BATCH_WINDOWS]
         d, o = docs[chosen], offsets[chosen]
         size = np.diff(first)[d] - 1
         place = o[:, None] + np.arange(-CONTEXT, STRIDE)
-        real = place >= 0
         p = first[d][:, None] + np.clip(place, 0, size[:, None] - 1)
-        x, y = flat[p], flat[p[:, CONTEXT:] + 1].ravel()
-        own = (place[:, CONTEXT:] < size[:, None]).ravel().astype(np.float32)
-        h, a, q, k, v = model.attend(x, real)
-        hs, before, cls = h.reshape(-1, WIDTH), x[:, CONTEXT:].ravel(), y // CLASSES
-        i = np.arange(len(y))
-        scale = own[:, None] / max(1.0, own.sum())
-        top = model.head[before] + hs @ model.to_class.T
-        top = np.exp(top - _logsum(top)[:, None])
-        top[i, cls] -= 1
-        top *= scale
-        members = model.to_symbol.reshape(CLASSES, CLASSES, WIDTH)[cls]
-        low = model.pair.reshape(SYMBOLS * CLASSES, CLASSES)[before * CLASSES + cls] + np.matmul(members, hs[:, :, None])[:, :, 0]
-        low = np.exp(low - _logsum(low)[:, None])
-        low[i, y % CLASSES] -= 1
-        low *= scale
-        dh = top @ model.to_class + np.matmul(low[:, None, :], members)[:, 0]
-        grads = {"to_class": top.T @ hs, "to_symbol": np.zeros((CLASSES, CLASSES, WIDTH), np.float32)}
-        for c in np.unique(cls):
-            mine = cls == c
+        x, y = np.take(flat, p), np.take(flat, p[:, CONTEXT:] + 1).ravel()
+        h, a, q, k, v = model.attend(x, place >= 0)
+        # rows sorted by the class of what follows, places after the text's end left out
+        order = np.argsort((y // CLASSES).astype(np.uint8), kind="stable")
+        order = order[(place[:, CONTEXT:] < size[:, None]).ravel()[order]]
+        hs, y = np.take(h.reshape(-1, WIDTH), order, 0), y[order]
+        top, low, bounds = model.logits(hs, x[:, CONTEXT:].ravel()[order], y // CLASSES)
+        i, scale = np.arange(0, CLASSES * len(y), CLASSES), np.float32(1 / len(y))
+        for g, hit in ((_softmax(top), y // CLASSES), (_softmax(low), y % CLASSES)):
+            g.ravel()[i + hit] -= 1
+            g *= scale
+        own, grads = top @ model.to_class, {"to_class": top.T @ hs, "to_symbol": np.zeros((CLASSES, CLASSES, WIDTH), np.float32)}
+        for c in np.flatnonzero(np.diff(bounds)):
+            mine = slice(bounds[c], bounds[c + 1])
             grads["to_symbol"][c] = low[mine].T @ hs[mine]
+            own[mine] += low[mine] @ members[c]
         grads["to_symbol"] = grads["to_symbol"].reshape(SYMBOLS, WIDTH)
-        dz = (dh * (1 - hs * hs)).reshape(h.shape)
-        dp = np.matmul(dz, v.transpose(0, 2, 1))
-        da = a * (dp - (dp * a).sum(-1, keepdims=True))
+        dz = np.zeros_like(h)
+        dz.reshape(-1, WIDTH)[order] = own * (1 - hs * hs)
+        da = np.matmul(dz, v.transpose(0, 2, 1))
+        da *= a
+        da -= a * np.matmul(da, np.ones((SPAN, 1), np.float32))
         grads["place"] = np.bincount(distance.ravel(), da.sum(0).ravel(), SPAN).astype(np.float32)
-        da *= np.float32(1 / math.sqrt(WIDTH))
-        last = x[:, CONTEXT:]
-        for name, where, g in (("own", last, dz), ("query", last, np.matmul(da, k)), ("key", x, np.matmul(da.transpose(0, 2, 1), q)), ("value", x, np.matmul(a.transpose(0, 2, 1), dz))):
-            grads[name] = _summed(where.ravel(), g.reshape(-1, WIDTH))
+        dq = np.matmul(da, k)
+        dq *= np.float32(1 / math.sqrt(WIDTH))  # q is scaled already
+        grads["own"], grads["query"] = _summed(x[:, CONTEXT:], dz, dq)
+        grads["key"], grads["value"] = _summed(x, np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dz))
         step = rate * min(1.0, t / 50) * (1 - 0.9 * t / steps if falls else 1)
         for name, g in grads.items():
             m, s = moments[name]
@@ -429,17 +510,16 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
     return model
 
 
-def train_round(docs: DataFrame, model: Model, tokenizer: str, rate: float, text_col: str = "text") -> int:
-    """Every partition of docs trains a copy of the model on all its windows; the model gets the mean of their weights by windows. Returns the windows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def train_round(rows: DataFrame, model: Model, rate: float) -> int:
+    """Every partition of rows (of `encoded`) trains a copy of the model on all its windows; the model gets the mean of their weights by windows. Returns the windows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, state, encoder = copy.deepcopy(shared.value), {}, pieces.encoder(tokenizer)
+        own, state = copy.deepcopy(shared.value), {}
         for batch in batches:
-            data, offsets = as_bytes(batch.column(0))
-            for lo, hi in groups(offsets, 1 << 20):
-                ids, at = encode_words(encoder, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[:2]
-                train(own, ids, at, None, rate, 9 + state.get("t", 0), state)
+            ids, at = as_ids(batch.column(0))
+            for lo, hi in groups(at, TOKENS_AT_ONCE):
+                train(own, ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], None, rate, 9 + state.get("t", 0), state)
         n = state.get("windows", 0)
         if n:
             flat = np.concatenate([getattr(own, k).ravel() for k in Model.LEARNT]).astype(np.float64) * n
@@ -458,7 +538,7 @@ def train_round(docs: DataFrame, model: Model, tokenizer: str, rate: float, text
         yield pa.record_batch({"chunk": pa.array(list(sums), pa.int32()), "n": pa.array([windows[c] for c in sums], pa.int64()), "held": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     kind = "chunk int, n long, held binary"
-    got = sorted(docs.select(F.col(text_col).alias("_text")).mapInArrow(run, kind).repartition("chunk").mapInArrow(total, kind).collect())
+    got = sorted(rows.select("ids").mapInArrow(run, kind).repartition("chunk").mapInArrow(total, kind).collect())
     shared.unpersist()
     if not got:
         return 0
@@ -470,16 +550,17 @@ def train_round(docs: DataFrame, model: Model, tokenizer: str, rate: float, text
     return got[0]["n"]
 
 
-def learn(docs: DataFrame, words: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts from the word table of all training documents, attention from all training documents."""
+def learn(rows: DataFrame, words: DataFrame, tokenizer: str) -> Model:
+    """Counts from the word table of all training documents, attention from all training documents. rows: of `encoded`."""
     pairs = materialise(pair_counts(words, tokenizer))
-    model = prior(pairs, docs.count())
+    rows = taught(rows)
+    model = prior(pairs, rows.count())
     done, windows = 0, 1
     while windows and done < LEAST_STEPS * BATCH_WINDOWS:
         windows = 0
         for r in range(ROUNDS):
-            slice_ = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(ROUNDS)) == r)
-            windows += train_round(slice_, model, tokenizer, 0.004 * (1 - 0.9 * min(1.0, (done + windows) / (LEAST_STEPS * BATCH_WINDOWS)) * r / ROUNDS), text_col)
+            slice_ = rows.where(F.pmod(F.xxhash64(F.col("_id"), F.lit(17)), F.lit(ROUNDS)) == r)
+            windows += train_round(slice_, model, 0.004 * (1 - 0.9 * min(1.0, (done + windows) / (LEAST_STEPS * BATCH_WINDOWS)) * r / ROUNDS))
         done += windows
     return model
 
@@ -496,62 +577,82 @@ def encode_words(encoder: PieceEncoder, data: np.ndarray, offsets: np.ndarray) -
     return ids, sums[at], words, at
 
 
+def known_words(words: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The most frequent words and their counts: those above a count that leaves at most KNOWN_WORDS, and the end."""
+    got = words.where((F.col("n") >= _least(words, KNOWN_WORDS)) | (F.col("word") == F.lit(b""))).toArrow()
+    return got.column("word").combine_chunks().cast(pa.large_binary()), got.column("n").to_numpy()
+
+
+def _least(table: DataFrame, most: int) -> int:
+    """A count n that at most `most` rows of the table reach; found over powers of the fourth root of two."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    least, so_far = 1 << 62, 0
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), reverse=True):
+        so_far += r["k"]
+        if so_far > most:
+            break
+        least = r["n"]
+    return least
+
+
 def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: true for documents that nothing is learnt from.
     """
-    held_out = F.coalesce(held_out, F.lit(False))
-    taught = docs.where(~held_out)
-    words = materialise(word_counts(taught, text_col))
+    coded = materialise(encoded(docs, held_out, tokenizer, id_col, text_col))
+    words = materialise(word_counts(coded))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = learn(taught, words, tokenizer, id_col, text_col)
-    known = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()}  # a bounded table
+    pairs = materialise(follower_counts(coded))
+    model = learn(coded, words, tokenizer)
     whole = total + 0.5 * (distinct + 1)
-    spark = docs.sparkSession
-    pairs = materialise(follower_counts(taught, tokenizer, text_col))
-    shared = spark.sparkContext.broadcast((model, known, known_pairs(pairs)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, *known_words(words), known_pairs(pairs)))
     kind = docs.schema[id_col].dataType
     schema = pa.schema([("row", pa.int64()), ("_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64()), ("pair", pa.int64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, (often, often_n, before) = shared.value
-        encoder = pieces.encoder(tokenizer)
+        model, known, known_n, (often, often_n, before) = shared.value
         row = TaskContext.get().partitionId() << 36
-        end_value = math.log10((known.get(b"", 0) + 0.5) / whole)
+        ends = known_n[pc.index(known, b"").as_py()] if len(known) else 0
+        end_value = math.log10((ends + 0.5) / whole)
         nulls = lambda n, f: pa.nulls(n, schema.field(f).type)
         for batch in batches:
-            data, offsets = as_bytes(batch.column(2))
-            for lo, hi in groups(offsets, 1 << 20):
+            all_ids, all_at = as_ids(batch.column(3))
+            for lo, hi in groups(all_at, TOKENS_AT_ONCE):
                 n = hi - lo
-                ids, at, words, word_at = encode_words(encoder, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                counts = np.array([known.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                ids, at = all_ids[all_at[lo] : all_at[hi]].astype(np.int64), all_at[lo : hi + 1] - all_at[lo]
+                words, word_at = words_of(ids, at, tokenizer)
+                place = pc.fill_null(pc.index_in(words.dictionary, known), -1).to_numpy() if len(known) else np.full(len(words.dictionary), -1)
+                counts = np.where(place >= 0, known_n[place] if len(known) else 0, -1)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
                 whose = np.repeat(np.arange(n), np.diff(word_at))
                 found = counts >= 0
                 base = np.bincount(whose[found], np.log10((counts[found] + 0.5) / whole), n) + end_value
-                n_known = np.bincount(whose[found], minlength=n) + (known.get(b"", 0) > 0)
+                n_known = np.bincount(whose[found], minlength=n) + (ends > 0)
                 own = row + np.arange(n)
-                follows, p, text = followers(ids, at), np.exp(model.each(ids, at)) * TRUST, np.repeat(np.arange(n), np.diff(at) + 1)
-                place = np.minimum(np.searchsorted(often, follows), max(0, len(often) - 1))
-                told = often[place] == follows if len(often) else np.zeros(len(follows), bool)
-                part = -np.log10(before[follows // IDS] + TRUST)
-                part[told] += np.log10(often_n[place[told]] + p[told])
+                p, text = np.exp(model.each(ids, at)) * TRUST, np.repeat(np.arange(n), np.diff(at) + 1)
+                pair, which = np.unique(followers(ids, at), return_inverse=True)
+                place = np.minimum(np.searchsorted(often, pair), max(0, len(often) - 1))
+                told = often[place] == pair if len(often) else np.zeros(len(pair), bool)
+                seen = np.where(told, often_n[place], 0.0)[which] if len(often) else np.zeros(len(which))
+                told = told[which]
+                part = -np.log10(before[pair // IDS] + TRUST)[which]
+                part[told] += np.log10(seen[told] + p[told])
                 cols = [pa.array(own), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(word_at) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(np.bincount(text, part, n)), *[nulls(n, f) for f in ("word", "n", "pair", "p")]]
                 yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
                 if not found.all():
-                    pair, times = np.unique(whose[~found] * len(words.dictionary) + words.indices.to_numpy()[~found], return_counts=True)
-                    which = words.dictionary.take(pa.array(pair % len(words.dictionary))).cast(pa.binary())
-                    m = len(pair)
-                    cols = [pa.array(own[pair // len(words.dictionary)]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score")], which, pa.array(times.astype(np.int64)), nulls(m, "pair"), nulls(m, "p")]
+                    both, times = np.unique(whose[~found] * len(words.dictionary) + words.indices.to_numpy()[~found], return_counts=True)
+                    named = words.dictionary.take(pa.array(both % len(words.dictionary))).cast(pa.binary())
+                    m = len(both)
+                    cols = [pa.array(own[both // len(words.dictionary)]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score")], named, pa.array(times.astype(np.int64)), nulls(m, "pair"), nulls(m, "p")]
                     yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
                 if not told.all():
                     m = int((~told).sum())
-                    cols = [pa.array(own[text[~told]]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n")], pa.array(follows[~told]), pa.array(p[~told])]
+                    cols = [pa.array(own[text[~told]]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n")], pa.array(pair[which[~told]]), pa.array(p[~told])]
                     yield pa.record_batch(cols, schema=schema)
                 row += n
         rest()
 
-    rows = docs.select(F.col(id_col).alias("_id"), held_out.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(run, f"row long, _id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long, pair long, p double")
+    rows = coded.where("held_out is not null").select("_id", "held_out", "n_words", "ids").mapInArrow(run, f"row long, _id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long, pair long, p double")
     rows = materialise(rows)
     looked_up = rows.where("word is not null").select("row", "word", F.col("n").alias("times")).join(words, "word", "left")
     c = F.coalesce("n", F.lit(0))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinflow.llm import lm_scoring, pieces, queries
+from clinflow.shared import materialise
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -36,13 +37,17 @@ def test_base_and_held_out(spark, tiny, docs):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
 
 
+def coded(docs, tokenizer):
+    return materialise(lm_scoring.encoded(docs, F.lit(False), tokenizer))
+
+
 def test_windows_score_each_token_once(docs, tokenizer):
-    words = lm_scoring.word_counts(docs)
-    model = lm_scoring.learn(docs, words, tokenizer)
+    rows = coded(docs, tokenizer)
+    model = lm_scoring.learn(rows, lm_scoring.word_counts(rows), tokenizer)
     texts = ["", "the", "the and of ", "one two three " * 60]
     import pyarrow as pa
 
-    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer), *pieces.as_bytes(pa.array(texts)))[:2]
+    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(pa.array(texts)))[:2]
     got = model.score(ids, at)
     for k in range(len(texts)):
         own = [model.end, *model.symbol[ids[at[k] : at[k + 1]]], model.end]
@@ -71,8 +76,8 @@ def test_training_lowers_loss(docs, tokenizer):
     import pyarrow as pa
 
     texts = [r["text"] for r in docs.collect()]
-    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer), *pieces.as_bytes(pa.array(texts)))[:2]
-    pairs = lm_scoring.pair_counts(lm_scoring.word_counts(docs), tokenizer)
+    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(pa.array(texts)))[:2]
+    pairs = lm_scoring.pair_counts(lm_scoring.word_counts(coded(docs, tokenizer)), tokenizer)
     model = lm_scoring.prior(pairs, len(texts))
     before = model.score(ids, at).sum()
     assert lm_scoring.train(model, ids, at, 150).score(ids, at).sum() > before
@@ -88,25 +93,26 @@ def test_edges(odd, none, tokenizer):
 
 def test_attention_is_trained_on_all_documents(spark, docs, tokenizer, monkeypatch):
     texts = [r["text"] or "" for r in docs.collect()]
-    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer), *pieces.as_bytes(lm_scoring.pa.array(texts)))[:2]
+    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(lm_scoring.pa.array(texts)))[:2]
     windows = int((-(-(np.diff(at) + 1) // lm_scoring.STRIDE)).sum())
     seen, one = [], lm_scoring.train_round
     monkeypatch.setattr(lm_scoring, "train_round", lambda *a, **b: seen.append(one(*a, **b)) or seen[-1])
     monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
-    before = lm_scoring.prior(lm_scoring.pair_counts(lm_scoring.word_counts(docs), tokenizer), len(texts)).score(ids, at).sum()
-    model = lm_scoring.learn(docs.repartition(3), lm_scoring.word_counts(docs), tokenizer)
+    rows = coded(docs, tokenizer)
+    before = lm_scoring.prior(lm_scoring.pair_counts(lm_scoring.word_counts(rows), tokenizer), len(texts)).score(ids, at).sum()
+    model = lm_scoring.learn(rows.repartition(3), lm_scoring.word_counts(rows), tokenizer)
     assert len(seen) == lm_scoring.ROUNDS and sum(seen) == windows
     assert model.score(ids, at).sum() > before
 
 
 def test_pairs_across_words_are_counted_and_scored(docs, tokenizer, monkeypatch):
     texts = [(r["doc_id"], r["text"] or "") for r in docs.limit(40).collect()]
-    few, encoder, c, held = docs.sparkSession.createDataFrame(texts, "doc_id long, text string"), pieces.encoder(tokenizer), Counter(), {}
+    few, encoder, c, held = docs.sparkSession.createDataFrame(texts, "doc_id long, text string"), pieces.encoder(tokenizer, special=False), Counter(), {}
     for i, t in texts:
         ids, at = lm_scoring.encode_words(encoder, *pieces.as_bytes(lm_scoring.pa.array([t])))[:2]
         own, held[i] = [lm_scoring.END_ID, *ids.tolist(), lm_scoring.END_ID], (ids, at)
         c.update(zip(own, own[1:], strict=False))
-    got = {divmod(r["pair"], lm_scoring.IDS): r["n"] for r in lm_scoring.follower_counts(few, tokenizer).collect()}
+    got = {divmod(r["pair"], lm_scoring.IDS): r["n"] for r in lm_scoring.follower_counts(coded(few, tokenizer)).collect()}
     assert got == dict(c)
     one, first = lm_scoring.learn, Counter()
     for (a, _), n in c.items():
@@ -120,3 +126,12 @@ def test_pairs_across_words_are_counted_and_scored(docs, tokenizer, monkeypatch)
         own, p = [lm_scoring.END_ID, *ids.tolist(), lm_scoring.END_ID], np.exp(kept[0].each(ids, at))
         want = sum(math.log10((c[x] + lm_scoring.TRUST * q) / (first[x[0]] + lm_scoring.TRUST)) for x, q in zip(zip(own, own[1:], strict=False), p, strict=True))
         assert scores[i] == pytest.approx(want, rel=1e-5)
+
+
+def test_words_come_back_from_ids(odd, tokenizer):
+    import pyarrow as pa
+
+    texts = pa.array([r["text"] for r in odd.collect()] + [" \u00a0x it's 12ab \U0001f600\u3000 <|endoftext|> a\x0bb"], pa.string())
+    ids, at, words, word_at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(texts))
+    got, got_at = lm_scoring.words_of(ids, at, tokenizer)
+    assert got.to_pylist() == words.to_pylist() and got_at.tolist() == word_at.tolist()
