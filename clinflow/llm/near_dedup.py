@@ -16,7 +16,8 @@ of a bucket ends in one class or is found to be below SIMILAR. Texts with equal
 shingles are one node throughout, and joins on a hot node or bucket go by broadcast of that one row.
 
 Every row of the input gets its class, repeated rows too; other columns are ignored by `classes` and
-carried by `representatives`. A text that only rows with a null id have is not compared with others.
+carried by `representatives`. Rows with a null id take part; a class of nothing else has a null class_id and all its rows are
+kept. Ties of samples are broken by the shingle. Very long texts are shingled whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -207,7 +208,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, idf: np.ndarray) -> Data
 
 
 def _features(docs: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFrame:
-    """_node, _s (sorted 32-bit shingle hashes), _w (levels) of the rows in `wanted` (_id, _node)."""
+    """_node, _s (sorted 32-bit shingle hashes), _w (levels) of the rows in `wanted` (_id, _node). Rows without an id are found by their node."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +217,15 @@ def _features(docs: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFrame:
             for lo, hi in groups(offsets, GROUP):
                 s, tf, at = distinct(*shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
                 w, own = levels(s, tf, shared.value).astype(np.uint8), batch.column(0).slice(lo, hi - lo)
-                asked = pa.array([a == b for a, b in zip(_names(s, tf, at), own.to_pylist(), strict=True)], pa.bool_())  # an id may have several texts
+                names = _names(s, tf, at)
+                asked = pa.array([a is not None and b in (None, a) for a, b in zip(names, own.to_pylist(), strict=True)], pa.bool_())  # an id may have several texts
+                own = pa.array(names, pa.binary())
                 s = (s >> np.uint64(32)).astype(np.uint32)  # the order stays
                 yield pa.record_batch([own, pa.array([s[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()), pa.array([w[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["_node", "_s", "_w"]).filter(asked)
         rest()
 
-    return docs.join(wanted, "_id").select("_node", "_text").mapInArrow(run, "_node binary, _s binary, _w binary")
+    rows = docs.join(wanted, "_id").select("_node", "_text").union(docs.where("_id is null").select(F.lit(None).cast("binary"), "_text"))
+    return rows.mapInArrow(run, "_node binary, _s binary, _w binary").join(wanted.select("_node"), "_node", "left_semi")
 
 
 def weighted_jaccard(s: np.ndarray, w: np.ndarray, t: np.ndarray, v: np.ndarray) -> float:
@@ -251,7 +255,7 @@ def _verified(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
     left = pairs.join(features.select(F.col("_node").alias("a"), F.col("_s").alias("s"), F.col("_w").alias("w")), "a")
     heads = materialise(pairs.groupBy("b").agg(F.count("*").alias("n")).join(features.select(F.col("_node").alias("b"), F.col("_s").alias("t"), F.col("_w").alias("v")), "b"))
-    both = join_hot(left, heads, ["b"], "n", HOT).select("a", "b", "s", "w", "t", "v")
+    both = join_hot(left, heads, ["b"], "n", HOT, F.octet_length("t") + F.octet_length("v")).select("a", "b", "s", "w", "t", "v")
     return both.mapInArrow(run, "a binary, b binary")
 
 

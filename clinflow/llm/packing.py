@@ -7,7 +7,8 @@ the partition's end the open windows are merged, cut where a window fills up, so
 window per partition is padded. There is no shuffle, and a lost task repeats the same windows.
 
 A null text is empty; an empty document is its end token alone. Repeated rows are packed once each.
-An empty table gives no sequences. Other columns are ignored.
+An empty table gives no sequences. Other columns are ignored, whatever their names. Very long texts fill windows of their own
+and only their last piece waits. Ties between windows go to the one opened first. The string of a special token is that token's id.
 """
 
 from __future__ import annotations

@@ -77,22 +77,29 @@ def _byte_ranks(tokenizer: Tokenizer) -> dict[bytes, int]:
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Is encoded in both ways when an encoder is made.
+PROBE = "It's we'll 12345 x9 -- naïve größer\tein\n\n  zwei   drei. 你好 😀!? don't\r\nA_b=(c) \u00a0 end "
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """The process's encoder for a tokenizer file; what it remembers serves all tasks of the process."""
-    return PieceEncoder(path)
+def encoder(path: str, most: int = MOST, special: bool = True) -> PieceEncoder:
+    """The process's encoder for a tokenizer file; what it remembers (about `most` pieces) serves all tasks of the process."""
+    return PieceEncoder(path, most, special)
 
 
 class PieceEncoder:
     """Encodes texts with the byte-level tokenizer file at `path`.
 
     Unknown pieces are joined and merged in one call; as every joined piece begins at a safe cut, the ids fall
-    apart at the pieces' bounds. Pieces at a text's bounds go through the tokenizer one by one.
+    apart at the pieces' bounds. Pieces at a text's bounds, and those with a special token's string, go through the
+    tokenizer one by one. special: that string is the special token's id, as in a plain call; else it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST, special: bool = True):
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         ranks = _byte_ranks(self.tokenizer)
         ranks = {b: i for b, i in ranks.items() if len(b) == 1 or not b.startswith(b"<|")}
         self.joined = tiktoken.Encoding("joined", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -100,6 +107,8 @@ class PieceEncoder:
         for b, i in ranks.items():
             self.bytes_of[i] = len(b)
         self._forget()
+        if (own := self.tokenizer.encode(PROBE, add_special_tokens=False).ids) != self.joined.encode_ordinary(PROBE):
+            raise ValueError(f"{path} divides or merges texts in another way than PATTERN and its ranks: {own}")
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -123,7 +132,7 @@ class PieceEncoder:
 
     def _rows(self, pieces: list[bytes]) -> np.ndarray:
         """Rows of the table of ids, adding what it lacks."""
-        if self.rows > MOST:
+        if self.rows > self.most:
             self._forget()
         out = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         lacking = np.flatnonzero(out < 0)
@@ -131,6 +140,8 @@ class PieceEncoder:
             return out
         lack = [pieces[i] for i in lacking]
         inner = np.fromiter((p[0] == 32 and _INNER[p[-1]] for p in lack), bool, len(lack))
+        for mark in self.marks:
+            inner &= ~np.fromiter((mark in p for p in lack), bool, len(lack))
         parts = [p for p, own in zip(lack, inner, strict=True) if own]
         if parts:
             ids = np.array(self.joined.encode_ordinary(b"".join(parts).decode("utf-8", "replace")), np.uint32)

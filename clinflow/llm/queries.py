@@ -19,22 +19,28 @@ def _fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
+def _held(remainder: int) -> Column:
+    """Whether the document is in the fold that nothing is learnt from; a document without an id is not."""
+    return F.coalesce(_fold() == remainder, F.lit(False))
+
+
 def tokenizer() -> str:
     """Path of the byte-level BPE file, which every machine has."""
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_table(spark, sf_dir, "documents"), _fold() == 1, tokenizer())
+    """Scores of all documents; learnt from those whose crc32 is not 1 modulo 5. Null text: empty, one token. Null id: learnt from. Repeated rows: one result each. Empty table: empty result. Other columns are ignored."""
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), _held(1), tokenizer())
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0 (poor), 1 (sound but toxic), 2 (sound); kept: sound is likelier than not."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     grades = labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
-    known = docs.select("doc_id", "text").where(_fold() != 0).join(grades, "doc_id")
+    known = docs.select("doc_id", "text").where(~_held(0)).join(grades, "doc_id")
     got = quality_classifier.grade(docs, quality_classifier.learn(known, 3))
-    return got.select("doc_id", (_fold() == 0).alias("held_out"), "expected_grade", F.col("tails")[0].alias("p_above_0"), F.col("tails")[1].alias("p_above_1"), (F.col("tails")[0] >= 0.5).alias("kept"))
+    return got.select("doc_id", _held(0).alias("held_out"), "expected_grade", F.col("tails")[0].alias("p_above_0"), F.col("tails")[1].alias("p_above_1"), (F.col("tails")[0] >= 0.5).alias("kept"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +50,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document. Null or empty text: a class of its own. Null id: takes part, and its class has the least id there is. Empty table: empty result."""
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
@@ -54,7 +61,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What the edits of op6 look for. A run of digits and an address cannot overlap: the run has no @ beside it.
-MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: Local parts are taken whole and from their beginning only, so that a run without @ is read once.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 DIGITS = r"(?<![0-9A-Za-z._%+@-])[0-9]{9,}(?![0-9A-Za-z._%+@-])"
 
 
@@ -65,22 +73,25 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents. Null text: its end token alone. Repeated rows: packed each. Empty table: no piece."""
     return packed(_table(spark, sf_dir, "documents"))
 
 
 def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
     """Learnt from the labelled documents outside fold 0."""
-    known = docs.select("doc_id", "text").where(_fold() != 0).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    known = docs.select("doc_id", "text").where(~_held(0)).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
     return toxicity.learn(known)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document. Null or empty text: the score of no match. Null id: not held out. Empty table: empty result."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     got = toxicity.score(docs, toxic_lexicon(docs, labels))
-    return got.select("doc_id", (_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return got.select("doc_id", _held(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document. Null text: none. Repeated rows: one result each. Empty table: empty result."""
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start_at"], s["end_at"])), ",")
     base = F.filter("found", lambda s: s["kind"] != "random")
@@ -91,10 +102,12 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, the largest id stays. Null text: empty. Null id: stays only where its group has no other. Empty table: empty result."""
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), keep="max")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document. Null text: no words, so it fails. Repeated rows: judged each. Empty table: empty result."""
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))

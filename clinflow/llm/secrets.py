@@ -4,7 +4,9 @@ Two order-2 character models, one of random strings and one of ordinary identifi
 labelled samples. A run of identifier characters is a secret when the log-likelihood ratio per
 character exceeds a threshold; runs that a fixed pattern covers keep the pattern's span. Offsets are
 code points, ends exclusive. Null texts count as empty; every row is judged for itself, so repeated
-rows repeat their result; other columns are dropped by `scan` but for the id.
+rows repeat their result; other columns are dropped by `scan` but for the id. Spans of one start are
+ordered by kind. Very long texts are read whole, in time that grows with their length. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,10 +100,13 @@ def base_spans(text: str, lower: str | None = None) -> list[tuple[int, str, int]
 
 def random_spans(text: str, base: list[tuple[int, str, int]], models: MarkovPair, threshold: float) -> list[tuple[int, str, int]]:
     """Runs that the models call random and that touch no span of base."""
-    out = []
+    out, far, at = [], 0, 0  # far: the furthest end of the base spans, sorted by their starts, that begin before the run's end
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and models.score(run) > threshold and not any(s < m.end() and m.start() < e for s, _, e in base):
+        while at < len(base) and base[at][0] < m.end():
+            far = max(far, base[at][2])
+            at += 1
+        if far <= m.start() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and models.score(run) > threshold:
             out.append((m.start(), "random", m.end()))
     return out
 

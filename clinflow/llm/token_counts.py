@@ -1,13 +1,14 @@
 """Token counts that follow edits.
 
 A document's pre-tokens are leaves of a segment tree whose nodes hold token sums. An edit re-encodes
-only the leaves it touches and those on either side up to the next safe cut, replaces them, and updates
-the sums above them. Leaves are groups of whole pieces that begin at a space after a printable
+only the leaves it touches and those on either side up to the next safe cut, replaces them in their places (a leaf may
+become empty or take what a neighbour cannot), and updates the sums above them. Leaves are groups of whole pieces that begin at a space after a printable
 character, which is always the beginning of a pre-token, so counts equal those of the whole text.
 
 Null texts are empty and count 0. Edits outside the text are clipped to it; edits of a document are
 applied in the order of their number, each on the text as it stands; a null replacement deletes. Edits of unknown documents
-change nothing. Repeated rows of a document are counted and edited each for itself.
+change nothing. Repeated rows of a document are counted and edited each for itself. Very long texts have a tree of many leaves, one long
+unbroken run is a leaf of its own. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from clinflow.llm import pieces
 from clinflow.llm.pieces import PieceEncoder, as_bytes, groups
 
-#: Bytes of a leaf at least.
-LEAF = 256
+#: Characters of a leaf at least when a text is cut, and the most that a leaf grows to by edits before the tree is built again.
+LEAF, LARGEST = 256, 4096
 _SAFE = re.compile(r"(?<=[!-~]) ")
 
 
@@ -85,25 +86,37 @@ class TokenTree:
         first, before = self.find(min(start, max(0, self.length - 1)))
         last, last_before = self.find(max(start, end - 1) if end > start else min(start, max(0, self.length - 1)))
         # the leaf before gives the left context, the leaf after begins at a space whose left neighbour may change
-        if first > 0 and start - before < 2:
-            first -= 1
-            before -= len(self.leaves[first])
-        while last + 1 < len(self.leaves) and (end - last_before >= len(self.leaves[last]) - 1 or not _safe(self.leaves[last], self.leaves[last + 1])):
+        if start - before < 2:
+            while first > 0:
+                first -= 1
+                before -= len(self.leaves[first])
+                if self.leaves[first]:
+                    break
+        left = self.leaves[last]
+        while last + 1 < len(self.leaves) and (end - last_before >= len(self.leaves[last]) - 1 or not _safe(left, self.leaves[last + 1])):
             last_before += len(self.leaves[last])
             last += 1
+            left = self.leaves[last] or left
         old = "".join(self.leaves[first : last + 1])
         new = cut(old[: start - before] + replacement + old[end - before :], LEAF)
         counts = self.count(new)
         self.encoded += sum(map(len, new))
-        if len(new) == last + 1 - first:
-            self.leaves[first : last + 1] = new
-            for i, (leaf, n) in enumerate(zip(new, counts, strict=True), first):
-                self._set(i, n, len(leaf))
-        else:
+        slots = last + 1 - first
+        if len(new) > slots and sum(map(len, new[slots - 1 :])) <= LARGEST:  # the last leaf takes the rest
+            new[slots - 1 :], counts[slots - 1 :] = ["".join(new[slots - 1 :])], [sum(counts[slots - 1 :])]
+        if len(new) <= slots:  # leaves keep their places, some stay empty: only the sums above them change
+            for i in range(slots):
+                leaf, n = (new[i], counts[i]) if i < len(new) else ("", 0)
+                if leaf or self.leaves[first + i]:
+                    self.leaves[first + i] = leaf
+                    self._set(first + i, n, len(leaf))
+        else:  # the text has grown by more than a leaf takes
             held = [int(x) for x in self.tokens[self.base : self.base + len(self.leaves)]]
             self.leaves[first : last + 1] = new
             held[first : last + 1] = counts
-            self._grow(held)
+            full = [i for i, x in enumerate(self.leaves) if x]
+            self.leaves = [self.leaves[i] for i in full]
+            self._grow([held[i] for i in full])
 
     def _set(self, leaf: int, tokens: int, chars: int) -> None:
         node = self.base + leaf

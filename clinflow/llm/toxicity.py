@@ -7,7 +7,9 @@ logistic curve over the sum, the number of matches and the normalised sum gives
 
 The lexicon is mined from labelled texts: word beginnings whose document rate among toxic texts is
 many times that among others. Null and empty texts have no match and get the score of no match.
-Repeated rows repeat their score. Texts whose label is null teach nothing.
+Repeated rows repeat their score. Texts whose label is null teach nothing; without labelled texts the
+lexicon is empty. Very long texts are folded and matched whole, in time that grows as n log n. An empty
+table gives an empty result. `score` ignores other columns, whatever their names; `without_toxic` keeps them.
 """
 
 from __future__ import annotations
@@ -79,7 +81,16 @@ class Lexicon:
                 excused.append((end - (-n), end))
             elif (start := end - n + 1) not in best or best[start][1] < weight:
                 best[start] = (end + 1, weight)
-        return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s < b for a, b in excused)]
+        if not excused:
+            return [(s, e, w) for s, (e, w) in best.items()]
+        # one sweep: the furthest end of the phrases that begin at or before a match
+        out, far, waiting = [], -1, sorted(excused, reverse=True)
+        for s in sorted(best):
+            while waiting and waiting[-1][0] <= s:
+                far = max(far, waiting.pop()[1])
+            if s >= far:
+                out.append((s, *best[s]))
+        return out
 
     def features(self, folded: str, automaton: ahocorasick.Automaton) -> tuple[float, float, float]:
         hits = self.matches(folded, automaton)

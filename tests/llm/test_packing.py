@@ -8,7 +8,6 @@ from clinflow.llm import packing
 
 def check(pieces, texts, tokenizer, window=1024):
     tk = Tokenizer.from_file(tokenizer)
-    tk.encode_special_tokens = True
     ids = [np.append(np.array(tk.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(0)).astype("<u4") for t in texts]
     rows = [r.asDict() for r in pieces.collect()]
     assert sum(r["length"] for r in rows) == sum(map(len, ids))
@@ -53,3 +52,27 @@ def test_windows_are_bounded():
         assert len(w.open) <= 3
     w.close()
     assert sum(out) == 690 and all(x == 100 for x in out[:-1])
+
+
+def test_ids_are_those_of_a_plain_call(tokenizer):
+    """Marks of special tokens, odd white space and unbroken runs included."""
+    import random
+
+    import pyarrow as pa
+    import pytest
+
+    from clinflow.llm import pieces
+
+    encoder, tk, draw = pieces.encoder(tokenizer), Tokenizer.from_file(tokenizer), random.Random(5)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\u00a0", "\u3000", "it's", "don't", " 12", "é", "ß ", "word", " Word", "<|", "|>", "😀", "\t", "!!", "A"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 14))) for _ in range(3000)] + ["ab" * 40_000]
+    arr = pa.array(texts)
+    ids, at = encoder.encode(*pieces.as_bytes(arr), arr)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tk.encode(t, add_special_tokens=False).ids, t
+    with pytest.raises(ValueError, match="another way"):
+        old, pieces.PATTERN = pieces.PATTERN, r"\S+|\s+"
+        try:
+            pieces.PieceEncoder(tokenizer)
+        finally:
+            pieces.PATTERN = old

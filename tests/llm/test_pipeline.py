@@ -34,3 +34,25 @@ def test_stages_take_effect(spark, tiny, docs, tmp_path):
 
 def test_run(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_on_odd_and_empty_tables(spark, tiny, odd, none, tmp_path):
+    """Nulls, long texts, repeated rows and clashing columns go through every stage; an empty table stays empty."""
+    for n, table in enumerate((odd, none)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, at, tiny)
+            got.write.parquet(str(tmp_path / f"{n}{name}"))
+            after = spark.read.parquet(str(tmp_path / f"{n}{name}"))
+            assert name == "packing" or after.columns == table.columns
+            assert (after.count() > 0) == (n == 0)
+            at = after
+
+
+def test_run_leaves_only_its_result(spark, none, tiny, tmp_path):
+    from clinflow import shared
+
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tiny}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    begun = shared.made()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0 and shared.made() == begun + 1

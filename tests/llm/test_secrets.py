@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from clinflow.llm import queries, secrets
 
@@ -41,3 +42,25 @@ def test_edges(odd, none):
 
 def test_redact():
     assert secrets.redact("a token=abcdefgh b", [(2, "assign", 16)]) == "a <assign> b"
+
+
+def test_model_spans_equal_a_plain_search(docs):
+    models = secrets.MarkovPair(secrets.samples(600))
+    texts = [r["text"] or "" for r in docs.collect()] + ["x = Zk3Qp9Lm2Xv8Rt5Wy7Bn4 token=Zk3Qp9Lm2Xv8Rt5Wy7Bn4 get_user_name_value_index_12"]
+    for text in texts:
+        base = secrets.base_spans(text)
+        wanted = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            padded = "\0\0" + m[0]
+            ratio = sum(models.ratio.get(padded[i : i + 3], 0.0) for i in range(len(m[0]))) / len(m[0])
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and ratio > 0.5 and all(e <= m.start() or m.end() <= s for s, _, e in base):
+                wanted.append((m.start(), "random", m.end()))
+        assert secrets.random_spans(text, base, models, 0.5) == wanted
+
+
+def test_long_texts_take_linear_time(long_texts):
+    models = secrets.MarkovPair(secrets.samples(200))
+    for text in long_texts:
+        began = time.perf_counter()
+        secrets.random_spans(text, secrets.base_spans(text), models, 0.5)
+        assert time.perf_counter() - began < 4

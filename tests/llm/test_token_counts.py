@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from hashlib import sha256
 
 from tokenizers import Tokenizer
@@ -53,3 +54,31 @@ def test_query_redacts_every_match(spark, tokenizer, tmp_path):
         after, m = re.subn(queries.DIGITS, "<number>", mails)
         assert got[i]["n_edits"] == n + m and got[i]["after_sha256"] == sha256(after.encode()).hexdigest()
         assert got[i]["n_tokens_after"] == len(tk.encode(after, add_special_tokens=False).ids)
+
+
+def test_many_edits_of_long_texts(long_texts, tokenizer):
+    tk = Tokenizer.from_file(tokenizer)
+    count = token_counts.counter(pieces.encoder(tokenizer))
+    for text in long_texts[:2]:
+        began = time.perf_counter()
+        found = list(re.finditer(queries.MAIL + "|" + queries.DIGITS, text))
+        tree = token_counts.TokenTree.of(text, count)
+        leaves = len(tree.leaves)
+        for m in reversed(found):
+            tree.edit(m.start(), m.end(), "<x>")
+        assert time.perf_counter() - began < 30 and len(tree.leaves) <= leaves
+        assert tree.total == len(tk.encode(tree.text, add_special_tokens=False).ids)
+
+
+def test_insertions_grow_the_tree(tokenizer):
+    tk = Tokenizer.from_file(tokenizer)
+    count = token_counts.counter(pieces.encoder(tokenizer))
+    tree, text = token_counts.TokenTree.of("a few words here " * 60, count), "a few words here " * 60
+    for k in range(60):
+        at = (k * 37) % len(text)
+        tree.edit(at, at, " inserted words" * 30)
+        text = text[:at] + " inserted words" * 30 + text[at:]
+        if k % 7 == 0:
+            tree.edit(0, len(text) // 2, "")
+            text = text[len(text) // 2 :]
+        assert tree.text == text and tree.total == len(tk.encode(text, add_special_tokens=False).ids)
