@@ -8,7 +8,8 @@ one of RARE documents to 1 for those in all, so no shingle counts for nothing.
 Improved consistent weighted sampling draws SAMPLES samples of each document; its gamma and uniform
 draws come from a table of 65,536 triples that a hash of (shingle, sample) indexes, and weights are
 levels of five per cent. Bands of the samples propose pairs: every member of a bucket with the bucket's
-heads, of which there are a fixed number, so the pairs grow with the members and not with their square.
+heads, of which there are a fixed number, so the pairs grow with the members and not with their square. The
+first head is the member that meets most others over all its buckets: the original among its edited copies.
 Proposed pairs are verified by the exact weighted Jaccard similarity. A second round proposes pairs
 with further heads only between documents that are not yet in one class. A last round takes all other
 pairs of a bucket whose documents are still not in one class, block against block, so that every pair
@@ -46,7 +47,7 @@ LEVELS, STEP = 80, 0.05
 HEADS = 4
 HOT = 0.005
 #: Members of a block of the last round, on average.
-BLOCK = 64
+BLOCK = 256
 #: Bytes of text handled at once; a longer text is handled whole.
 GROUP = 1_000_000
 
@@ -338,9 +339,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = materialise(_nodes(docs, id_col, text_col, idf))
     nodes = materialise(rows.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("least"), F.count("*").alias("n"), F.any_value("_bands").alias("_bands")))
     members = materialise(nodes.select("_node", F.explode("_bands").alias("key")))
-    orders = [F.min_by("_node", F.xxhash64(F.lit(j), F.col("_node"))).alias(f"h{j}") for j in range(HEADS)]
-    buckets = materialise(members.groupBy("key").agg(F.count("*").alias("n"), *orders).where("n > 1"))
-    proposed = join_hot(members.join(buckets.select("key"), "key", "left_semi"), buckets, ["key"], "n", HOT)
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = materialise(join_hot(members.join(sizes.select("key"), "key", "left_semi"), sizes, ["key"], "n", HOT))
+    met = materialise(shared.join(shared.groupBy("_node").agg(F.sum("n").alias("met")), "_node").drop("n"))
+    orders = [F.max_by("_node", F.struct(F.col("met") if j == 0 else F.lit(0), F.xxhash64(F.lit(j), F.col("_node")))).alias(f"h{j}") for j in range(HEADS)]
+    buckets = materialise(met.groupBy("key").agg(F.count("*").alias("n"), *orders))
+    proposed = join_hot(met.drop("met"), buckets, ["key"], "n", HOT)
     heads = F.array_distinct(F.array(*[F.struct(F.when(F.lit(j) == 0, 0).otherwise(1).alias("round"), F.col(f"h{j}").alias("b")) for j in range(HEADS)]))
     pairs = materialise(proposed.select(F.col("_node").alias("a"), F.explode(heads).alias("x")).select("a", "x.b", "x.round").where("a <> b").groupBy("a", "b").agg(F.min("round").alias("round")))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
