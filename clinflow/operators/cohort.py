@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinflow.functions.scalars import after, hours
+from clinflow.functions.scalars import after, hours, unit_interval
 from clinflow.operators.ordering import earliest, latest
 from clinflow.shared import materialise
 
@@ -115,7 +115,7 @@ def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int
     depends on those before it: choose blocks (site, unit, time slice) of bounded size.
     """
     both = cases.withColumn("label", F.lit(1)).unionByName(controls.withColumn("label", F.lit(0)))
-    both = both.withColumn("jitter", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) / float(1 << 20))
+    both = both.withColumn("jitter", unit_interval(F.lit(seed), F.col("id")))
     id_type, subject_type = dict(both.dtypes)["id"], dict(both.dtypes)["subject_id"]
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
@@ -153,8 +153,8 @@ def set_components(matched: DataFrame, match_set: str = "match_set", subject: st
         changed = new.join(labels.withColumnRenamed("component", "_was"), match_set).where("component <> _was").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def clock_shifts(left: DataFrame, right: DataFrame, key: str, t: str, u: str, shifts: list[int], within: float = 1.0) -> DataFrame:

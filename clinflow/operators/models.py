@@ -9,6 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinflow.functions.scalars import unit_interval
+from clinflow.operators.ordering import hash_order
+from clinflow.shared import materialise
+
 
 def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 20260924, name: str = "fold") -> DataFrame:
     """group, fold 1..folds: no group is in two folds, and groups with the same numbers of cases and rows are dealt round evenly.
@@ -17,8 +21,8 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int
     fold of its own, so classes are ordered apart from each other and no ordered pass sees all groups.
     """
     per = df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("_c"), F.count("*").alias("_n"))
-    w = Window.partitionBy("_c", "_n").orderBy(F.xxhash64(F.lit(seed), F.col(group)), group)
-    start = F.pmod(F.xxhash64(F.lit(seed), "_c", "_n"), F.lit(folds))
+    w = Window.partitionBy("_c", "_n").orderBy(hash_order(seed, F.col(group)), group)
+    start = F.floor(unit_interval(F.lit(seed), F.col("_c"), F.col("_n")) * folds).cast("int")
     return per.select(group, (F.pmod(F.row_number().over(w) + start, F.lit(folds)) + 1).cast("int").alias(name))
 
 
@@ -36,8 +40,9 @@ def logistic(c: float, rows: int, **more) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, rows)), elasticNetParam=0.0, standardization=False, maxIter=200, **more)
 
 
-def boosted_trees(seed: int = 1) -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=60, stepSize=0.05, maxDepth=4, minInstancesPerNode=50, seed=seed)
+def boosted_trees(seed: int = 1, rounds: int = 300) -> GBTClassifier:
+    """300 rounds at rate 0.05, trees of depth 4 (16 leaves at most), 50 rows in a leaf at least. Spark ML's trees have no L2 term on leaves and no missing values: impute them with an indicator."""
+    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, stepSize=0.05, maxDepth=4, minInstancesPerNode=50, seed=seed)
 
 
 def forest(seed: int = 1) -> RandomForestClassifier:
@@ -61,16 +66,41 @@ def with_missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def crossfit(df: DataFrame, stages: list, fold: str, id_: str, folds: int = 5) -> DataFrame:
     """id, fold, probability: each fold scored by a pipeline fitted on the others; every row exactly once."""
-    df = df.cache()
-    try:
-        out = None
-        for k in range(1, folds + 1):
-            model = Pipeline(stages=stages).fit(df.where(F.col(fold) != k))
-            one = model.transform(df.where(F.col(fold) == k)).select(id_, fold, vector_to_array("probability")[1].alias("probability"))
-            out = one if out is None else out.unionByName(one)
-        return out
-    finally:
-        df.unpersist()
+    df, out = materialise(df), None
+    for k in range(1, folds + 1):
+        model = Pipeline(stages=stages).fit(df.where(F.col(fold) != k))
+        one = model.transform(df.where(F.col(fold) == k)).select(id_, fold, vector_to_array("probability")[1].alias("probability"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def source_proxy(df: DataFrame, features: list[str], source: str, value: str, fold: str, id_: str, penalty: float = 1.0, folds: int = 5) -> DataFrame:
+    """n_cases, n_controls, auroc, average_precision of telling the source system from features that should not show it, out of fold."""
+    from clinflow.operators.stats import auroc
+
+    rows = df.withColumn("label", F.when(F.col(source) == value, 1.0).otherwise(0.0))
+    got = crossfit(rows, [*dense_stages(features, []), logistic(penalty, rows.count())], fold, id_, folds)
+    return auroc(got.join(rows.select(id_, "label"), id_), "label", "probability")
+
+
+#: Columns that hold 0 or 1, and the prefix of one-hot note categories.
+BINARY_COLUMNS = [
+    "sex_male", "has_note", "treat_high_flow_any_6h", "treat_niv_any_6h", "treat_vasoactive_any", "treat_sedative_any",
+    "code_status_available", "code_status_limitation", "code_status_comfort_or_no_cpr", "code_status_other",
+]
+CATEGORY_PREFIX = "note_category_"
+
+
+def roles(columns: list[str]) -> dict[str, list[str]]:
+    """Columns by role, each in the order given: continuous, binary (one-hot ones among them), category."""
+    category = [c for c in columns if c.startswith(CATEGORY_PREFIX)]
+    binary = [c for c in columns if c in BINARY_COLUMNS or c in category]
+    return {"continuous": [c for c in columns if c not in binary], "binary": binary, "category": category}
+
+
+def stacked(parts: list[str], name: str = "features") -> VectorAssembler:
+    """Dense columns and sparse vectors side by side; the result stays sparse where that is shorter."""
+    return VectorAssembler(inputCols=parts, outputCol=name, handleInvalid="keep")
 
 
 def tfidf(train: DataFrame, df: DataFrame, text: str, words: int = 10_000, least: int = 5, most: float = 0.98) -> DataFrame:
@@ -149,11 +179,13 @@ def refit_bootstrap(df: DataFrame, cluster: str, label: str, fold: str, base: li
         got = []
         for names in (base, base + more):
             x = rows[names].to_numpy(float)
-            x = np.column_stack([np.ones(len(x)), (x - x.mean(0)) / (x.std(0) + 1e-12)])
             s = np.zeros(len(y))
             for k in np.unique(f):
                 inside = f == k
-                s[inside] = x[inside] @ fitted(x[~inside], y[~inside], w[~inside])
+                middle = np.average(x[~inside], 0, w[~inside])  # scaled by the training folds alone
+                spread = np.sqrt(np.average((x[~inside] - middle) ** 2, 0, w[~inside])) + 1e-12
+                z = np.column_stack([np.ones(len(x)), (x - middle) / spread])
+                s[inside] = z[inside] @ fitted(z[~inside], y[~inside], w[~inside])
             got.append(area(y, s, w))
         delta = None if None in got else got[1] - got[0]
         return pd.DataFrame({"replicate": [int(rows["replicate"].iloc[0])], "auc_base": [got[0]], "auc_more": [got[1]], "delta": [delta]})

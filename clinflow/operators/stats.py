@@ -6,12 +6,14 @@ Rank metrics are computed from counts by distinct score, so a single ordered pas
 from __future__ import annotations
 
 import math
+import statistics
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinflow.functions.scalars import clipped, equal_width_bin, logit
+from clinflow.functions.scalars import clipped, equal_width_bin, logit, unit_interval
 from clinflow.operators.aggregates import percent_where
+from clinflow.shared import materialise
 
 
 def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -107,7 +109,7 @@ def decision_curve(df: DataFrame, label: str, p: str, thresholds: list[float], w
 
 def multiplicity(cluster: Column, replicate: Column, seed: int = 1) -> Column:
     """How often a cluster is drawn in a replicate: Poisson(1) by hash, the limit of drawing with replacement, with nothing to collect."""
-    u = F.pmod(F.xxhash64(F.lit(seed), replicate, cluster.cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    u = unit_interval(F.lit(seed), replicate, cluster)
     out, tail, term = F.lit(0), 0.0, math.exp(-1)
     for k in range(1, 12):
         tail += term
@@ -117,11 +119,29 @@ def multiplicity(cluster: Column, replicate: Column, seed: int = 1) -> Column:
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, label: str, base: str, other: str, replicates: int, seed: int = 1) -> DataFrame:
-    """replicate, auc_base, auc_other, delta: both scores under the same cluster weights. Replicates without both classes are null."""
-    reps = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    reps = reps.withColumn("_w", multiplicity(F.col(cluster), F.col("replicate"), seed)).where("_w > 0")
-    one = lambda s, n: auroc(reps, label, s, ["replicate"], "_w").select("replicate", F.col("auroc").alias(n))
-    return one(base, "auc_base").join(one(other, "auc_other"), "replicate").withColumn("delta", F.col("auc_other") - F.col("auc_base"))
+    """replicate, auc_base, auc_other, delta: both scores under the same cluster weights. Replicates without both classes are null.
+
+    Draws are made once per cluster and replicate, and rows that agree in cluster, label and scores are one row with their number.
+    """
+    cells = materialise(df.groupBy(F.col(cluster).alias("_k"), F.col(label).alias("_y"), F.col(base).alias("_a"), F.col(other).alias("_b")).agg(F.count("*").alias("_n")))
+    draws = cells.select("_k").distinct().select("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    draws = draws.withColumn("_m", multiplicity(F.col("_k"), F.col("replicate"), seed)).where("_m > 0")
+    drawn = cells.join(draws, "_k").groupBy("replicate", "_y", "_a", "_b").agg(F.sum(F.col("_n") * F.col("_m")).alias("_w"))
+    both = drawn.select("replicate", "_y", "_w", F.explode(F.array(F.struct(F.lit("base").alias("_which"), F.col("_a").alias("_s")), F.struct(F.lit("other").alias("_which"), F.col("_b").alias("_s")))).alias("x")).select("replicate", "_y", "_w", "x.*")
+    got = auroc(both, "_y", "_s", ["replicate", "_which"], "_w").groupBy("replicate")
+    wide = got.agg(*[F.max(F.when(F.col("_which") == w, F.col("auroc"))).alias(f"auc_{w}") for w in ("base", "other")])
+    return wide.withColumn("delta", F.col("auc_other") - F.col("auc_base"))
+
+
+def mean_bootstrap(df: DataFrame, id_: str, value: str, replicates: int, seed: int = 1) -> DataFrame:
+    """n, low, high: 2.5 and 97.5 per cent of the means of resampled rows; null with fewer than two finite values."""
+    finite = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)) & (F.abs(F.col(value)) < float("inf")))
+    draws = finite.select(F.col(value).alias("_v"), F.col(id_).alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    means = draws.withColumn("_m", multiplicity(F.col("_k"), F.col("replicate"), seed)).groupBy("replicate").agg((F.sum(F.col("_m") * F.col("_v")) / F.sum("_m")).alias("_mean"))
+    n = finite.count()
+    q = F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975)))
+    enough = F.lit(n > 1)
+    return means.agg(F.lit(n).cast("long").alias("n"), F.when(enough, q[0]).alias("low"), F.when(enough, q[1]).alias("high"))
 
 
 def percentile_interval(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -135,31 +155,45 @@ def centred_p(df: DataFrame, value: str, observed: float) -> DataFrame:
     return df.agg(((1 + F.count_if(F.col(value) - F.lit(observed) >= F.lit(observed))) / (F.count(value) + 1)).alias("p"))
 
 
-def hanley_mcneil(auc: float, cases: int, controls: int) -> float:
-    q1, q2 = auc / (2 - auc), 2 * auc * auc / (1 + auc)
-    return (auc * (1 - auc) + (cases - 1) * (q1 - auc * auc) + (controls - 1) * (q2 - auc * auc)) / (cases * controls)
-
-
-def difference_se(base: float, other: float, cases: int, controls: int, correlation: float) -> float:
-    a, b = hanley_mcneil(base, cases, controls), hanley_mcneil(other, cases, controls)
-    return math.sqrt(max(0.0, a + b - 2 * correlation * math.sqrt(a * b)))
-
+#: Bounds of an area in its variance, of an area plus a difference, the least variance of a difference, and the range of a detectable difference.
+LEAST_AREA, LEAST_SUM, LEAST_VARIANCE, DIFFERENCES, HIGHEST = 1e-6, 1e-5, 1e-16, (0.0001, 0.20), 0.999
 
-def power(base: float, delta: float, cases: int, controls: int, correlation: float, z: float = 1.959963984540054) -> float:
-    """Power of a two-sided test of the difference."""
-    se = difference_se(base, min(0.999999, base + delta), cases, controls, correlation)
-    return 0.5 * math.erfc(-(delta / se - z) / math.sqrt(2)) if se else 1.0
 
-
-def detectable(base: float, cases: int, controls: int, correlation: float, wanted: float = 0.8) -> float:
-    """Smallest difference with that power, by bisection; NaN if none below 1 - base has it."""
-    lo, hi = 0.0, 0.999 - base
-    if power(base, hi, cases, controls, correlation) < wanted:
-        return float("nan")
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if power(base, mid, cases, controls, correlation) >= wanted else (mid, hi)
-    return hi
+def hanley_mcneil(auc: float, cases: int, controls: int) -> float:
+    """Variance of an area; NaN where there is no more than one case or one control."""
+    if min(cases, controls) <= 1:
+        return math.nan
+    a = max(LEAST_AREA, min(float(auc), 1 - LEAST_AREA))
+    more_cases = (cases - 1) * (a / (2 - a) - a * a)
+    more_controls = (controls - 1) * (2 * a * a / (1 + a) - a * a)
+    return (a - a * a + more_cases + more_controls) / (cases * controls)
+
+
+def difference_se(base: float, delta: float, cases: int, controls: int, correlation: float) -> float:
+    """Standard error of the difference of two correlated areas, base and base + delta."""
+    other = max(LEAST_SUM, min(base + delta, 1 - LEAST_SUM))
+    v, w = hanley_mcneil(base, cases, controls), hanley_mcneil(other, cases, controls)
+    return math.sqrt(max(LEAST_VARIANCE, v + w - 2 * correlation * math.sqrt(v * w)))
+
+
+def power(base: float, delta: float, cases: int, controls: int, correlation: float, alpha: float = 0.05) -> float:
+    """Power of a one-sided test at level alpha of the difference."""
+    normal = statistics.NormalDist()
+    return normal.cdf(delta / difference_se(base, delta, cases, controls, correlation) - normal.inv_cdf(1 - alpha))
+
+
+def detectable(base: float, cases: int, controls: int, correlation: float, alpha: float = 0.05, wanted: float = 0.8) -> float | None:
+    """Smallest difference with that power, by bisection; None if the largest one looked at has less."""
+    low, high = DIFFERENCES[0], min(DIFFERENCES[1], HIGHEST - base)
+    enough = lambda d: power(base, d, cases, controls, correlation, alpha) >= wanted
+    if not enough(high):
+        return None
+    while high - low > 1e-15:
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
 
 
 def icc(df: DataFrame, subject: str, rater: str, value: str) -> DataFrame:

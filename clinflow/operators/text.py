@@ -42,12 +42,12 @@ def slug(text: Column) -> Column:
 
 
 #: Texts that stand for no text.
-NULL_TEXTS = ["", "nan", "none", "null", "na", "n/a"]
+NULL_TEXTS = ["", "nan", "none", "null"]
 
 
 def cleaned(text: Column, leaks: list[str]) -> Column:
-    """Null for texts that stand for none and for texts that mention a leak."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Null for texts that stand for none and for texts that mention a leak; else the text without white space at its ends."""
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     return F.when(F.lower(t).isin(NULL_TEXTS) | mentions(t, leaks), None).otherwise(t)
 
 

@@ -20,6 +20,10 @@ def r6(c, name):
     return F.round(c, 6).alias(name)
 
 
+def _six(x: float | None) -> float | None:
+    return None if x is None else round(x, 6)
+
+
 def rounded(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[r6(F.col(c), c) if c in columns else F.col(c) for c in df.columns])
 
@@ -121,13 +125,6 @@ def calibration_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(a, 6), round(b, 6), round(c, 6))], "citl double, intercept double, slope double")
 
 
-@R.add()
-def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired differences under common patient weights; tested against a brute-force version."""
-    reps = I.cluster_bootstrap(X.scores(spark, sf_dir), "subject_id", "y", "p_base", "p_aug", 50)
-    return rounded(reps, ["auc_base", "auc_aug", "auc_other", "delta"])
-
-
 @R.add("""
 r AS (SELECT fold, round(avg(p_aug - p_base), 9) AS d FROM sc GROUP BY 1)
 SELECT count(d) AS n, round(quantile_cont(d::DOUBLE, 0.025), 6) AS low, round(quantile_cont(d::DOUBLE, 0.975), 6) AS high, round((1 + count(*) FILTER (d - 0.01 >= 0.01)) / (count(d) + 1.0), 6)::DOUBLE AS p FROM r
@@ -151,7 +148,7 @@ def auc_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def power_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power and the detectable difference, which are scalars of a few settings."""
-    rows = [(float(b), n, c, round(I.power(b, 0.02, n, 40 * n, c), 6), round(I.detectable(b, n, 40 * n, c), 6)) for b in (0.7, 0.8, 0.9) for n in (100, 300) for c in (0.5, 0.9)]
+    rows = [(float(b), n, c, round(I.power(b, 0.02, n, 40 * n, c), 6), _six(I.detectable(b, n, 40 * n, c))) for b in (0.7, 0.8, 0.9) for n in (100, 300) for c in (0.5, 0.9)]
     return spark.createDataFrame(rows, "base double, cases long, correlation double, power double, detectable double")
 
 
@@ -305,18 +302,6 @@ def stratified_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stratified_limit(X.scores(spark, sf_dir), "y", "case_id", 400, seed=5).select("case_id")
 
 
-@R.add()
-def deranged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values from another subject of the stratum; tested against its rules."""
-    return E.deranged(X.scores(spark, sf_dir).select("case_id", "subject_id", "source", "p_aug"), "source", "subject_id", "case_id", ["p_aug"])
-
-
-@R.add()
-def repeated_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested for groups in one fold and even folds."""
-    return M.repeated_folds(X.scores(spark, sf_dir), "subject_id", "y", [20260924, 20260925, 20260926, 20260927, 20260928])
-
-
 @R.add()
 def crossfit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold probabilities of a dense logistic model, one per case."""
@@ -327,7 +312,7 @@ def crossfit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def site_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted on one source, scored on another."""
+    """Fitted on one source, scored on another."""
     s = X.scores(spark, sf_dir).withColumn("label", F.col("y").cast("double"))
     return rounded(M.site_transfer(s.where("source = '1-URGENT'"), s.where("source = '5-LOW'"), [*M.dense_stages(["p_aug", "p_base"], []), M.logistic(1.0, 3000)], "case_id"), ["probability"])
 

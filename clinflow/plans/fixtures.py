@@ -45,10 +45,10 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stay_id, note_id, chart_time, store_time (null for one in three), category, text: sign-ups with the document of the same number."""
+    """stay_id, note_id, chart_time, store_time (null for one in three), category, text: sign-ups, each with the document whose number is its own modulo the number of documents."""
     cats = F.element_at(F.array(*[F.lit(n) for n in ("Nursing", "Physician ", "Respiratory", "General", "nursing/other")]), (F.pmod("k", F.lit(5)) + 1).cast("int"))
-    n = events(spark, sf_dir).where("event_type = 'signup'").select("stay_id", F.col("event_id").alias("note_id"), F.col("event_time").alias("chart_time"), F.when(F.col("k") % 3 != 0, F.timestamp_add("HOUR", F.col("k") % 7, F.col("event_time"))).alias("store_time"), cats.alias("category"), F.pmod("event_id", F.lit(200)).alias("doc_id"))
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", "text")  # a join key of the fixture, not a sample
+    n = events(spark, sf_dir).where("event_type = 'signup'").select("stay_id", F.col("event_id").alias("note_id"), F.col("event_time").alias("chart_time"), F.when(F.col("k") % 3 != 0, F.timestamp_add("HOUR", F.col("k") % 7, F.col("event_time"))).alias("store_time"), cats.alias("category"), F.pmod("event_id", F.lit(table(spark, sf_dir, "documents").count())).alias("doc_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return n.join(d, "doc_id").drop("doc_id")
 
 
@@ -93,7 +93,7 @@ me AS (
 nt AS (
   SELECT stay_id, event_id AS note_id, event_time AS chart_time, CASE WHEN k % 3 <> 0 THEN event_time + to_hours(k % 7) END AS store_time,
          (['Nursing', 'Physician ', 'Respiratory', 'General', 'nursing/other'])[CAST(k % 5 + 1 AS INT)] AS category, d.text
-  FROM ev JOIN documents d ON d.doc_id = event_id % 200 WHERE event_type = 'signup'
+  FROM ev JOIN documents d ON d.doc_id = event_id % (SELECT count(*) FROM documents) WHERE event_type = 'signup'
 ),
 inf AS (
   SELECT stay_id, 'agent' || (k % 3) AS agent, event_time AS starttime,

@@ -38,7 +38,7 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, TRY_CAST(regexp_replace(o_orderpriority, '-.*', '') AS DOUBLE) AS level, CAST(TRY_CAST(regexp_replace(o_orderpriority, '-.*', '') AS DOUBLE) AS BIGINT) AS whole, TRY_CAST(o_orderstatus AS DOUBLE) AS none FROM orders
 """, fixtures=False)
 def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2, B3, T5."""
+    """B2, T5."""
     head = F.regexp_replace("o_orderpriority", "-.*", "")
     return X.table(spark, sf_dir, "orders").select("o_orderkey", S.number(head).alias("level"), S.whole_number(head).alias("whole"), S.number(F.col("o_orderstatus")).alias("none"))
 
@@ -118,7 +118,7 @@ def id_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT count(*) FILTER (o_custkey IS NULL) AS n_missing, 0::BIGINT AS n_extra FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey", fixtures=False)
 def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C18, C17."""
+    """C18."""
     return J.set_differences(X.table(spark, sf_dir, "customer"), X.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
@@ -265,7 +265,7 @@ p AS (SELECT event_id, CASE k % 3 WHEN 0 THEN '{"noul": 0.25}' WHEN 1 THEN '{"p"
 SELECT event_id, coalesce(CASE WHEN TRY_CAST(json_extract_string(j, '$.noul') AS DOUBLE) BETWEEN 0 AND 1 THEN TRY_CAST(json_extract_string(j, '$.noul') AS DOUBLE) END, TRY_CAST(json_extract_string(j, '$.p.yes') AS DOUBLE)) AS probability FROM p
 """)
 def json_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F12, A10."""
+    """F12."""
     m = F.col("k") % 3
     e = X.events(spark, sf_dir).withColumn("j", F.when(m == 0, '{"noul": 0.25}').when(m == 1, '{"p": {"yes": 0.75}}').otherwise('{"noul": 7}'))
     return e.select("event_id", T.probability(F.col("j"), ["$.noul", "$.p.yes"]).alias("probability"))
@@ -317,7 +317,7 @@ def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT c_custkey, CASE WHEN regexp_matches(c_mktsegment, '(?i)auto') THEN 'vehicle' WHEN regexp_matches(c_mktsegment, '(?i)mach') THEN 'machine' WHEN regexp_matches(c_mktsegment, '(?i)hold') THEN 'home' END AS kind, (c_mktsegment = 'HOUSEHOLD')::INT::DOUBLE AS is_home FROM customer", fixtures=False)
 def first_match_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B25, B27, B24."""
+    """B27."""
     rules = [("vehicle", "auto"), ("machine", "mach"), ("home", "hold")]
     return X.table(spark, sf_dir, "customer").select("c_custkey", S.first_match(F.col("c_mktsegment"), rules).alias("kind"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", 1.0).otherwise(0.0).alias("is_home"))
 

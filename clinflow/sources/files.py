@@ -6,13 +6,14 @@ import codecs
 import zipfile
 from pathlib import Path, PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Encodings tried in this order, and columns that no aggregate may show.
 ENCODINGS = ["utf-8-sig", "utf-8", "gb18030"]
-SENSITIVE = ["subject_id", "hadm_id", "icustay_id", "stay_id", "text", "note_id"]
+SENSITIVE = ["subject_id", "hadm_id", "stay_id", "icustay_id", "text", "note_text", "charttime", "storetime", "deathtime", "admittime", "dischtime", "note_id"]
 
 
 def root(path: str) -> Path:
@@ -43,13 +44,15 @@ def find_one(top: str, name: str) -> Path:
     return hits[0]
 
 
-def encoding(path: str, most: int = 1 << 20) -> str:
-    """The first of ENCODINGS that reads the head of the file."""
-    with open(path, "rb") as f:
-        head = f.read(most)
+def encoding(path: str, at_once: int = 1 << 20) -> str:
+    """The first of ENCODINGS that reads the whole file, `at_once` bytes at a time."""
     for name in ENCODINGS:
+        decoder = codecs.getincrementaldecoder(name)()
         try:
-            codecs.getincrementaldecoder(name)().decode(head, final=len(head) < most)
+            with open(path, "rb") as f:
+                while part := f.read(at_once):
+                    decoder.decode(part)
+            decoder.decode(b"", final=True)
             return name
         except UnicodeDecodeError:
             continue
@@ -57,10 +60,10 @@ def encoding(path: str, most: int = 1 << 20) -> str:
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names; none where the file cannot be read."""
+    """Column names; none where the file is missing, empty or no table. Other failures, as of a store, are raised."""
     try:
         return spark.read.option("header", True).csv(path).columns
-    except Exception:  # noqa: BLE001  any failure means there is no header
+    except AnalysisException:
         return []
 
 

@@ -1,3 +1,5 @@
+import math
+
 from datetime import datetime, timedelta
 
 import pytest
@@ -142,8 +144,26 @@ def test_packs(spark):
 
 def test_power():
     assert I.hanley_mcneil(0.5, 100, 100) == pytest.approx(0.00168, abs=1e-4)
-    d = I.detectable(0.8, 300, 6000, 0.5)
-    assert I.power(0.8, d, 300, 6000, 0.5) == pytest.approx(0.8, abs=1e-6)
+    assert math.isnan(I.hanley_mcneil(0.7, 1, 50)) and math.isnan(I.hanley_mcneil(0.7, 50, 1))
+    assert I.hanley_mcneil(1.0, 10, 10) == I.hanley_mcneil(1 - 1e-6, 10, 10) > 0
+    for alpha, wanted in ((0.05, 0.8), (0.01, 0.9)):
+        d = I.detectable(0.8, 300, 6000, 0.5, alpha, wanted)
+        assert I.power(0.8, d, 300, 6000, 0.5, alpha) == pytest.approx(wanted, abs=1e-6)
+    assert I.power(0.8, 1e-9, 300, 6000, 0.5, 0.05) == pytest.approx(0.05, abs=1e-3)
+    assert I.detectable(0.6, 5, 20, 0.0) is None and I.detectable(0.99, 5000, 50000, 0.9) <= 0.009
+
+
+def test_drawn_clusters_equal_repeated_rows(spark):
+    """Each replicate's area is that of the rows repeated as often as their cluster is drawn."""
+    rows = [(i % 20, i % 3 == 0, (i * 7 % 11) / 11, (i * 5 % 13) / 13) for i in range(120)]
+    df = spark.createDataFrame([(c, int(y), a, b) for c, y, a, b in rows], "c int, y int, a double, b double")
+    got = {r["replicate"]: r for r in I.cluster_bootstrap(df, "c", "y", "a", "b", 6).collect()}
+    m = {(r["c"], r["r"]): r["m"] for r in spark.range(20).selectExpr("cast(id as int) c").crossJoin(spark.range(1, 7).selectExpr("cast(id as int) r")).withColumn("m", I.multiplicity(F.col("c"), F.col("r"))).collect()}
+    assert 0.7 < sum(m.values()) / len(m) < 1.3
+    for k, r in got.items():
+        drawn = [x for x in rows for _ in range(m[x[0], k])]
+        area = lambda s: sum((p[s] > q[s]) + 0.5 * (p[s] == q[s]) for p in drawn if p[1] for q in drawn if not q[1]) / (sum(p[1] for p in drawn) * sum(not q[1] for q in drawn))
+        assert r["auc_base"] == pytest.approx(area(2)) and r["auc_other"] == pytest.approx(area(3))
 
 
 def test_refit_bootstrap_without_resampling_effect(spark):

@@ -11,23 +11,27 @@ def column(spark, values, kind, f):
     return [r[0] for r in df.orderBy("i").select(f(F.col("x"))).collect()]
 
 
-def test_dual_scale(spark):
-    got = column(spark, [0.21, 1.0, 20.0, 50.0, 100.0, 0.0, 1.1, 19.9, 101.0, 401.0, None], "double", S.percent_of_fraction)
-    assert got == [21.0, 100.0, 20.0, 50.0, 100.0, None, None, None, None, None, None]
+def test_both_scales_at_their_bounds(spark):
+    inside = {0.005: 0.5, 0.4: 40.0, 1.0: 100.0, 20.0: 20.0, 35.5: 35.5, 100.0: 100.0}
+    outside = [-0.3, 0.0, 1.0001, 5.0, 19.999, 100.5]
+    got = column(spark, [*inside, *outside, None], "double", S.percent_of_fraction)
+    assert got[: len(inside)] == pytest.approx(list(inside.values())) and got[len(inside) :] == [None] * (len(outside) + 1)
 
 
-def test_eligible(spark):
-    df = spark.createDataFrame([(17.99, "MICU"), (18.0, "MICU"), (45.0, " nicu"), (300.0, "CCU"), (None, "CCU"), (30.0, None)], "age double, unit string")
-    assert [r[0] for r in df.select(S.eligible(F.col("age"), F.col("unit"))).collect()] == [False, True, False, True, False, True]
+def test_who_is_eligible(spark):
+    cases = {(18.5, "TSICU"): True, (17.5, "TSICU"): False, (18.0, "NICU "): False, (18.0, "nIcU"): False, (90.0, ""): True, (-1.0, "CCU"): False, (None, None): False}
+    df = spark.createDataFrame([(i, *k) for i, k in enumerate(cases)], "i int, age double, unit string")
+    assert [r[0] for r in df.orderBy("i").select(S.eligible(F.col("age"), F.col("unit"))).collect()] == list(cases.values())
 
 
 def test_airway(spark):
     assert column(spark, ["1.0 ET/Trach", " No Response-ETT", "1", "No Response", None], "string", S.airway_coded) == [True, True, False, False, False]
 
 
-def test_age_spans_centuries(spark):
-    df = spark.createDataFrame([(datetime(1800, 1, 1), datetime(2100, 1, 1))], "b timestamp_ntz, t timestamp_ntz")
-    assert df.select(S.age_years(F.col("b"), F.col("t"))).first()[0] > 299
+def test_ages_of_any_length(spark):
+    df = spark.createDataFrame([(datetime(1999, 3, 1), datetime(1999, 3, 1)), (datetime(1650, 5, 5), datetime(2050, 5, 5)), (datetime(2000, 1, 2), datetime(2000, 1, 1)), (None, datetime(2000, 1, 1))], "b timestamp_ntz, t timestamp_ntz")
+    got = [r[0] for r in df.select(S.age_years(F.col("b"), F.col("t"))).collect()]
+    assert got[0] == 0 and got[1] == pytest.approx(400, abs=0.01) and got[2] < 0 and got[3] is None
 
 
 def test_casts(spark):

@@ -26,6 +26,17 @@ def test_encoding(tmp_path):
     assert S.encoding(str(tmp_path / "x")) == "gb18030"
 
 
+def test_a_late_byte_counts(tmp_path):
+    (tmp_path / "x").write_bytes(b"a" * 3_000_000 + "名".encode("gb18030"))
+    assert S.encoding(str(tmp_path / "x")) == "gb18030"
+
+
+@pytest.mark.parametrize("name", S.SENSITIVE)
+def test_guarded_names(spark, tmp_path, name):
+    with pytest.raises(ValueError, match="sensitive"):
+        S.write_aggregate(spark.range(1).withColumnRenamed("id", name.upper()), str(tmp_path / "k"))
+
+
 def test_unzip_stays_inside(tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("../evil.csv", "a")
