@@ -66,7 +66,7 @@ ROUNDS, LEAST_STEPS = 4, 450
 CHUNK = 1 << 12
 SMOOTH = 30.0
 #: Windows scored at once.
-AT_ONCE = 128
+AT_ONCE = 256
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
