@@ -100,7 +100,7 @@ def roles(columns: list[str]) -> dict[str, list[str]]:
 
 def stacked(parts: list[str], name: str = "features") -> VectorAssembler:
     """Dense columns and sparse vectors side by side; the result stays sparse where that is shorter."""
-    return VectorAssembler(inputCols=parts, outputCol=name, handleInvalid="keep")
+    return VectorAssembler(inputCols=parts, outputCol=name)
 
 
 def tfidf(train: DataFrame, df: DataFrame, text: str, words: int = 10_000, least: int = 5, most: float = 0.98) -> DataFrame:
