@@ -126,7 +126,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM d
+),
+g AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c
+  FROM (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w))
+),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY 1),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda s: lower(s) IN (STOP))) AS n_stop,
+         len(regexp_extract_all(t, '\p{Lu}')) AS n_upper, len(l) AS n_lines
+  FROM w LEFT JOIN r USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.25 AND n_stop / n_words >= 0.04
+         AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5) AND (word_chars = 0 OR n_upper / word_chars <= 0.5) AS kept
+FROM m
+""".replace("STOP", _STOP),
     "op9_exact_dedup": """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents

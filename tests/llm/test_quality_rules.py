@@ -43,3 +43,10 @@ def test_verdict_follows_labels(spark):
     got = queries.op10_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     assert got.where("quality = 1 and not base_failed and not kept").count() == 0
     assert got.where("quality = 0 and kept").count() <= 0.05 * got.where("quality = 0").count()
+
+
+def test_query_equals_sql(spark, tiny):
+    from clinflow.llm import queries
+    from tests.oracle import connect, same
+
+    same(spark, connect(tiny), queries.op10_quality_rules, queries.ORACLE_SQL["op10_quality_rules"], tiny)
