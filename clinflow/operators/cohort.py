@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,19 +108,26 @@ def whole_sets(matched: DataFrame, condition, match_set: str = "match_set") -> D
     return matched.join(good, match_set, "left_semi")
 
 
-def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int = 3, near: float = 6.0, far: float = 12.0, seed: int = 1, order: str = "hardest") -> DataFrame:
+def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int = 3, near: float = 6.0, far: float = 12.0, seed: int = 1, order: str = "hardest", category: str | None = None, exact: str | None = None) -> DataFrame:
     """match_set, id, subject_id, label, distance: greedy 1:k matching by distance on the clock, all or nothing, without replacement of subjects.
 
     cases, controls: id, subject_id, block, clock. A case looks at unused controls of its block within `far` hours, those within
-    `near` first, then by distance and seeded jitter. order: 'hardest' takes cases by falling clock, 'sorted' by id. A block is matched in one task, since each choice
+    `near` first, then by distance and seeded jitter. order: 'hardest' takes cases by falling clock, 'sorted' by id.
+    category: a column; cases then go by category, clock and subject, and look at controls of their own category first, within `near` and then within `far` hours,
+    before those of others within `near` and then `far`; a null category is like no other. The match_priority (0 to 3) is then in the result.
+    exact: a column that controls share with their case; cases go by it first. A subject with rows in several blocks may be taken once in each: where that must not be, make blocks of whole subjects. A block is matched in one task, since each choice
     depends on those before it: choose blocks (site, unit, time slice) of bounded size.
     """
     both = cases.withColumn("label", F.lit(1)).unionByName(controls.withColumn("label", F.lit(0)))
     both = both.withColumn("jitter", unit_interval(F.lit(seed), F.col("id")))
     id_type, subject_type = dict(both.dtypes)["id"], dict(both.dtypes)["subject_id"]
 
+    by, rising = (["category", "clock", "subject_id", "id"], True) if category else (["clock", "id"], [False, True]) if order == "hardest" else (["id"], True)
+    by, rising = (["exact", *by], [True, *(rising if isinstance(rising, list) else [rising] * len(by))]) if exact else (by, rising)
+    names = ["match_set", "id", "subject_id", "label", "distance", *(["match_priority"] if category else [])]
+
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        cs = rows[rows["label"] == 1].sort_values(["clock", "id"] if order == "hardest" else ["id"], ascending=[False, True] if order == "hardest" else True)
+        cs = rows[rows["label"] == 1].sort_values(by, ascending=rising)
         pool = rows[rows["label"] == 0].sort_values(["clock", "id"]).reset_index(drop=True)
         times, used, out = pool["clock"].to_numpy(), set(), []
         for c in cs.itertuples():
@@ -127,18 +135,21 @@ def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int
                 continue
             lo, hi = times.searchsorted(c.clock - far, "left"), times.searchsorted(c.clock + far, "right")
             part = pool.iloc[lo:hi]
+            part = part[part["exact"] == c.exact] if exact else part
             part = part[~part["subject_id"].isin(used | {c.subject_id})]
             d = (part["clock"] - c.clock).abs()
-            part = part.assign(d=d, late=(d > near).astype(int)).sort_values(["late", "d", "jitter", "id"]).drop_duplicates("subject_id").head(k)
+            other = ~(part["category"] == c.category) if category else False
+            part = part.assign(d=d, late=(d > near).astype(int) + 2 * other).sort_values(["late", "d", "jitter", "id"]).drop_duplicates("subject_id").head(k)
             if len(part) == k:
                 name = str(c.id)
-                out.append((name, c.id, c.subject_id, 1, 0.0))
-                out += [(name, r.id, r.subject_id, 0, float(r.d)) for r in part.itertuples()]
+                out.append((name, c.id, c.subject_id, 1, 0.0, 0)[: len(names)])
+                out += [(name, r.id, r.subject_id, 0, float(r.d), int(r.late))[: len(names)] for r in part.itertuples()]
                 used |= {c.subject_id, *part["subject_id"]}
-        return pd.DataFrame(out, columns=["match_set", "id", "subject_id", "label", "distance"])
+        return pd.DataFrame(out, columns=names)
 
-    rows = both.select("id", "subject_id", F.col(block).alias("block"), F.col(clock).cast("double").alias("clock"), "label", "jitter")
-    return rows.groupBy("block").applyInPandas(assign, f"match_set string, id {id_type}, subject_id {subject_type}, label int, distance double")
+    own = [F.col(c).cast("string").alias(name) for c, name in ((category, "category"), (exact, "exact")) if c]
+    rows = both.select("id", "subject_id", F.col(block).alias("block"), F.col(clock).cast("double").alias("clock"), "label", "jitter", *own)
+    return rows.groupBy("block").applyInPandas(assign, f"match_set string, id {id_type}, subject_id {subject_type}, label int, distance double" + (", match_priority int" if category else ""))
 
 
 def set_components(matched: DataFrame, match_set: str = "match_set", subject: str = "subject_id", rounds: int = 50) -> DataFrame:
@@ -194,3 +205,35 @@ def allocate(sizes: DataFrame, component: str, size: str, shares: tuple[float, .
         edge -= shares[k]
         out = F.when(middle < F.lit(edge), k - 1).otherwise(out)
     return sizes.select(component, out.alias("part"))
+
+
+def allocate_balanced(sizes: DataFrame, component: str, outcome: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1, block: int = 4000, total: bool = False) -> DataFrame:
+    """component, part (0 ..): largest components first, each goes to the part whose own squared deviation of the outcomes' counts from its share is then least.
+
+    total: the deviation of all parts together counts instead. A part's own deviation favours small parts while large ones are empty, and many small components can then miss the shares;
+    the sum keeps them.
+
+    sizes: rows of component, outcome, size; repeated rows add up, null outcomes are one outcome, rows without a component are left out. Components are hashed into blocks of about `block`,
+    each allocated on its own towards the same shares, so no task sees more as the table grows; up to `block` components are one block. Ties go to the first part.
+    """
+    known = sizes.where(F.col(component).isNotNull())
+    per = known.groupBy(F.col(component).alias("_c"), F.coalesce(F.col(outcome).cast("string"), F.lit("")).alias("_o")).agg(F.sum(size).cast("double").alias("_n"))
+    blocks = max(1, -(-known.select(component).distinct().count() // block))
+    u = unit_interval(F.lit(seed), F.col("_c"))
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="_c", columns="_o", values="_n").fillna(0.0)
+        jitter = rows.drop_duplicates("_c").set_index("_c")["_u"].reindex(wide.index)
+        n = wide.to_numpy()
+        targets = np.outer(shares, np.append(n.sum(0), n.sum()))
+        weights = np.append(np.ones(n.shape[1]), 0.25) / np.maximum(targets, 1.0)
+        full = np.column_stack([n, n.sum(1)])
+        held, parts = np.zeros_like(targets), np.zeros(len(n), int)
+        for i in np.lexsort((jitter.to_numpy(), -full[:, -1])):
+            costs = ((held + full[i] - targets) ** 2 * weights).sum(1) - (((held - targets) ** 2 * weights).sum(1) if total else 0)
+            parts[i] = costs.round(9).argmin()
+            held[parts[i]] += full[i]
+        return pd.DataFrame({component: wide.index, "part": parts})
+
+    kind = sizes.schema[component].dataType.simpleString()
+    return per.withColumn("_u", u).withColumn("_b", F.floor(u * blocks)).groupBy("_b").applyInPandas(assign, f"`{component}` {kind}, part int")

@@ -27,6 +27,22 @@ def block(measures: DataFrame, anchors: DataFrame, names: list[str], h: float, d
     return anchors.select(key).join(points.groupBy(key).agg(*aggs), key, "left")
 
 
+def per_snapshot(measures: DataFrame, snapshots: DataFrame, names: list[str], h: float, snapshot: str = "note_id", key: str = "stay_id", time: str = "charttime", at: str = "chart_time") -> DataFrame:
+    """snapshot, name_last and name_delta of each measurement in [at - h hours, at] of the snapshot's own stay, over every snapshot.
+
+    A stay may have many snapshots, each with a time of its own. Values of one time are averaged before the join, so repeated rows are not carried through it; a delta needs two times.
+    Snapshots without a time or a stay have nulls.
+    """
+    points = measures.where(F.col("feature").isin(names)).where(in_range(F.col("feature"), F.col("value"))).groupBy(key, "feature", time).agg(F.avg("value").alias("value"))
+    near = lookback(points, snapshots.select(snapshot, key, at), key, time, at, h)
+    aggs: list[Column] = []
+    for n in names:
+        own = F.col("feature") == n
+        v, t = F.when(own, F.col("value")), F.when(own, F.col(time))
+        aggs += [F.max_by(v, t).alias(f"{n}_last"), F.when(F.count_if(own) >= 2, F.max_by(v, t) - F.min_by(v, t)).alias(f"{n}_delta")]
+    return snapshots.select(snapshot).join(near.groupBy(snapshot).agg(*aggs), snapshot, "left")
+
+
 def signed_sum(volumes: DataFrame, anchors: DataFrame, h: float, name: str, key: str = "stay_id", time: str = "charttime", anchor: str = "landmark_time") -> DataFrame:
     """key, name: sum of `volume` in the window; null without rows."""
     near = lookback(volumes, anchors.select(key, anchor), key, time, anchor, h)

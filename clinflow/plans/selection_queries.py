@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clinflow.functions import scalars as S
 from clinflow.operators import cohort as C
+from clinflow.operators import features as H
 from clinflow.operators import models as M
 from clinflow.operators import ordering as E
 from clinflow.operators import selection as Q
@@ -16,6 +17,7 @@ from clinflow.plans import fixtures as X
 from clinflow.plans.register import Register
 from clinflow.shared import new_path
 from clinflow.sources import files
+from clinflow.sources import generator as G
 
 R = Register()
 
@@ -318,4 +320,99 @@ def lexical_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.round("probability", 4).alias("probability"))
 
 
+def _draw(what: str) -> str:
+    return f"CAST(('0x' || substr(sha256('1|' || subject_id || '|' || {what}), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(f"('{r[0]}', {', '.join(f'CAST({x} AS DOUBLE)' for x in r[2:])})" for r in rows)
+
+
+_SUBJECTS = f"""
+WITH sub AS (
+  SELECT subject_id, (['vasopressor', 'intubation', 'death', 'stable'])[CAST(floor({_draw("'course'")} * 4) AS INT) + 1] AS course,
+         CASE WHEN {_draw("'discordant'")} < 0.25 THEN 3.0::DOUBLE ELSE 10.0::DOUBLE END AS onset, {_draw("'system'")} < 0.5 AS mv,
+         CAST(floor({_draw("'event'")} * 36) AS INT) + 24 AS event_hour
+  FROM (SELECT c_custkey AS subject_id FROM customer)
+)"""
+
+
+@R.add(f"""{_SUBJECTS},
+v AS (
+  SELECT course, feature, floor((middle + spread * (2 * {_draw("hour || '|' || feature")} - 1)
+    + CASE course WHEN 'vasopressor' THEN a WHEN 'intubation' THEN b WHEN 'death' THEN c ELSE 0 END
+    * CASE WHEN course <> 'stable' AND event_hour >= hour THEN greatest(0, (onset - (event_hour - hour)) / onset) ELSE 0 END) * 1000 + 0.5) AS milli
+  FROM sub, (SELECT unnest(range(0, {G.STAY_HOURS}, {G.CHART_EVERY})) AS hour) h, (VALUES {_values(G.CHARTS)}) f(feature, middle, spread, a, b, c)
+)
+SELECT course, feature, count(*) AS n, CAST(sum(milli) AS BIGINT) AS total_milli, min(milli) / 1000 AS low, max(milli) / 1000 AS high FROM v GROUP BY 1, 2
+""", fixtures=False)
+def synthetic_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The charts made for every customer, by course and feature."""
+    made = G.related_tables(X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id")))
+    got = made["chartevents"].join(made["truth"].select("subject_id", "course"), "subject_id").groupBy("course", "feature")
+    return got.agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("total_milli"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@R.add(f"""{_SUBJECTS}
+SELECT 'admissions' AS name, count(*) AS n, count(*) FILTER (course = 'death') AS special FROM sub
+UNION ALL SELECT 'icustays', count(*), count(*) FILTER (mv) FROM sub
+UNION ALL SELECT 'labevents', count(*) * {len(G.LABS) * G.STAY_HOURS // G.LAB_EVERY}, count(*) * {G.STAY_HOURS // G.LAB_EVERY} FROM sub
+UNION ALL SELECT 'noteevents', count(*), count(*) FILTER (course <> 'stable' AND event_hour - hour BETWEEN 0 AND 10) FROM sub, (SELECT unnest({list(G.NOTE_HOURS)}) AS hour) h
+UNION ALL SELECT 'inputevents_mv', count(*) FILTER (mv), 0 FROM sub WHERE course = 'vasopressor'
+UNION ALL SELECT 'inputevents_cv', count(*) FILTER (NOT mv), 0 FROM sub WHERE course = 'vasopressor'
+UNION ALL SELECT 'procedureevents_mv', count(*) FILTER (mv), 0 FROM sub WHERE course = 'intubation'
+UNION ALL SELECT 'd_items', {len(G.CHARTS) + 2}, 0 UNION ALL SELECT 'd_labitems', {len(G.LABS)}, 0
+""", fixtures=False)
+def synthetic_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the other tables made for every customer; special: deaths, one source system, one laboratory value, worsening notes."""
+    made = G.related_tables(X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id")))
+    special = {"admissions": "deathtime is not null", "icustays": "dbsource = 'metavision'", "labevents": "feature = 'wbc'", "noteevents": f"text = '{G.WORSE}'"}
+    counts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_if(F.expr(special.get(name, "false"))).alias("special")) for name, t in made.items() if name not in ("truth", "chartevents")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@R.add("""
+p AS (SELECT stay_id, feature, charttime, avg(value) AS v FROM me WHERE (feature = 'hr' AND value > 0 AND value < 300) OR (feature = 'lactate' AND value > 0 AND value < 50) GROUP BY 1, 2, 3),
+q AS (
+  SELECT note_id, feature, arg_max(v, charttime) AS l, CASE WHEN count(*) >= 2 THEN arg_max(v, charttime) - arg_min(v, charttime) END AS d
+  FROM nt JOIN p USING (stay_id) WHERE charttime BETWEEN chart_time - INTERVAL 24 HOUR AND chart_time GROUP BY 1, 2)
+SELECT nt.note_id, round(max(CASE WHEN feature = 'hr' THEN l END), 6) AS hr_last, round(max(CASE WHEN feature = 'hr' THEN d END), 6) AS hr_delta,
+  round(max(CASE WHEN feature = 'lactate' THEN l END), 6) AS lactate_last, round(max(CASE WHEN feature = 'lactate' THEN d END), 6) AS lactate_delta
+FROM nt LEFT JOIN q ON q.note_id = nt.note_id GROUP BY 1
+""")
+def snapshot_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last value and change before every note, within its stay."""
+    got = H.per_snapshot(X.measures(spark, sf_dir), X.notes(spark, sf_dir).select("note_id", "stay_id", "chart_time"), ["hr", "lactate"], 24)
+    return got.select("note_id", *[F.round(c, 6).alias(c) for c in got.columns if c != "note_id"])
+
+
+@R.add()
+def snapshot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes within 12 hours of an event and three notes of others each, by source, category and clock; subjects are hashed into blocks of about 50,000 controls. Tested against a brute-force version."""
+    s = X.stays(spark, sf_dir).select("stay_id", "subject_id", "intime", "outtime", "dbsource")
+    event = X.evidence(spark, sf_dir).groupBy("stay_id").agg(F.min("event_time").alias("event_time"))
+    n = X.notes(spark, sf_dir).join(s, "stay_id").join(event, "stay_id", "left")
+    n = n.select(F.col("note_id").alias("id"), "stay_id", "subject_id", "dbsource", F.lower(F.trim("category")).alias("category"), "chart_time", "outtime", S.hours(F.col("chart_time"), F.col("intime")).alias("clock"), S.hours(F.col("event_time"), F.col("chart_time")).alias("ahead"))
+    cases = E.earliest(n.where("ahead > 0 and ahead <= 12"), ["subject_id"], "ahead", "id")
+    later = S.hours(F.col("outtime"), F.col("chart_time")) >= 12
+    controls = n.join(cases.select("subject_id"), "subject_id", "left_anti").where(later & (F.col("ahead").isNull() | (F.col("ahead") > 12))).withColumn("bin", F.floor(F.col("clock") / 6))
+    controls = E.earliest(controls, ["subject_id", "stay_id", "bin", "category"], "chart_time", "id")
+    parts = 1 + controls.count() // 50_000
+    block = F.pmod(F.xxhash64("subject_id"), F.lit(parts))
+    keep = lambda d: d.select("id", "subject_id", "dbsource", "category", "clock", block.alias("block"))
+    return C.match(keep(cases), keep(controls), "block", "clock", k=3, category="category", exact="dbsource")
+
+
+@R.add()
+def balanced_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of each kind of evidence that share a subject go to one part, by squared deviation from 70, 15 and 15 per cent. Tested against a brute-force version."""
+    sets = X.evidence(spark, sf_dir).select(F.concat_ws(":", "evidence", "stay_id").alias("match_set"), "evidence", "subject_id").distinct()
+    labels = C.set_components(sets)
+    sizes = labels.join(sets.select("match_set", "evidence").distinct(), "match_set").groupBy("component", "evidence").agg(F.count("*").alias("n"))
+    return labels.join(C.allocate_balanced(sizes, "component", "evidence", "n"), "component").select("match_set", "component", "part")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
