@@ -1,11 +1,11 @@
 """Language-model scoring: a causal self-attention model in numpy over subword ids, and a unigram base.
 
 Texts are lower-cased (A-Z) words (runs without ASCII white space) and an end. Subwords are the
-byte-level BPE ids of each word with a space before it. Counts cover every training document: words,
-subwords and subword pairs come from one distributed word table, which grows with the corpus.
+byte-level BPE ids of each word with a space before it. Counts cover every training document: words, and
+pairs of successive subwords, across words and with the text's beginning and end, are distributed tables that
+grow with the corpus.
 
-The model has SYMBOLS symbols: the most frequent subwords, the end, and one for all rarer subwords,
-inside which a subword has its smoothed corpus share. A next symbol's probability is a two-level
+The model has SYMBOLS symbols: the most frequent subwords, the end, and one for all rarer subwords. A next symbol's probability is a two-level
 softmax (class, then symbol in the class) over logits that are the corpus's smoothed pair
 log-probabilities plus the output of one causal attention layer with relative positions. Attention sees
 the CONTEXT symbols before a window and the window itself; windows advance by STRIDE, so each token is
@@ -14,10 +14,9 @@ trained by Adam in numpy over all training documents: in each of ROUNDS rounds e
 share of a hashed slice of the documents, every window once, and the weights are averaged by windows. Small corpora are
 passed several times, until about LEAST_STEPS steps.
 
-The score is that of the whole vocabulary: pairs of successive subwords, across words and with the text's
-beginning and end, are counted over all training documents in a table that grows with the corpus, and
-p(b | a) = (count(a, b) + TRUST * model's p) / (count(a) + TRUST). Every task knows up to KNOWN_PAIRS frequent
-pairs; all others are looked up by a join.
+The score is that of the whole vocabulary: inside the rare symbol, after subword a, a subword b has
+p(b | a, rare) = (count(a, b) + TRUST * share(b)) / (rare count(a) + TRUST), where share is its smoothed share of
+all rare subwords. Every task knows up to KNOWN_PAIRS frequent pairs; all others are looked up by a join.
 
 Null texts are empty: an empty document is its end token. Repeated rows are scored each for itself.
 Without training documents all counts are 0 and every subword is equally rare. Other columns are ignored.
@@ -163,33 +162,6 @@ def words_of(ids: np.ndarray, at: np.ndarray, tokenizer: str) -> tuple[pa.Dictio
     return words.dictionary_encode(), np.searchsorted(b, ends[at])
 
 
-def pair_counts(words: DataFrame, tokenizer: str) -> DataFrame:
-    """a, b, n: subword b after a inside words; a = IDS for a word's first subword, b = IDS after its last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.encoder(tokenizer, REMEMBERED, False)
-        for batch in batches:
-            known = [(b" " + w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w]
-            if not known:
-                continue
-            rows = encoder._rows([w for w, _ in known])
-            size = encoder.size[rows]
-            ids = encoder.flat[ragged(encoder.first[rows], size)].astype(np.int64)
-            n = np.array([n for _, n in known], np.float64)
-            ends = np.cumsum(size)
-            a, b = np.empty(len(ids) + len(known), np.int64), np.empty(len(ids) + len(known), np.int64)
-            at = np.arange(len(ids)) + np.repeat(np.arange(len(known)), size)
-            b[at] = ids
-            a[at + 1] = ids
-            a[ends - size + np.arange(len(known))] = IDS
-            b[ends + np.arange(len(known))] = IDS
-            pair, whose = np.unique(a * (IDS + 1) + b, return_inverse=True)
-            sums = np.bincount(whose, np.repeat(n, size + 1))
-            yield pa.record_batch({"a": pa.array(pair // (IDS + 1), pa.int32()), "b": pa.array(pair % (IDS + 1), pa.int32()), "n": pa.array(sums)})
-
-    return words.mapInArrow(run, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 def followers(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Pair (a * IDS + b) of each id b, and of each text's end, with the id a before it; a text begins after END_ID."""
     n = len(at) - 1
@@ -232,6 +204,11 @@ def taught(rows: DataFrame) -> DataFrame:
     return rows.where("not held_out")
 
 
+def rare_pairs(pairs: DataFrame, model: Model) -> DataFrame:
+    """Those of `follower_counts` whose second id is in the rare symbol."""
+    return pairs.where(~(F.col("pair") % IDS).isin(np.flatnonzero(~model.is_rare()).tolist()))  # SYMBOLS - 1 ids are not
+
+
 def known_pairs(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted pairs with their counts, those above a count that leaves at most KNOWN_PAIRS, and the counts of all ids as the first of a pair."""
     got = table.where(F.col("n") >= _least(table, KNOWN_PAIRS)).toArrow()
@@ -262,6 +239,10 @@ class Model:
 
     LEARNT = ("query", "key", "value", "own", "place", "to_class", "to_symbol")
 
+    def is_rare(self) -> np.ndarray:
+        """Of each subword id: whether it is in the rare symbol."""
+        return self.rare < 0
+
     def attend(self, x: np.ndarray, real: np.ndarray) -> tuple:
         """States of the last STRIDE places of each window; real: False where a window reaches back over the document's start."""
         last = x[:, CONTEXT:]
@@ -384,37 +365,29 @@ def _classes(p: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def prior(pairs: DataFrame, documents: int) -> Model:
-    """The model before training of its attention: corpus counts only."""
-    ones = pairs.where(F.col("b") < IDS).groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
+def prior(pairs: DataFrame) -> Model:
+    """The model before training of its attention: the counts of `follower_counts` only."""
+    split = pairs.select(F.floor(F.col("pair") / IDS).cast("int").alias("a"), (F.col("pair") % IDS).cast("int").alias("b"), "n")
+    ones = split.groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
     counts = np.zeros(IDS)
     counts[ones.column("b").to_numpy()] = ones.column("n").to_numpy()
-    counts[END_ID] = 0
     order = np.argsort(-counts, kind="stable")
     top = order[order != END_ID][: SYMBOLS - 2]
     end, rare_symbol = SYMBOLS - 2, SYMBOLS - 1
     symbol = np.full(IDS, rare_symbol, np.int64)
     symbol[top] = np.arange(SYMBOLS - 2)
-    rare = np.zeros(IDS)
-    outside = symbol == rare_symbol
-    outside[END_ID] = False
+    symbol[END_ID] = end
+    rare, outside = np.zeros(IDS), symbol == rare_symbol
     rare[outside] = np.log((counts[outside] + 0.5) / (counts[outside].sum() + 0.5 * outside.sum()))
-    # a bounded table: (SYMBOLS + 1) squared
-    names = pairs.sparkSession.createDataFrame([(int(i), int(symbol[i])) for i in top], "id int, s int")
-    mapped = pairs
+    # a bounded table: SYMBOLS squared
+    names = F.broadcast(pairs.sparkSession.createDataFrame([(int(i), int(symbol[i])) for i in [*top, END_ID]], "id int, s int"))
+    mapped = split
     for side in ("a", "b"):
-        mapped = mapped.join(F.broadcast(names.withColumnRenamed("id", side).withColumnRenamed("s", f"s{side}")), side, "left")
-    name = lambda side: F.when(F.col(side) == IDS, F.lit(SYMBOLS)).otherwise(F.coalesce(f"s{side}", F.lit(rare_symbol)))
-    got = mapped.select(name("a").alias("x"), name("b").alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((SYMBOLS + 1, SYMBOLS + 1))
-    table[got.column("x").to_numpy(), got.column("y").to_numpy()] = got.column("n").to_numpy()
+        mapped = mapped.join(names.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")), side, "left")
+    got = mapped.groupBy(*[F.coalesce(f"s{side}", F.lit(rare_symbol)).alias(f"s{side}") for side in "ab"]).agg(F.sum("n").alias("n")).toArrow()
+    inner = np.zeros((SYMBOLS, SYMBOLS))
+    inner[got.column("sa").to_numpy(), got.column("sb").to_numpy()] = got.column("n").to_numpy()
     del got, mapped
-    words = table[SYMBOLS].sum()
-    begin = table[SYMBOLS, :SYMBOLS].copy()
-    begin[end] = documents
-    begin /= max(1.0, words + documents)
-    inner = table[:SYMBOLS, :SYMBOLS] + table[:SYMBOLS, SYMBOLS:] * begin[None, :]
-    inner[end] = begin * max(1, documents)
     ones = inner.sum(0) + 0.5
     p = inner + SMOOTH * (ones / ones.sum())
     p /= p.sum(1, keepdims=True)
@@ -550,11 +523,10 @@ def train_round(rows: DataFrame, model: Model, rate: float) -> int:
     return got[0]["n"]
 
 
-def learn(rows: DataFrame, words: DataFrame, tokenizer: str) -> Model:
-    """Counts from the word table of all training documents, attention from all training documents. rows: of `encoded`."""
-    pairs = materialise(pair_counts(words, tokenizer))
+def learn(rows: DataFrame, pairs: DataFrame) -> Model:
+    """Counts and attention from all training documents. rows: of `encoded`; pairs: their `follower_counts`."""
     rows = taught(rows)
-    model = prior(pairs, rows.count())
+    model = prior(pairs)
     done, windows = 0, 1
     while windows and done < LEAST_STEPS * BATCH_WINDOWS:
         windows = 0
@@ -604,7 +576,8 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_
     words = materialise(word_counts(coded))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     pairs = materialise(follower_counts(coded))
-    model = learn(coded, words, tokenizer)
+    model = learn(coded, pairs)
+    pairs = rare_pairs(pairs, model)
     whole = total + 0.5 * (distinct + 1)
     shared = docs.sparkSession.sparkContext.broadcast((model, *known_words(words), known_pairs(pairs)))
     kind = docs.schema[id_col].dataType
@@ -629,15 +602,18 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_
                 base = np.bincount(whose[found], np.log10((counts[found] + 0.5) / whole), n) + end_value
                 n_known = np.bincount(whose[found], minlength=n) + (ends > 0)
                 own = row + np.arange(n)
-                p, text = np.exp(model.each(ids, at)) * TRUST, np.repeat(np.arange(n), np.diff(at) + 1)
-                pair, which = np.unique(followers(ids, at), return_inverse=True)
+                log_p, text = model.score(ids, at), np.repeat(np.arange(n), np.diff(at) + 1)
+                pair = followers(ids, at)
+                of_rare = np.flatnonzero(model.is_rare()[pair % IDS])
+                pair, text = pair[of_rare], text[of_rare]
+                share = model.rare[pair % IDS]
+                p = TRUST * np.exp(share)
                 place = np.minimum(np.searchsorted(often, pair), max(0, len(often) - 1))
                 told = often[place] == pair if len(often) else np.zeros(len(pair), bool)
-                seen = np.where(told, often_n[place], 0.0)[which] if len(often) else np.zeros(len(which))
-                told = told[which]
-                part = -np.log10(before[pair // IDS] + TRUST)[which]
-                part[told] += np.log10(seen[told] + p[told])
-                cols = [pa.array(own), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(word_at) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(np.bincount(text, part, n)), *[nulls(n, f) for f in ("word", "n", "pair", "p")]]
+                part = -np.log10(before[pair // IDS] + TRUST) - share / math.log(10)
+                part[told] += np.log10(often_n[place[told]] + p[told])
+                log_p += np.bincount(text, part, n)
+                cols = [pa.array(own), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(word_at) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(log_p), *[nulls(n, f) for f in ("word", "n", "pair", "p")]]
                 yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
                 if not found.all():
                     both, times = np.unique(whose[~found] * len(words.dictionary) + words.indices.to_numpy()[~found], return_counts=True)
@@ -647,7 +623,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_
                     yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
                 if not told.all():
                     m = int((~told).sum())
-                    cols = [pa.array(own[text[~told]]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n")], pa.array(pair[which[~told]]), pa.array(p[~told])]
+                    cols = [pa.array(own[text[~told]]), *[nulls(m, f) for f in ("_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n")], pa.array(pair[~told]), pa.array(p[~told])]
                     yield pa.record_batch(cols, schema=schema)
                 row += n
         rest()

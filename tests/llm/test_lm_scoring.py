@@ -43,7 +43,7 @@ def coded(docs, tokenizer):
 
 def test_windows_score_each_token_once(docs, tokenizer):
     rows = coded(docs, tokenizer)
-    model = lm_scoring.learn(rows, lm_scoring.word_counts(rows), tokenizer)
+    model = lm_scoring.learn(rows, lm_scoring.follower_counts(rows))
     texts = ["", "the", "the and of ", "one two three " * 60]
     import pyarrow as pa
 
@@ -77,8 +77,7 @@ def test_training_lowers_loss(docs, tokenizer):
 
     texts = [r["text"] for r in docs.collect()]
     ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(pa.array(texts)))[:2]
-    pairs = lm_scoring.pair_counts(lm_scoring.word_counts(coded(docs, tokenizer)), tokenizer)
-    model = lm_scoring.prior(pairs, len(texts))
+    model = lm_scoring.prior(lm_scoring.follower_counts(coded(docs, tokenizer)))
     before = model.score(ids, at).sum()
     assert lm_scoring.train(model, ids, at, 150).score(ids, at).sum() > before
 
@@ -99,8 +98,8 @@ def test_attention_is_trained_on_all_documents(spark, docs, tokenizer, monkeypat
     monkeypatch.setattr(lm_scoring, "train_round", lambda *a, **b: seen.append(one(*a, **b)) or seen[-1])
     monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
     rows = coded(docs, tokenizer)
-    before = lm_scoring.prior(lm_scoring.pair_counts(lm_scoring.word_counts(rows), tokenizer), len(texts)).score(ids, at).sum()
-    model = lm_scoring.learn(rows.repartition(3), lm_scoring.word_counts(rows), tokenizer)
+    before = lm_scoring.prior(lm_scoring.follower_counts(rows)).score(ids, at).sum()
+    model = lm_scoring.learn(rows.repartition(3), lm_scoring.follower_counts(rows))
     assert len(seen) == lm_scoring.ROUNDS and sum(seen) == windows
     assert model.score(ids, at).sum() > before
 
@@ -114,18 +113,36 @@ def test_pairs_across_words_are_counted_and_scored(docs, tokenizer, monkeypatch)
         c.update(zip(own, own[1:], strict=False))
     got = {divmod(r["pair"], lm_scoring.IDS): r["n"] for r in lm_scoring.follower_counts(coded(few, tokenizer)).collect()}
     assert got == dict(c)
-    one, first = lm_scoring.learn, Counter()
-    for (a, _), n in c.items():
-        first[a] += n
+    one = lm_scoring.learn
     kept = []
     monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
     monkeypatch.setattr(lm_scoring, "KNOWN_PAIRS", 200)
     monkeypatch.setattr(lm_scoring, "learn", lambda *a, **b: kept.append(one(*a, **b)) or kept[-1])
     scores = {r["doc_id"]: r["score"] for r in lm_scoring.score(few, F.lit(False), tokenizer).collect()}
+    model, first = kept[0], Counter()
+    for (a, b), n in c.items():
+        first[a] += n * bool(model.is_rare()[b])
+    rest = 0
     for i, (ids, at) in held.items():
-        own, p = [lm_scoring.END_ID, *ids.tolist(), lm_scoring.END_ID], np.exp(kept[0].each(ids, at))
-        want = sum(math.log10((c[x] + lm_scoring.TRUST * q) / (first[x[0]] + lm_scoring.TRUST)) for x, q in zip(zip(own, own[1:], strict=False), p, strict=True))
+        own, want = [lm_scoring.END_ID, *ids.tolist(), lm_scoring.END_ID], 0.0
+        for a, b, p in zip(own[:-1], own[1:], np.exp(model.each(ids, at)), strict=True):
+            if model.is_rare()[b]:  # each gives it its share of the rare symbol
+                share = math.exp(model.rare[b])
+                p, rest = p / share * (c[a, b] + lm_scoring.TRUST * share) / (first[a] + lm_scoring.TRUST), rest + 1
+            want += math.log10(p)
         assert scores[i] == pytest.approx(want, rel=1e-5)
+    assert rest > 0
+    # what may follow a subword inside the rare symbol has probability one
+    rare = np.flatnonzero(model.is_rare())
+    for a in list(first)[:5]:
+        assert sum((c[a, b] + lm_scoring.TRUST * math.exp(model.rare[b])) / (first[a] + lm_scoring.TRUST) for b in rare.tolist()) == pytest.approx(1, abs=1e-6)
+    symbols = Counter()
+    for (a, b), n in c.items():
+        symbols[model.symbol[a], model.symbol[b]] += n
+    for (a, b), n in symbols.most_common(20):  # also across words
+        ones = np.array([sum(n for (_, y), n in symbols.items() if y == z) for z in range(lm_scoring.SYMBOLS)]) + 0.5
+        whole = sum(n for (x, _), n in symbols.items() if x == a) + lm_scoring.SMOOTH
+        assert math.exp(model.pair[a, b]) == pytest.approx((n + lm_scoring.SMOOTH * ones[b] / ones.sum()) / whole, rel=1e-4)
 
 
 def test_words_come_back_from_ids(odd, tokenizer):
