@@ -63,15 +63,41 @@ def missingness(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def running_sums(df: DataFrame, value: str, sums: dict[str, str], keys: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """df with the sum of each column of sums, under the name it is given there, over the rows of the key whose value is at most the row's.
+
+    Values must be known and, in a key, distinct. They are cut into about equal ranges: sums inside a range and sums of the ranges
+    before it are added, so no task orders a whole table or key. Values of types without quantiles (text) are one range, as with ranges=1.
+    """
+    keys = keys or []
+    cuts = []
+    if ranges > 1 and df.schema[value].dataType.typeName() not in ("string", "boolean", "binary"):
+        cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("c")).first()["c"] or []
+    up = lambda part, order: Window.partitionBy(*part).orderBy(order)
+    if len(cuts := sorted(set(cuts))) < 2:
+        w = up(keys, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c).over(w).alias(name) for c, name in sums.items()])
+    at = F.lit(0)
+    for c in cuts:
+        at = at + (F.col(value) > F.lit(c)).cast("int")
+    cut = df.withColumn("_range", at)
+    earlier = up(keys, "_range").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows a key
+    before = cut.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    before = before.select(F.struct(*keys, "_range").alias("_whose"), *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    inside = up([*keys, "_range"], value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = cut.select("*", *[F.sum(c).over(inside).alias(f"_inside_{c}") for c in sums])
+    both = own.join(before, F.struct(*[own[k] for k in [*keys, "_range"]]).eqNullSafe(before["_whose"]))
+    return both.select(*[own[c] for c in df.columns], *[(F.col(f"_inside_{c}") + F.col(f"_before_{c}")).alias(name) for c, name in sums.items()])
+
+
 def average_rank(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "avg_rank") -> DataFrame:
     """Rank from 1 of non-null values, ties sharing the mean rank.
 
-    Ranks come from counts by value: rows below plus half of the ties, so only distinct values are ordered, not rows.
+    Ranks come from counts by value: rows below plus half of the ties, so only distinct values are ordered, not rows, and these range by range.
     """
     keys = keys or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running_sums(counts, value, {"_n": "_upto"}, keys).select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(ranks, [*keys, value], "left")
 
 

@@ -1,6 +1,6 @@
 """Evaluation of scores: rank metrics with ties, calibration, decision curves, cluster resampling.
 
-Rank metrics are computed from counts by distinct score, so a single ordered pass sees scores, not rows.
+Rank metrics are computed from counts by distinct score, which are summed range by range of the scores.
 """
 
 from __future__ import annotations
@@ -12,19 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinflow.functions.scalars import clipped, equal_width_bin, logit, unit_interval
-from clinflow.operators.aggregates import percent_where
+from clinflow.operators.aggregates import percent_where, running_sums
 from clinflow.shared import materialise
 
 
-def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """keys, n_cases, n_controls (weights where given), auroc, average_precision. Equal scores are one group; with one class both are null."""
+def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None, weight: str | None = None, ranges: int = 64) -> DataFrame:
+    """keys, n_cases, n_controls (weights where given), auroc, average_precision. Equal scores are one group; with one class both are null. ranges: see `running_sums`."""
     keys = keys or []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     groups = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("_n"))
-    down = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = groups.withColumn("_cp", F.sum("_p").over(upto)).withColumn("_cn", F.sum("_n").over(upto))
+    groups = groups.withColumn("_down", -F.col(score).cast("double"))
+    groups = running_sums(groups, "_down", {"_p": "_cp", "_n": "_cn"}, keys, ranges)
     # a control at a score is beaten by the cases above it and half of those beside it
     wins = F.col("_n") * (F.col("_cp") - F.col("_p") / 2)
     precision = F.try_divide(F.col("_cp"), F.col("_cp") + F.col("_cn")) * F.col("_p")
@@ -128,7 +127,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, label: str, base: str, other:
     draws = draws.withColumn("_m", multiplicity(F.col("_k"), F.col("replicate"), seed)).where("_m > 0")
     drawn = cells.join(draws, "_k").groupBy("replicate", "_y", "_a", "_b").agg(F.sum(F.col("_n") * F.col("_m")).alias("_w"))
     both = drawn.select("replicate", "_y", "_w", F.explode(F.array(F.struct(F.lit("base").alias("_which"), F.col("_a").alias("_s")), F.struct(F.lit("other").alias("_which"), F.col("_b").alias("_s")))).alias("x")).select("replicate", "_y", "_w", "x.*")
-    got = auroc(both, "_y", "_s", ["replicate", "_which"], "_w").groupBy("replicate")
+    got = auroc(both, "_y", "_s", ["replicate", "_which"], "_w", ranges=1).groupBy("replicate")
     wide = got.agg(*[F.max(F.when(F.col("_which") == w, F.col("auroc"))).alias(f"auc_{w}") for w in ("base", "other")])
     return wide.withColumn("delta", F.col("auc_other") - F.col("auc_base"))
 

@@ -177,3 +177,13 @@ def test_allocate_keeps_components_whole(spark):
     got = C.allocate(spark.range(200).selectExpr("id as c", "1 + id % 3 as n"), "c", "n")
     share = {r["part"]: r["n"] for r in got.join(spark.range(200).selectExpr("id as c", "1 + id % 3 as n"), "c").groupBy("part").agg(F.sum("n").alias("n")).collect()}
     assert got.count() == 200 and abs(share[0] / sum(share.values()) - 0.7) < 0.03
+
+
+def test_running_sums_over_ranges_equal_one_pass(spark):
+    rows = [(k, float(v) / 7, v % 5) for k in ("a", "b", None) for v in range(-150, 150, 1 if k == "a" else 3)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    for keys in ([], ["k"]):
+        one = df if keys else df.where("k = 'a'")
+        ranged, plain = (sorted(map(str, A.running_sums(one, "v", {"n": "s"}, keys, r).collect())) for r in (8, 1))
+        assert ranged == plain and len(ranged) == one.count()
+    assert A.running_sums(df.where("false"), "v", {"n": "s"}, ["k"]).count() == 0
