@@ -260,12 +260,12 @@ def mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""
-s AS (SELECT case_id % 3 = 0 AS flagged, y, p_aug FROM sc), g AS (SELECT p_aug, sum(y) AS p, sum(1 - y) AS n FROM s WHERE flagged GROUP BY 1)
-SELECT sum(p)::DOUBLE AS n_cases, sum(n)::DOUBLE AS n_controls, round(sum(n * (cp - p / 2.0)) / (sum(p) * sum(n)), 6) AS auroc FROM (SELECT *, sum(p) OVER (ORDER BY p_aug DESC ROWS UNBOUNDED PRECEDING) AS cp FROM g)
+g AS (SELECT source, p_aug, sum(y) AS p, sum(1 - y) AS n FROM sc GROUP BY 1, 2)
+SELECT source, sum(p)::DOUBLE AS n_cases, sum(n)::DOUBLE AS n_controls, round(sum(n * (cp - p / 2.0)) / (sum(p) * sum(n)), 6) AS auroc FROM (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY p_aug DESC ROWS UNBOUNDED PRECEDING) AS cp FROM g) GROUP BY 1
 """)
 def subset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of a subset, without another fit."""
-    return I.auroc(X.scores(spark, sf_dir).where("case_id % 3 = 0"), "y", "p_aug").select("n_cases", "n_controls", F.round("auroc", 6).alias("auroc"))
+    """Out-of-fold scores of every source's subset, without another fit."""
+    return I.auroc(X.scores(spark, sf_dir), "y", "p_aug", ["source"]).select("source", "n_cases", "n_controls", F.round("auroc", 6).alias("auroc"))
 
 
 @R.add()
