@@ -63,16 +63,17 @@ def missingness(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def running_sums(df: DataFrame, value: str, sums: dict[str, str], keys: list[str] | None = None, ranges: int = 64) -> DataFrame:
+def running_sums(df: DataFrame, value: str, sums: dict[str, str], keys: list[str] | None = None, ranges: int = 64, at_once: int = 1_000_000) -> DataFrame:
     """df with the sum of each column of sums, under the name it is given there, over the rows of the key whose value is at most the row's.
 
     Values must be known and, in a key, distinct. They are cut into about equal ranges: sums inside a range and sums of the ranges
-    before it are added, so no task orders a whole table or key. Values of types without quantiles (text) are one range, as with ranges=1.
+    before it are added, so no task orders a whole table or key. Values of types without quantiles (text) are one range, as with ranges=1 or a table of at most `at_once` rows.
     """
     keys = keys or []
     cuts = []
     if ranges > 1 and df.schema[value].dataType.typeName() not in ("string", "boolean", "binary"):
-        cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("c")).first()["c"] or []
+        rows, found = df.agg(F.count("*"), F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()
+        cuts = found if rows > at_once else []
     up = lambda part, order: Window.partitionBy(*part).orderBy(order)
     if len(cuts := sorted(set(cuts))) < 2:
         w = up(keys, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -184,6 +184,6 @@ def test_running_sums_over_ranges_equal_one_pass(spark):
     df = spark.createDataFrame(rows, "k string, v double, n long")
     for keys in ([], ["k"]):
         one = df if keys else df.where("k = 'a'")
-        ranged, plain = (sorted(map(str, A.running_sums(one, "v", {"n": "s"}, keys, r).collect())) for r in (8, 1))
+        ranged, plain = (sorted(map(str, A.running_sums(one, "v", {"n": "s"}, keys, r, at_once=10).collect())) for r in (8, 1))
         assert ranged == plain and len(ranged) == one.count()
     assert A.running_sums(df.where("false"), "v", {"n": "s"}, ["k"]).count() == 0
