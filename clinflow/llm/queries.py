@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from clinflow.llm import divergence, exact_dedup, lm_scoring, mixing, near_dedup, packing, phrases, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from clinflow.llm import divergence, exact_dedup, lm_scoring, mixing, near_dedup, packing, phrases, quality_classifier, quality_rules, repeats, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 100 bytes that also start earlier. Null text: empty. Null id: earlier than all others. Repeated rows: the first in a fixed order stays. Empty table: empty result."""
+    left = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_classifier": op2_quality_classifier,
@@ -136,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_source_divergence": op11_source_divergence,
     "op12_phrases": op12_phrases,
+    "op13_repeats": op13_repeats,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
