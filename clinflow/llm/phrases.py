@@ -37,7 +37,7 @@ TABLE = inside(ENDS + SPACES)
 _END = np.zeros(256, bool)
 _END[list(ENDS)] = True
 #: Bytes of text handled at once; bits of the bitmap of frequent words; share of a language's words above which a first word is split.
-GROUP, BITS, SPLIT = 16_000_000, 1 << 23, 0.002
+GROUP, BITS, SPLIT = 8_000_000, 1 << 23, 0.002
 #: Parts that pointers are dealt to: one for so many bytes of text.
 PART = 24_000_000
 
@@ -54,7 +54,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, np
                 words = Words(part, o, TABLE)
                 if not len(words.at):
                     continue
-                ends = np.concatenate([[0], np.cumsum(_END[part])])
+                ends = np.zeros(len(part) + 1, np.int32 if len(part) < 1 << 31 else np.int64)
+                np.cumsum(_END[part], out=ends[1:])
                 follows = np.append(words.at[1:], len(part))
                 last = (ends[follows] != ends[words.ends]) | (np.append(words.text[1:], -1) != words.text)
                 yield lang, words, words.codes, last
@@ -126,7 +127,7 @@ def _project(longest: int, frequent: np.ndarray, hot: dict[str, set[bytes]], par
                 back = np.zeros(size, np.int32)
                 back[used] = np.arange(1, len(used) + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p)], pa.int32()), pa.array([lang], pa.string()), pa.array([names.take(pa.array(used - 1)).cast(pa.string()).to_pylist()], pa.list_(pa.string())),
+                    [pa.array([int(p)], pa.int32()), pa.array([lang], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), names.take(pa.array(used - 1)).cast(pa.string())),
                      pa.array([back[mine].tobytes()], pa.binary()), pa.array([counts[order[bounds[p] : bounds[p + 1]]].astype(np.int64).tobytes()], pa.binary())],
                     ["part", "lang", "words", "codes", "counts"],
                 )

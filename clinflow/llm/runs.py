@@ -31,7 +31,7 @@ class Words:
         self.at = np.flatnonzero(begins)
         self.text = np.searchsorted(offsets, self.at, "right") - 1
         letters = LOWER[data[within]]
-        before = np.cumsum(within)
+        before = np.cumsum(within, dtype=np.int32 if n < 1 << 31 else np.int64)
         bounds = np.append(before[self.at] - 1, len(letters)).astype(np.int64)
         self.ends = self.at + np.diff(bounds)
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.at), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
