@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, Imputer, NGram, StandardScaler, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -40,11 +40,6 @@ def logistic(c: float, rows: int, **more) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, rows)), elasticNetParam=0.0, standardization=False, maxIter=200, **more)
 
 
-def boosted_trees(seed: int = 1, rounds: int = 300) -> GBTClassifier:
-    """300 rounds at rate 0.05, trees of depth 4 (16 leaves at most), 50 rows in a leaf at least. Spark ML's trees have no L2 term on leaves and no missing values: impute them with an indicator."""
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, stepSize=0.05, maxDepth=4, minInstancesPerNode=50, seed=seed)
-
-
 def forest(seed: int = 1) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=100, maxDepth=12, minInstancesPerNode=50, featureSubsetStrategy="all", seed=seed)
 
