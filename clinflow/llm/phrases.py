@@ -37,7 +37,7 @@ TABLE = inside(ENDS + SPACES)
 _END = np.zeros(256, bool)
 _END[list(ENDS)] = True
 #: Bytes of text handled at once; bits of the bitmap of frequent words; share of a language's words above which a first word is split.
-GROUP, BITS, SPLIT = 8_000_000, 1 << 23, 0.002
+GROUP, BITS, SPLIT = 5_000_000, 1 << 23, 0.002
 #: Parts that pointers are dealt to: one for so many bytes of text.
 PART = 24_000_000
 
@@ -119,18 +119,14 @@ def _project(longest: int, frequent: np.ndarray, hot: dict[str, set[bytes]], par
             part = np.where(split, part * np.uint64(31) + h[of_number[runs[1] - 1]].astype(np.uint64), part) % np.uint64(parts)
             order = np.argsort(part.astype(np.int64), kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            names = words.known.take(pa.array(of_number))
             for p in np.flatnonzero(np.diff(bounds)):
                 mine = runs[:, order[bounds[p] : bounds[p + 1]]]
                 used = np.unique(mine)
                 used = used[used > 0]
                 back = np.zeros(size, np.int32)
                 back[used] = np.arange(1, len(used) + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p)], pa.int32()), pa.array([lang], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), names.take(pa.array(used - 1)).cast(pa.string())),
-                     pa.array([back[mine].tobytes()], pa.binary()), pa.array([counts[order[bounds[p] : bounds[p + 1]]].astype(np.int64).tobytes()], pa.binary())],
-                    ["part", "lang", "words", "codes", "counts"],
-                )
+                blobs = [b"\n".join([known[i] for i in of_number[used - 1]]), back[mine].tobytes(), counts[order[bounds[p] : bounds[p + 1]]].astype(np.int32).tobytes()]  # no word has a line end
+                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([lang], pa.string()), *(pa.array([x], pa.binary()) for x in blobs)], ["part", "lang", "words", "codes", "counts"])
         rest()
 
     return project
@@ -164,40 +160,50 @@ def _grow(longest: int, least: int):
     """The phrases of one part's prefixes: lang, words, count."""
 
     def grow(rows: pa.Table) -> pa.Table:
-        out: list[tuple[str, list[str], int]] = []
+        out: list[pa.Table] = []
         for lang in pc.unique(rows["lang"]).to_pylist():
             mine = rows.filter(pc.equal(rows["lang"], lang))
-            names = pc.list_flatten(mine["words"]).combine_chunks().dictionary_encode()
-            number, at, tables, counts = names.indices.to_numpy(), 0, [], []
-            for n, codes, count in zip(pc.list_value_length(mine["words"]).to_pylist(), mine["codes"], mine["counts"], strict=True):
-                back = np.concatenate([[0], number[at : at + n].astype(np.int64) + 1])
+            number: dict[bytes, int] = {}
+            tables, counts = [], []
+            for names, codes, count in zip(mine["words"], mine["codes"], mine["counts"], strict=True):
+                back = np.array([0, *(number.setdefault(w, len(number) + 1) for w in names.as_py().split(b"\n"))])
                 tables.append(back[np.frombuffer(codes.as_py(), np.int32).reshape(longest, -1)])
-                counts.append(np.frombuffer(count.as_py(), np.int64))
-                at += n
-            table, count = _distinct(np.concatenate(tables, axis=1), len(names.dictionary) + 1, np.concatenate(counts))
-            words = names.dictionary
-            for numbers, n in _extensions(table, count, least):
-                out.append((lang, [words[int(x) - 1].as_py() for x in numbers], n))
-        return pa.table({"lang": pa.array([r[0] for r in out], pa.string()), "words": pa.array([r[1] for r in out], pa.list_(pa.string())), "a": pa.array([r[2] for r in out], pa.int64())})
+                counts.append(np.frombuffer(count.as_py(), np.int32).astype(np.int64))
+            table, count = _distinct(np.concatenate(tables, axis=1), len(number) + 1, np.concatenate(counts))
+            del tables, counts
+            words = pa.array(list(number), pa.binary()).cast(pa.string())
+            for depth, at, n in _extensions(table, count, least):
+                flat = words.take(pa.array((table[: depth + 1, at].T - 1).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (depth + 1), pa.int32()), flat)
+                out.append(pa.table({"lang": pa.array([lang] * len(at), pa.string()), "words": lists, "a": pa.array(n)}))
+        empty = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.int64())]).empty_table()
+        rest()
+        return pa.concat_tables([empty, *out]).combine_chunks()
 
     return grow
 
 
-def _extensions(table: np.ndarray, count: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int]]:
-    """Frequent phrases of two words and more, depth first. A stack holds ranges of the sorted pointers, each the projection of one phrase."""
+def _extensions(table: np.ndarray, count: np.ndarray, least: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(last word's place, where in the table, occurrences) of frequent phrases of two words and more, grown depth first. A stack holds ranges of the sorted pointers, each the projection of one phrase."""
     before = np.concatenate([[0], np.cumsum(count)])
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in table]
+    new = [np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool) for row in table]
     stack = [(0, 0, table.shape[1])]
     while stack:
         depth, start, stop = stack.pop()
-        column = table[depth, start:stop]
-        cuts = start + np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+        if before[stop] - before[start] < least:
+            continue
+        cuts = np.flatnonzero(new[depth][start:stop]) + start
+        if not len(cuts) or cuts[0] != start:
+            cuts = np.append(start, cuts)
         ends = np.append(cuts[1:], stop)
         enough = (before[ends] - before[cuts] >= least) & (table[depth, cuts] > 0)
-        for a, b in zip(cuts[enough].tolist(), ends[enough].tolist(), strict=True):
-            if depth:
-                yield table[: depth + 1, a], int(before[b] - before[a])
-            if depth + 1 < len(table):
-                stack.append((depth + 1, a, b))
+        cuts, ends = cuts[enough], ends[enough]
+        if depth and len(cuts):
+            found[depth].append((cuts, before[ends] - before[cuts]))
+        if depth + 1 < len(table):
+            stack += [(depth + 1, a, b) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    return [(depth, np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])) for depth, got in enumerate(found) if got]
 
 
 def _joined(words: Column, start: int | Column, length: int | Column) -> Column:
@@ -216,7 +222,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         hot.setdefault(r["lang"], set()).add(r["word"].encode())
     size = docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
     parts = max(8, int(size // PART))
-    pointers = docs.mapInArrow(_project(longest, _bitmap(frequent), hot, parts), "part int, lang string, words array<string>, codes binary, counts binary")
+    pointers = docs.mapInArrow(_project(longest, _bitmap(frequent), hot, parts), "part int, lang string, words binary, codes binary, counts binary")
     found = pointers.groupBy("part").applyInArrow(_grow(longest, least), "lang string, words array<string>, a long")
     return materialise(found), words
 
