@@ -138,53 +138,3 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaa
 def site_transfer(train: DataFrame, score: DataFrame, stages: list, id_: str) -> DataFrame:
     """id, probability of a site's rows by a pipeline fitted on another's, unchanged."""
     return Pipeline(stages=stages).fit(train).transform(score).select(id_, vector_to_array("probability")[1].alias("probability"))
-
-
-def refit_bootstrap(df: DataFrame, cluster: str, label: str, fold: str, base: list[str], more: list[str], replicates: int, penalty: float = 1.0, seed: int = 1) -> DataFrame:
-    """replicate, auc_base, auc_more, delta: in each replicate clusters are weighted by how often they are drawn, folds stay, and
-    both logistic models are fitted again outside each fold and score it. A replicate is one task's work; replicates run beside each other.
-    Features must be complete. Replicates without both classes have nulls.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from clinflow.operators.stats import multiplicity
-
-    def fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-        beta = np.zeros(x.shape[1])
-        ridge = np.full(x.shape[1], penalty)
-        ridge[0] = 0.0
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (w * (p - y)) + ridge * beta)
-            beta -= step
-            if np.abs(step).max() < 1e-8:
-                break
-        return beta
-
-    def area(y: np.ndarray, s: np.ndarray, w: np.ndarray) -> float | None:
-        at, where = np.unique(s, return_inverse=True)
-        case, control = np.bincount(where, w * y, len(at)), np.bincount(where, w * (1 - y), len(at))
-        if not case.sum() or not control.sum():
-            return None
-        return float((case * (np.cumsum(control) - control / 2)).sum() / (case.sum() * control.sum()))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        y, w, f = rows["_y"].to_numpy(float), rows["_w"].to_numpy(float), rows["_f"].to_numpy()
-        got = []
-        for names in (base, base + more):
-            x = rows[names].to_numpy(float)
-            s = np.zeros(len(y))
-            for k in np.unique(f):
-                inside = f == k
-                middle = np.average(x[~inside], 0, w[~inside])  # scaled by the training folds alone
-                spread = np.sqrt(np.average((x[~inside] - middle) ** 2, 0, w[~inside])) + 1e-12
-                z = np.column_stack([np.ones(len(x)), (x - middle) / spread])
-                s[inside] = z[inside] @ fitted(z[~inside], y[~inside], w[~inside])
-            got.append(area(y, s, w))
-        delta = None if None in got else got[1] - got[0]
-        return pd.DataFrame({"replicate": [int(rows["replicate"].iloc[0])], "auc_base": [got[0]], "auc_more": [got[1]], "delta": [delta]})
-
-    reps = df.select(F.col(cluster).alias("_c"), F.col(label).alias("_y"), F.col(fold).alias("_f"), *base, *more, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    reps = reps.withColumn("_w", multiplicity(F.col("_c"), F.col("replicate"), seed)).where("_w > 0")
-    return reps.groupBy("replicate").applyInPandas(one, "replicate int, auc_base double, auc_more double, delta double")

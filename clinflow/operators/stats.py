@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from clinflow.functions.scalars import clipped, equal_width_bin, logit, unit_interval
 from clinflow.operators.aggregates import percent_where, running_sums
-from clinflow.shared import materialise
 
 
 def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None, weight: str | None = None, ranges: int = 64) -> DataFrame:
@@ -117,32 +116,6 @@ def multiplicity(cluster: Column, replicate: Column, seed: int = 1) -> Column:
     return out
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, label: str, base: str, other: str, replicates: int, seed: int = 1) -> DataFrame:
-    """replicate, auc_base, auc_other, delta: both scores under the same cluster weights. Replicates without both classes are null.
-
-    Draws are made once per cluster and replicate, and rows that agree in cluster, label and scores are one row with their number.
-    """
-    cells = materialise(df.groupBy(F.col(cluster).alias("_k"), F.col(label).alias("_y"), F.col(base).alias("_a"), F.col(other).alias("_b")).agg(F.count("*").alias("_n")))
-    draws = cells.select("_k").distinct().select("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draws = draws.withColumn("_m", multiplicity(F.col("_k"), F.col("replicate"), seed)).where("_m > 0")
-    drawn = cells.join(draws, "_k").groupBy("replicate", "_y", "_a", "_b").agg(F.sum(F.col("_n") * F.col("_m")).alias("_w"))
-    both = drawn.select("replicate", "_y", "_w", F.explode(F.array(F.struct(F.lit("base").alias("_which"), F.col("_a").alias("_s")), F.struct(F.lit("other").alias("_which"), F.col("_b").alias("_s")))).alias("x")).select("replicate", "_y", "_w", "x.*")
-    got = auroc(both, "_y", "_s", ["replicate", "_which"], "_w", ranges=1).groupBy("replicate")
-    wide = got.agg(*[F.max(F.when(F.col("_which") == w, F.col("auroc"))).alias(f"auc_{w}") for w in ("base", "other")])
-    return wide.withColumn("delta", F.col("auc_other") - F.col("auc_base"))
-
-
-def mean_bootstrap(df: DataFrame, id_: str, value: str, replicates: int, seed: int = 1) -> DataFrame:
-    """n, low, high: 2.5 and 97.5 per cent of the means of resampled rows; null with fewer than two finite values."""
-    finite = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)) & (F.abs(F.col(value)) < float("inf")))
-    draws = finite.select(F.col(value).alias("_v"), F.col(id_).alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    means = draws.withColumn("_m", multiplicity(F.col("_k"), F.col("replicate"), seed)).groupBy("replicate").agg((F.sum(F.col("_m") * F.col("_v")) / F.sum("_m")).alias("_mean"))
-    n = finite.count()
-    q = F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975)))
-    enough = F.lit(n > 1)
-    return means.agg(F.lit(n).cast("long").alias("n"), F.when(enough, q[0]).alias("low"), F.when(enough, q[1]).alias("high"))
-
-
 def percentile_interval(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """n, low, high: 2.5 and 97.5 per cent, linear."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))

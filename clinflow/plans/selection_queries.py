@@ -11,6 +11,7 @@ from clinflow.operators import features as H
 from clinflow.operators import boosting as B
 from clinflow.operators import models as M
 from clinflow.operators import ordering as E
+from clinflow.operators import resampling as Z
 from clinflow.operators import selection as Q
 from clinflow.operators import stats as I
 from clinflow.operators import text as T
@@ -229,7 +230,7 @@ def _areas(cluster: str, rows: str = "sc") -> str:
 g{n} AS (SELECT r, {s} AS s, sum(CASE WHEN y = 1 THEN m ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN m ELSE 0 END) AS n FROM x GROUP BY 1, 2),
 a{n} AS (SELECT r, sum(n * (cp - p / 2.0)) / (sum(p) * sum(n)) AS a FROM (SELECT *, sum(p) OVER (PARTITION BY r ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cp FROM g{n}) GROUP BY 1)"""
     return f"""
-w AS (SELECT k, r, {drawn("k")} AS m FROM (SELECT DISTINCT {cluster} AS k FROM {rows}), (SELECT unnest(range(1, 51)) AS r)),
+w AS (SELECT k, r, {drawn("k")} AS m FROM (SELECT DISTINCT {cluster} AS k FROM {rows}), (SELECT unnest(range(1, 501)) AS r)),
 x AS (SELECT r, y, p_base, p_aug, m FROM {rows} JOIN w ON k = {cluster} WHERE m > 0),{one("p_base", 0)},{one("p_aug", 1)}
 SELECT CAST(a0.r AS INT) AS replicate, round(a0.a, 6) AS auc_base, round(a1.a, 6) AS auc_other, round(a1.a - a0.a, 6) AS delta FROM a0 JOIN a1 USING (r)"""
 
@@ -240,24 +241,24 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @R.add(_areas("subject_id"))
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired differences under common patient weights, 50 replicates."""
-    return _rounded(I.cluster_bootstrap(X.scores(spark, sf_dir), "subject_id", "y", "p_base", "p_aug", 50))
+    """Paired differences under common patient weights, 500 replicates."""
+    return _rounded(Z.cluster_bootstrap(X.scores(spark, sf_dir), "subject_id", "y", "p_base", "p_aug", 500))
 
 
 @R.add(_areas("(case_id % 500)"))
 def matched_set_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched sets are drawn whole."""
-    return _rounded(I.cluster_bootstrap(X.scores(spark, sf_dir).withColumn("match_set", F.col("case_id") % 500), "match_set", "y", "p_base", "p_aug", 50))
+    """Matched sets are drawn whole, 500 replicates."""
+    return _rounded(Z.cluster_bootstrap(X.scores(spark, sf_dir).withColumn("match_set", F.col("case_id") % 500), "match_set", "y", "p_base", "p_aug", 500))
 
 
 @R.add(f"""
-x AS (SELECT r, sum(m * p_base) / sum(m) AS v FROM (SELECT r, p_base, {drawn("case_id")} AS m FROM sc, (SELECT unnest(range(1, 21)) AS r) WHERE source = '1-URGENT') GROUP BY 1)
-SELECT (SELECT count(*) FROM sc WHERE source = '1-URGENT') AS n, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM x
+x AS (SELECT source, r, sum(m * p_base) / sum(m) AS v FROM (SELECT source, r, p_base, {drawn("case_id")} AS m FROM sc, (SELECT unnest(range(1, 501)) AS r)) GROUP BY 1, 2)
+SELECT source, n, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM x JOIN (SELECT source, count(*) AS n FROM sc GROUP BY 1) USING (source) GROUP BY 1, 2
 """)
 def mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I15."""
-    got = I.mean_bootstrap(X.scores(spark, sf_dir).where("source = '1-URGENT'"), "case_id", "p_base", 20)
-    return got.select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    """The mean of every source, 500 replicates."""
+    got = Z.mean_bootstrap(X.scores(spark, sf_dir), ["source"], "case_id", "p_base", 500)
+    return got.select("source", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @R.add("""

@@ -153,26 +153,6 @@ def test_power():
     assert I.detectable(0.6, 5, 20, 0.0) is None and I.detectable(0.99, 5000, 50000, 0.9) <= 0.009
 
 
-def test_drawn_clusters_equal_repeated_rows(spark):
-    """Each replicate's area is that of the rows repeated as often as their cluster is drawn."""
-    rows = [(i % 20, i % 3 == 0, (i * 7 % 11) / 11, (i * 5 % 13) / 13) for i in range(120)]
-    df = spark.createDataFrame([(c, int(y), a, b) for c, y, a, b in rows], "c int, y int, a double, b double")
-    got = {r["replicate"]: r for r in I.cluster_bootstrap(df, "c", "y", "a", "b", 6).collect()}
-    m = {(r["c"], r["r"]): r["m"] for r in spark.range(20).selectExpr("cast(id as int) c").crossJoin(spark.range(1, 7).selectExpr("cast(id as int) r")).withColumn("m", I.multiplicity(F.col("c"), F.col("r"))).collect()}
-    assert 0.7 < sum(m.values()) / len(m) < 1.3
-    for k, r in got.items():
-        drawn = [x for x in rows for _ in range(m[x[0], k])]
-        area = lambda s: sum((p[s] > q[s]) + 0.5 * (p[s] == q[s]) for p in drawn if p[1] for q in drawn if not q[1]) / (sum(p[1] for p in drawn) * sum(not q[1] for q in drawn))
-        assert r["auc_base"] == pytest.approx(area(2)) and r["auc_other"] == pytest.approx(area(3))
-
-
-def test_refit_bootstrap_without_resampling_effect(spark):
-    rows = [(i, i % 2 if i % 10 else 1 - i % 2, i % 5, float(i % 7), float(i % 2)) for i in range(300)]
-    df = spark.createDataFrame(rows, "c int, y int, fold int, a double, b double")
-    got = M.refit_bootstrap(df, "c", "y", "fold", ["a"], ["b"], 3).collect()
-    assert len(got) == 3 and all(r["auc_more"] > 0.75 and r["delta"] > 0.2 for r in got)
-
-
 def test_allocate_keeps_components_whole(spark):
     got = C.allocate(spark.range(200).selectExpr("id as c", "1 + id % 3 as n"), "c", "n")
     share = {r["part"]: r["n"] for r in got.join(spark.range(200).selectExpr("id as c", "1 + id % 3 as n"), "c").groupBy("part").agg(F.sum("n").alias("n")).collect()}
