@@ -45,7 +45,7 @@ from clinflow.shared import materialise, new_path
 GRAM = 40
 _PLACE = np.uint64(32)
 #: Bytes of text worked on at once; stretches collected before they are dealt; text bytes for each part of the dictionary and of the table of documents.
-GROUP, FLUSH, PART, BUCKET = 3_000_000, 300_000, 32_000_000, 24_000_000
+GROUP, FLUSH, PART, BUCKET = 3_000_000, 300_000, 12_000_000, 24_000_000
 #: Bytes of entries in a shard, and of transforms in a part.
 SHARD, MERGE = 2_000_000, 1_500_000
 #: (different stretches of an anchor beyond which, pieces that its places in a string are then cut to).
