@@ -37,7 +37,7 @@ TABLE = inside(ENDS + SPACES)
 _END = np.zeros(256, bool)
 _END[list(ENDS)] = True
 #: Bytes of text handled at once; bits of the bitmap of frequent words; share of a language's words above which a first word is split.
-GROUP, BITS, SPLIT = 5_000_000, 1 << 23, 0.002
+GROUP, BITS, SPLIT = 2_500_000, 1 << 23, 0.002
 #: Parts that pointers are dealt to: one for so many bytes of text.
 PART = 24_000_000
 
