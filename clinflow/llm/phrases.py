@@ -39,7 +39,7 @@ _END[list(ENDS)] = True
 #: Bytes of text handled at once; bits of the bitmap of frequent words; share of a language's words above which a first word is split.
 GROUP, BITS, SPLIT = 2_500_000, 1 << 23, 0.002
 #: Parts that pointers are dealt to: one for so many bytes of text.
-PART = 24_000_000
+PART = 10_000_000
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, np.ndarray, np.ndarray]]:
@@ -135,7 +135,7 @@ def _project(longest: int, frequent: np.ndarray, hot: dict[str, set[bytes]], par
 def _distinct(table: np.ndarray, size: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct columns of a table of numbers below size, in order, and how often each occurs."""
     if size ** len(table) < 1 << 62:
-        key = table[0]
+        key = table[0].astype(np.int64)
         for row in table[1:]:
             key = key * size + row
         if counts is None:
@@ -148,7 +148,7 @@ def _distinct(table: np.ndarray, size: int, counts: np.ndarray | None = None) ->
         key, out = key[runs], []
         for _ in table:
             key, row = np.divmod(key, size)
-            out.append(row)
+            out.append(row.astype(np.int32))
         return np.array(out[::-1]), n
     order = np.lexsort(table[::-1])
     table = table[:, order]
@@ -166,10 +166,11 @@ def _grow(longest: int, least: int):
             number: dict[bytes, int] = {}
             tables, counts = [], []
             for names, codes, count in zip(mine["words"], mine["codes"], mine["counts"], strict=True):
-                back = np.array([0, *(number.setdefault(w, len(number) + 1) for w in names.as_py().split(b"\n"))])
-                tables.append(back[np.frombuffer(codes.as_py(), np.int32).reshape(longest, -1)])
-                counts.append(np.frombuffer(count.as_py(), np.int32).astype(np.int64))
-            table, count = _distinct(np.concatenate(tables, axis=1), len(number) + 1, np.concatenate(counts))
+                back = np.array([0, *(number.setdefault(w, len(number) + 1) for w in names.as_py().split(b"\n"))], np.int32)
+                tables.append(back[np.frombuffer(codes.as_buffer(), np.int32).reshape(longest, -1)])
+                counts.append(np.frombuffer(count.as_buffer(), np.int32))
+            tables, counts = np.concatenate(tables, axis=1), np.concatenate(counts).astype(np.int64)
+            table, count = _distinct(tables, len(number) + 1, counts)
             del tables, counts
             words = pa.array(list(number), pa.binary()).cast(pa.string())
             for depth, at, n in _extensions(table, count, least):
