@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinflow.operators.ordered import carried, sliced
+from clinflow.shared import materialise
+
 
 def histogram(df: DataFrame, columns: list[str], keep_null: bool = True) -> DataFrame:
     """Rows per value; without nulls unless they are kept."""
@@ -63,32 +66,18 @@ def missingness(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def running_sums(df: DataFrame, value: str, sums: dict[str, str], keys: list[str] | None = None, ranges: int = 64, at_once: int = 1_000_000) -> DataFrame:
-    """df with the sum of each column of sums, under the name it is given there, over the rows of the key whose value is at most the row's.
+def running_sums(df: DataFrame, value: str, sums: dict[str, str], keys: list[str] | None = None, parts: int | None = None, falling: bool = False) -> DataFrame:
+    """df with the sum of each column of sums, under the name it is given there, over the rows of the key whose value is at most (falling: at least) the row's.
 
-    Values must be known and, in a key, distinct. They are cut into about equal ranges: sums inside a range and sums of the ranges
-    before it are added, so no task orders a whole table or key. Values of types without quantiles (text) are one range, as with ranges=1 or a table of at most `at_once` rows.
+    Values must be known and, in a key, distinct. They are dealt by ranges of (key, value); sums inside a range and those of the key's ranges before it
+    are added, so no task orders a whole table or key. NaN is the highest value.
     """
     keys = keys or []
-    cuts = []
-    if ranges > 1 and df.schema[value].dataType.typeName() not in ("string", "boolean", "binary"):
-        rows, found = df.agg(F.count("*"), F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()
-        cuts = found if rows > at_once else []
-    up = lambda part, order: Window.partitionBy(*part).orderBy(order)
-    if len(cuts := sorted(set(cuts))) < 2:
-        w = up(keys, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(c).over(w).alias(name) for c, name in sums.items()])
-    at = F.lit(0)
-    for c in cuts:
-        at = at + (F.col(value) > F.lit(c)).cast("int")
-    cut = df.withColumn("_range", at)
-    earlier = up(keys, "_range").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows a key
-    before = cut.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    before = before.select(F.struct(*keys, "_range").alias("_whose"), *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
-    inside = up([*keys, "_range"], value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = cut.select("*", *[F.sum(c).over(inside).alias(f"_inside_{c}") for c in sums])
-    both = own.join(before, F.struct(*[own[k] for k in [*keys, "_range"]]).eqNullSafe(before["_whose"]))
-    return both.select(*[own[c] for c in df.columns], *[(F.col(f"_inside_{c}") + F.col(f"_before_{c}")).alias(name) for c, name in sums.items()])
+    by = F.col(value).desc() if falling else F.col(value).asc()
+    over = {f"_before_{c}": (F.sum(f"_sum_{c}"), False) for c in sums}
+    rows = carried(sliced(df, keys, [by], parts), keys, {f"_sum_{c}": F.sum(c) for c in sums}, over)
+    inside = Window.partitionBy("_part", *keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(*df.columns, *[(F.sum(c).over(inside) + F.coalesce(f"_before_{c}", F.lit(0))).alias(name) for c, name in sums.items()])
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "avg_rank") -> DataFrame:
@@ -111,13 +100,30 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, n, rho for every pair of columns."""
-    out = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            one = spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "rho")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """a, b, n, rho for every pair of columns, in their order: rank correlation over the rows where both are known, ranked among these rows.
+
+    rho is null with fewer than three such rows or one value. All pairs go together through the same few shuffles, whatever their number: rows become counts by
+    (pair, value, value), the counts' sides are ranked in one order by ranges, and one aggregation adds up products of ranks.
+    """
+    pairs = [F.struct(F.lit(i * len(columns) + j).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    rows = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    joint = materialise(rows.groupBy("pair", "x", "y").agg(F.count("*").alias("n")))
+    sides = joint.select("pair", "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("v")), F.struct(F.lit(1).alias("side"), F.col("y").alias("v")))).alias("s")).select("pair", "n", "s.*")
+    counts = sides.groupBy("pair", "side", "v").agg(F.sum("n").alias("n"))
+    ranks = materialise(running_sums(counts, "v", {"n": "upto"}, ["pair", "side"]).select("pair", "side", "v", (F.col("upto") - (F.col("n") - 1) / 2).alias("r")))
+    side = lambda k, v, r: ranks.where(F.col("side") == k).select("pair", F.col("v").alias(v), F.col("r").alias(r))
+    both = joint.join(side(0, "x", "rx"), ["pair", "x"]).join(side(1, "y", "ry"), ["pair", "y"])
+    # ranks less half of the rows, so that sums of squares keep their digits
+    whole = joint.groupBy("pair").agg(F.sum("n").alias("rows"))
+    both = both.join(F.broadcast(whole), "pair").withColumns({c: F.col(c) - (F.col("rows") + 1) / 2 for c in ("rx", "ry")})
+    add = lambda c: F.sum(F.col("n") * c)
+    got = both.groupBy("pair").agg(F.sum("n").alias("n"), add(F.col("rx") * F.col("ry")).alias("xy"), add(F.col("rx") * F.col("rx")).alias("xx"), add(F.col("ry") * F.col("ry")).alias("yy"))
+    names = F.array(*[F.lit(c) for c in columns])
+    k = len(columns)
+    rho = F.when(F.col("n") >= 3, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))))
+    every = df.sparkSession.createDataFrame([(i * k + j,) for i in range(k) for j in range(i + 1, k)], "pair int")
+    out = every.join(got, "pair", "left")
+    return out.select(F.get(names, F.floor(F.col("pair") / k).cast("int")).alias("a"), F.get(names, F.col("pair") % k).alias("b"), F.coalesce("n", F.lit(0)).alias("n"), rho.alias("rho"))
 
 
 def contrast(df: DataFrame, flag: str, values: list[str]) -> DataFrame:
@@ -132,15 +138,36 @@ def repeat_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def _fields(df: DataFrame, keep: dict[str, Column], fields: list[str]) -> DataFrame:
+    """A row for each row and field that is not blank: the columns to keep, field, value (trimmed)."""
+    long = df.select(*[c.alias(n) for n, c in keep.items()], F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f).cast("string")).alias("value")) for f in fields])).alias("x"))
+    return long.select(*keep, "x.*").where("value <> ''")
+
+
 def field_profile(df: DataFrame, entity: str, fields: list[str], least: int = 5) -> DataFrame:
     """field, n_rows (not blank), n_entities, numeric_share, n_values, n_common_values (seen `least` times or more)."""
-    long = df.select(entity, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(entity, "x.*")
-    long = long.where(F.coalesce(F.trim("value"), F.lit("")) != "")
-    by_field = long.groupBy("field").agg(F.count("*").alias("n_rows"), F.countDistinct(entity).alias("n_entities"), F.avg(F.col("value").try_cast("double").isNotNull().cast("double")).alias("numeric_share"))
+    long = _fields(df, {"_e": F.col(entity)}, fields)
+    by_field = long.groupBy("field").agg(F.count("*").alias("n_rows"), F.countDistinct("_e").alias("n_entities"), F.avg(F.col("value").try_cast("double").isNotNull().cast("double")).alias("numeric_share"))
     by_value = long.groupBy("field", "value").agg(F.count("*").alias("n")).groupBy("field").agg(F.count("*").alias("n_values"), F.count_if(F.col("n") >= least).alias("n_common_values"))
     return by_field.join(by_value, "field")
 
 
+def top_values(df: DataFrame, fields: list[str], support: list[str], least: int = 5, most: int = 30) -> DataFrame:
+    """field, rank, value, n, n_support of the `most` most frequent values of each field with `least` rows or more; ties by value.
+
+    n_support: rows of the value in which any support field is filled; null for support fields themselves. Values are counted exactly: a task passes on one row for each
+    value it met, and only the highest of each task and field are ranked.
+    """
+    filled = F.lit(False)
+    for f in support:
+        filled = filled | (F.trim(F.col(f).cast("string")) != "")
+    long = _fields(df, {"_s": F.coalesce(filled, F.lit(False))}, fields)
+    counts = long.groupBy("field", "value").agg(F.count("*").alias("n"), F.count_if(F.col("_s")).alias("n_support")).where(F.col("n") >= least)
+    order = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return top.select("field", "rank", "value", "n", F.when(~F.col("field").isin(support), F.col("n_support")).alias("n_support"))
+
+
 def dictionary_usage(events: DataFrame, dictionary: DataFrame, item: str, value: str, entity: str) -> DataFrame:
     """dictionary with n_rows, n_numeric, n_entities of each item; items without rows have 0."""
     used = events.groupBy(item).agg(F.count("*").alias("n_rows"), F.count(F.col(value).try_cast("double")).alias("n_numeric"), F.countDistinct(entity).alias("n_entities"))

@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinflow.functions.scalars import after, hours, unit_interval
+from clinflow.operators.matching import match as match
 from clinflow.operators.ordering import earliest, latest
 from clinflow.shared import materialise
 
@@ -70,11 +71,14 @@ def latest_note(stays: DataFrame, notes: DataFrame, h: float, stay: str = "stay_
     return latest(near.drop("landmark_time"), [stay], available, tie)
 
 
-def incident(events: DataFrame, stays: DataFrame, washout: float, stay: str = "stay_id", subject: str = "subject_id", tie: str = "event_id") -> DataFrame:
-    """First event per stay, then per subject, of stays without an event in the first `washout` hours."""
-    joined = events.join(stays.select(stay, "intime"), stay)
-    prevalent = joined.where(F.col("event_time") <= after(F.col("intime"), washout)).select(stay).distinct()
-    fresh = joined.join(prevalent, stay, "left_anti").drop("intime")
+def incident(evidence: DataFrame, stays: DataFrame, endpoint: tuple[str, ...], prevalent: tuple[str, ...], washout: float, stay: str = "stay_id", subject: str = "subject_id", tie: str = "event_id") -> DataFrame:
+    """First endpoint per stay, then per subject, at or after `washout` hours, of stays without any of the `prevalent` tags strictly before.
+
+    evidence: stay, subject, event_time, evidence. An event exactly at the wash-out's end is an endpoint and makes no stay prevalent.
+    """
+    joined = evidence.join(stays.select(stay, "intime"), stay).withColumn("_early", F.col("event_time") < after(F.col("intime"), washout))
+    early = joined.where(F.col("_early") & F.col("evidence").isin(*prevalent)).select(stay).distinct()
+    fresh = joined.where(~F.col("_early") & F.col("evidence").isin(*endpoint)).join(early, stay, "left_anti").drop("intime", "_early")
     return earliest(earliest(fresh, [stay], "event_time", tie), [subject], "event_time", tie)
 
 
@@ -108,50 +112,6 @@ def whole_sets(matched: DataFrame, condition, match_set: str = "match_set") -> D
     return matched.join(good, match_set, "left_semi")
 
 
-def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int = 3, near: float = 6.0, far: float = 12.0, seed: int = 1, order: str = "hardest", category: str | None = None, exact: str | None = None) -> DataFrame:
-    """match_set, id, subject_id, label, distance: greedy 1:k matching by distance on the clock, all or nothing, without replacement of subjects.
-
-    cases, controls: id, subject_id, block, clock. A case looks at unused controls of its block within `far` hours, those within
-    `near` first, then by distance and seeded jitter. order: 'hardest' takes cases by falling clock, 'sorted' by id.
-    category: a column; cases then go by category, clock and subject, and look at controls of their own category first, within `near` and then within `far` hours,
-    before those of others within `near` and then `far`; a null category is like no other. The match_priority (0 to 3) is then in the result.
-    exact: a column that controls share with their case; cases go by it first. A subject with rows in several blocks may be taken once in each: where that must not be, make blocks of whole subjects. A block is matched in one task, since each choice
-    depends on those before it: choose blocks (site, unit, time slice) of bounded size.
-    """
-    both = cases.withColumn("label", F.lit(1)).unionByName(controls.withColumn("label", F.lit(0)))
-    both = both.withColumn("jitter", unit_interval(F.lit(seed), F.col("id")))
-    id_type, subject_type = dict(both.dtypes)["id"], dict(both.dtypes)["subject_id"]
-
-    by, rising = (["category", "clock", "subject_id", "id"], True) if category else (["clock", "id"], [False, True]) if order == "hardest" else (["id"], True)
-    by, rising = (["exact", *by], [True, *(rising if isinstance(rising, list) else [rising] * len(by))]) if exact else (by, rising)
-    names = ["match_set", "id", "subject_id", "label", "distance", *(["match_priority"] if category else [])]
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        cs = rows[rows["label"] == 1].sort_values(by, ascending=rising)
-        pool = rows[rows["label"] == 0].sort_values(["clock", "id"]).reset_index(drop=True)
-        times, used, out = pool["clock"].to_numpy(), set(), []
-        for c in cs.itertuples():
-            if c.subject_id in used:
-                continue
-            lo, hi = times.searchsorted(c.clock - far, "left"), times.searchsorted(c.clock + far, "right")
-            part = pool.iloc[lo:hi]
-            part = part[part["exact"] == c.exact] if exact else part
-            part = part[~part["subject_id"].isin(used | {c.subject_id})]
-            d = (part["clock"] - c.clock).abs()
-            other = ~(part["category"] == c.category) if category else False
-            part = part.assign(d=d, late=(d > near).astype(int) + 2 * other).sort_values(["late", "d", "jitter", "id"]).drop_duplicates("subject_id").head(k)
-            if len(part) == k:
-                name = str(c.id)
-                out.append((name, c.id, c.subject_id, 1, 0.0, 0)[: len(names)])
-                out += [(name, r.id, r.subject_id, 0, float(r.d), int(r.late))[: len(names)] for r in part.itertuples()]
-                used |= {c.subject_id, *part["subject_id"]}
-        return pd.DataFrame(out, columns=names)
-
-    own = [F.col(c).cast("string").alias(name) for c, name in ((category, "category"), (exact, "exact")) if c]
-    rows = both.select("id", "subject_id", F.col(block).alias("block"), F.col(clock).cast("double").alias("clock"), "label", "jitter", *own)
-    return rows.groupBy("block").applyInPandas(assign, f"match_set string, id {id_type}, subject_id {subject_type}, label int, distance double" + (", match_priority int" if category else ""))
-
-
 def set_components(matched: DataFrame, match_set: str = "match_set", subject: str = "subject_id", rounds: int = 50) -> DataFrame:
     """match_set, component: sets that share a subject, directly or by way of others, have the smallest set's name in common."""
     pairs = materialise(matched.select(match_set, subject).distinct())
@@ -170,7 +130,7 @@ def set_components(matched: DataFrame, match_set: str = "match_set", subject: st
 
 def clock_shifts(left: DataFrame, right: DataFrame, key: str, t: str, u: str, shifts: list[int], within: float = 1.0) -> DataFrame:
     """shift_hours, n_close, median_distance of left's times moved by each shift to the nearest of right's."""
-    from clinflow.operators.joins import nearest
+    from clinflow.operators.ordered import nearest
 
     moved = left.select(key, t, F.explode(F.array(*[F.lit(s) for s in shifts])).alias("shift_hours")).withColumn("_moved", F.timestamp_add("HOUR", F.col("shift_hours"), F.col(t)))
     got = nearest(moved, right, key, "_moved", u)
@@ -193,18 +153,21 @@ def filter_effect(before: DataFrame, after_: DataFrame, key: str, time: str) ->
 
 def allocate(sizes: DataFrame, component: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1) -> DataFrame:
     """component, part (0 ..): components in a seeded order are cut where the rows so far pass the shares, so no component is divided."""
-    from pyspark.sql import Window
-
+    from clinflow.operators.ordered import carried, sliced
     from clinflow.operators.ordering import hash_order
 
-    order = Window.orderBy(hash_order(seed, F.col(component)), component)
-    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    middle = (before + F.col(size) / 2) / F.sum(size).over(Window.partitionBy())
+    rows = sizes.select(component, F.col(size).alias("_n")).withColumn("_at", hash_order(seed, F.col(component)))
+    rows = carried(sliced(rows, [], ["_at", component]), [], {"_rows": F.sum("_n")}, {"_before": (F.sum("_rows"), False), "_after": (F.sum("_rows"), True)})
+    part = Window.partitionBy("_part")
+    inside = F.sum("_n").over(part.orderBy("_at", component).rowsBetween(Window.unboundedPreceding, 0))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    whole = F.sum("_n").over(part) + zero("_before") + zero("_after")
+    middle = (inside - F.col("_n") / 2 + zero("_before")) / whole
     out, edge = F.lit(len(shares) - 1), 1.0
     for k in range(len(shares) - 1, 0, -1):
         edge -= shares[k]
         out = F.when(middle < F.lit(edge), k - 1).otherwise(out)
-    return sizes.select(component, out.alias("part"))
+    return rows.select(component, out.alias("part"))
 
 
 def allocate_balanced(sizes: DataFrame, component: str, outcome: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1, block: int = 4000, total: bool = False) -> DataFrame:

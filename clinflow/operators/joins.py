@@ -38,34 +38,6 @@ def strictly_before(left: DataFrame, right: DataFrame, key: str, time: str, even
     return left.join(right, key).where((F.col(time) < F.col(event)) & (F.col(time) >= after(F.col(event), -h)))
 
 
-def next_after(left: DataFrame, right: DataFrame, key: str, t: str, u: str, name: str = "next_time") -> DataFrame:
-    """left with the first time of right, of the same key, strictly after its own; null where there is none.
-
-    One sort of both sides by (key, time), so the work is linear in the rows and not in the pairs of a key.
-    """
-    from pyspark.sql import Window
-
-    rows = left.withColumn("_t", F.col(t)).withColumn("_side", F.lit(0))
-    times = right.select(key, F.col(u).alias("_t"), F.lit(1).alias("_side"))
-    w = Window.partitionBy(key).orderBy(F.col("_t").desc(), F.col("_side").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    # descending: rows of left come before equal times of right, so only later ones are seen
-    both = rows.unionByName(times, allowMissingColumns=True).withColumn(name, F.min(F.when(F.col("_side") == 1, F.col("_t"))).over(w))
-    return both.where("_side = 0").drop("_t", "_side")
-
-
-def nearest(left: DataFrame, right: DataFrame, key: str, t: str, u: str) -> DataFrame:
-    """left with previous_time (at or before) and following_time (at or after) of right by key, null where there is none."""
-    from pyspark.sql import Window
-
-    rows = left.withColumn("_t", F.col(t)).withColumn("_side", F.lit(0))
-    times = right.select(key, F.col(u).alias("_t"), F.lit(1).alias("_side"))
-    both = rows.unionByName(times, allowMissingColumns=True)
-    up = Window.partitionBy(key).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(key).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.when(F.col("_side") == 1, F.col("_t"))
-    return both.withColumn("previous_time", F.max(seen).over(up)).withColumn("following_time", F.min(seen).over(down)).where("_side = 0").drop("_t", "_side")
-
-
 def unique_on(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
     """df, after a check that no key repeats."""
     if df.groupBy(*keys).count().where("count > 1").limit(1).count():

@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, Imputer, NGram, StandardScaler, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinflow.functions.scalars import unit_interval
+from clinflow.operators.ordered import positions
 from clinflow.operators.ordering import hash_order
 from clinflow.shared import materialise
 
@@ -18,12 +19,12 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int
     """group, fold 1..folds: no group is in two folds, and groups with the same numbers of cases and rows are dealt round evenly.
 
     Groups are sorted inside classes of (cases, rows) by a seeded hash and dealt in turn, each class starting at a
-    fold of its own, so classes are ordered apart from each other and no ordered pass sees all groups.
+    fold of its own. A class of any size is ordered range by range.
     """
     per = df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("_c"), F.count("*").alias("_n"))
-    w = Window.partitionBy("_c", "_n").orderBy(hash_order(seed, F.col(group)), group)
     start = F.floor(unit_interval(F.lit(seed), F.col("_c"), F.col("_n")) * folds).cast("int")
-    return per.select(group, (F.pmod(F.row_number().over(w) + start, F.lit(folds)) + 1).cast("int").alias(name))
+    placed = positions(per, [hash_order(seed, F.col(group)), group], ["_c", "_n"], "_place")
+    return placed.select(group, (F.pmod(F.col("_place") + start, F.lit(folds)) + 1).cast("int").alias(name))
 
 
 def repeated_folds(df: DataFrame, group: str, label: str, seeds: list[int], folds: int = 5) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinflow.operators.aggregates import average_rank
+from clinflow.operators.ordered import positions
+from clinflow.shared import materialise
 
 
 def top_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -45,10 +50,9 @@ def latest_gap(df: DataFrame, keys: list[str], time: str) -> DataFrame:
 
 
 def rank_deciles(df: DataFrame, value: str, tie: str, n: int = 10, name: str = "decile") -> DataFrame:
-    """floor((position - 1) * n / rows) + 1 in the order of (value, tie). The order is over one row per id: use it on summaries."""
-    total = F.count("*").over(Window.partitionBy())
-    position = F.row_number().over(Window.orderBy(value, tie))
-    return df.withColumn(name, (F.floor((position - 1) * n / total) + 1).cast("int"))
+    """floor((position - 1) * n / rows) + 1 in the order of (value, tie)."""
+    got = positions(df, [value, tie], name="_position", total="_total")
+    return got.withColumn(name, (F.floor((F.col("_position") - 1) * n / F.col("_total")) + 1).cast("int")).drop("_position", "_total")
 
 
 def quantile_bins(df: DataFrame, value: str, n: int = 10, name: str = "bin") -> DataFrame:
@@ -80,8 +84,8 @@ def uniform_sample(df: DataFrame, id_: str, n: int, seed: int = 1) -> DataFrame:
 
 
 def permuted(df: DataFrame, id_: str, seed: int = 1, name: str = "place") -> DataFrame:
-    """df with the row's place from 1 in a seeded permutation. One ordered pass: use it on packets, not on events."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(hash_order(seed, F.col(id_)), id_)))
+    """df with the row's place from 1 in a seeded permutation."""
+    return positions(df, [hash_order(seed, F.col(id_)), id_], name=name).withColumn(name, F.col(name).cast("int"))
 
 
 def deranged(df: DataFrame, stratum: str, subject: str, id_: str, values: list[str], seed: int = 1) -> DataFrame:
@@ -90,9 +94,9 @@ def deranged(df: DataFrame, stratum: str, subject: str, id_: str, values: list[s
     Rows of a stratum are ordered by subject and shifted around by the size of its largest subject, which
     moves every row past its own subject whenever no subject has more than half of the stratum; rows where that is so get nulls.
     """
-    by = Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(subject)), subject, hash_order(seed, F.col(id_)), id_)
     largest = df.groupBy(stratum, subject).agg(F.count("*").alias("_k")).groupBy(stratum).agg(F.max("_k").alias("_shift"), F.sum("_k").alias("_rows"))
-    rows = df.join(largest, stratum).withColumn("_at", F.row_number().over(by) - 1)
+    at = positions(df, [hash_order(seed, F.col(subject)), subject, hash_order(seed, F.col(id_)), id_], [stratum], "_at").withColumn("_at", F.col("_at") - 1)
+    rows = materialise(at.join(largest, stratum))
     donors = rows.select(stratum, F.col("_at").alias("_from"), F.col(subject).alias("donor_subject"), *[F.col(v).alias(f"_d_{v}") for v in values])
     moved = rows.withColumn("_from", (F.col("_at") + F.col("_shift")) % F.col("_rows")).join(donors, [stratum, "_from"])
     other = F.col("donor_subject") != F.col(subject)
@@ -101,9 +105,35 @@ def deranged(df: DataFrame, stratum: str, subject: str, id_: str, values: list[s
 
 
 def rows_hash(df: DataFrame, columns: list[str], sep: str = "\n", keys: list[str] | None = None) -> DataFrame:
-    """sha256 over the sorted rows, their columns joined by pipes (null as empty), rows joined by sep."""
+    """keys, sha256 over the sorted rows, their columns joined by pipes (null as empty), rows joined by sep. Without keys an empty table gives the digest of nothing.
+
+    A digest is read in one order, so a key's rows go to one task; there they are sorted outside memory and streamed into the digest one by one,
+    so a key of any size takes no more memory than a small one.
+    """
+    keys = keys or []
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return df.groupBy(*(keys or [])).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), sep), 256).alias("sha256"))
+    rows = df.select(F.struct(*keys).alias("_k") if keys else F.struct(F.lit(0).alias("_all")).alias("_k"), row.alias("_row"))
+    rows = rows.withColumn("_key", F.to_json("_k", {"ignoreNullFields": "false"})).select("_key", "_row")
+    dealt = (rows.repartition("_key") if keys else rows.repartition(1)).sortWithinPartitions("_key", "_row")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+        for batch in batches:
+            for k, r in zip(batch.column("_key"), batch.column("_row"), strict=True):
+                if (k := k.as_py()) != key:
+                    if key is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([digest.hexdigest()])], ["_key", "sha256"])
+                    key, digest = k, hashlib.sha256()
+                else:
+                    digest.update(sep.encode())
+                digest.update(r.as_buffer())
+        if key is not None or not keys:
+            yield pa.RecordBatch.from_arrays([pa.array([key or "{}"]), pa.array([(digest or hashlib.sha256()).hexdigest()])], ["_key", "sha256"])
+
+    got = dealt.mapInArrow(stream, "_key string, sha256 string")
+    if not keys:
+        return got.select("sha256")
+    return got.select(F.from_json("_key", df.select(*keys).schema).alias("k"), "sha256").select("k.*", "sha256")
 
 
 def stratified_limit(df: DataFrame, label: str, id_: str, limit: int, positive: float = 0.25, seed: int = 1) -> DataFrame:
@@ -111,6 +141,3 @@ def stratified_limit(df: DataFrame, label: str, id_: str, limit: int, positive:
     k = max(2, round(limit * positive))
     w = Window.partitionBy(label).orderBy(hash_order(seed, F.col(id_)), id_)
     return df.withColumn("_rn", F.row_number().over(w)).where(((F.col(label) == 1) & (F.col("_rn") <= k)) | ((F.col(label) == 0) & (F.col("_rn") <= limit - k))).drop("_rn")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["average_rank"]

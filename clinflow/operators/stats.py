@@ -15,14 +15,13 @@ from clinflow.functions.scalars import clipped, equal_width_bin, logit, unit_int
 from clinflow.operators.aggregates import percent_where, running_sums
 
 
-def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None, weight: str | None = None, ranges: int = 64) -> DataFrame:
-    """keys, n_cases, n_controls (weights where given), auroc, average_precision. Equal scores are one group; with one class both are null. ranges: see `running_sums`."""
+def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """keys, n_cases, n_controls (weights where given), auroc, average_precision. Equal scores are one group; with one class both are null."""
     keys = keys or []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     groups = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("_n"))
-    groups = groups.withColumn("_down", -F.col(score).cast("double"))
-    groups = running_sums(groups, "_down", {"_p": "_cp", "_n": "_cn"}, keys, ranges)
+    groups = running_sums(groups, score, {"_p": "_cp", "_n": "_cn"}, keys, falling=True)
     # a control at a score is beaten by the cases above it and half of those beside it
     wins = F.col("_n") * (F.col("_cp") - F.col("_p") / 2)
     precision = F.try_divide(F.col("_cp"), F.col("_cp") + F.col("_cn")) * F.col("_p")
@@ -214,12 +213,40 @@ def increments(metrics: DataFrame, key: str, model: str, value: str, contrasts:
 
 def cross_construct(df: DataFrame, rows: list[str], columns: list[str]) -> DataFrame:
     """row, matched_rho, mean_other_rho, matched_rank: each row construct's rank correlation with its own column beside those with the others. rows[i] belongs to columns[i]."""
-    from clinflow.operators.aggregates import spearman
-
-    out = None
-    for i, r in enumerate(rows):
-        for j, c in enumerate(columns):
-            one = spearman(df, r, c).select(F.lit(r).alias("row"), F.lit(i == j).alias("own"), "rho")
-            out = one if out is None else out.unionByName(one)
-    ranked = out.withColumn("k", F.rank().over(Window.partitionBy("row").orderBy(F.desc_nulls_last("rho"))))
+    from clinflow.operators.aggregates import correlation_matrix
+
+    own = F.create_map(*[F.lit(x) for pair in zip(rows, columns, strict=True) for x in pair])
+    got = correlation_matrix(df, [*rows, *columns]).where(F.col("a").isin(rows) & F.col("b").isin(columns)).select(F.col("a").alias("row"), (own[F.col("a")] == F.col("b")).alias("own"), "rho")
+    ranked = got.withColumn("k", F.rank().over(Window.partitionBy("row").orderBy(F.desc_nulls_last("rho"))))
     return ranked.groupBy("row").agg(F.max(F.when(F.col("own"), F.col("rho"))).alias("matched_rho"), F.avg(F.when(~F.col("own"), F.col("rho"))).alias("mean_other_rho"), F.max(F.when(F.col("own"), F.col("k"))).alias("matched_rank"))
+
+
+def variances(df: DataFrame, keys: list[str], label: str, base: str, other: str, correlation: float) -> DataFrame:
+    """keys, n_cases, n_controls, auc_base, auc_other, variance_base, variance_other, difference, difference_se of two scores of the same rows."""
+    from clinflow.functions.scalars import auc_variance
+
+    one = lambda score, name: auroc(df, label, score, keys).select(*keys, "n_cases", "n_controls", F.col("auroc").alias(f"auc_{name}"))
+    got = one(base, "base").join(one(other, "other").drop("n_cases", "n_controls"), keys)
+    bounded = lambda c, least: F.least(F.greatest(F.col(c), F.lit(least)), F.lit(1 - least))
+    got = got.withColumns({f"variance_{n}": F.when((F.col("n_cases") > 1) & (F.col("n_controls") > 1), auc_variance(bounded(f"auc_{n}", LEAST_AREA if n == "base" else LEAST_SUM), F.col("n_cases"), F.col("n_controls"))) for n in ("base", "other")})
+    both = F.col("variance_base") + F.col("variance_other") - 2 * F.lit(correlation) * F.sqrt(F.col("variance_base") * F.col("variance_other"))
+    return got.withColumn("difference", F.col("auc_other") - F.col("auc_base")).withColumn("difference_se", F.sqrt(F.greatest(both, F.lit(LEAST_VARIANCE))))
+
+
+def power_table(df: DataFrame, keys: list[str], label: str, score: str, delta: float, correlations: list[float], alpha: float = 0.05, wanted: float = 0.8) -> DataFrame:
+    """keys, n_cases, n_controls, auroc, correlation, power to see `delta`, detectable (the least difference seen with power `wanted`; null beyond those looked at) with the key's own area and numbers."""
+    import pandas as pd
+
+    areas = auroc(df, label, score, keys).where("auroc is not null").select(*keys, "n_cases", "n_controls", "auroc")
+    rows = areas.withColumn("correlation", F.explode(F.array(*[F.lit(float(c)) for c in correlations])))
+
+    def work(batches):
+        for b in batches:
+            args = list(zip(b["auroc"], b["n_cases"].astype(int), b["n_controls"].astype(int), b["correlation"], strict=True))
+            several = [min(n, m) > 1 for _, n, m, _ in args]
+            b["power"] = pd.Series([power(a, delta, n, m, c, alpha) if ok else None for (a, n, m, c), ok in zip(args, several, strict=True)], b.index, "float64")
+            b["detectable"] = pd.Series([detectable(a, n, m, c, alpha, wanted) if ok else None for (a, n, m, c), ok in zip(args, several, strict=True)], b.index, "float64")
+            yield b
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(work, f"{kind}, power double, detectable double")

@@ -10,6 +10,7 @@ from clinflow.operators import aggregates as A
 from clinflow.operators import cohort as C
 from clinflow.operators import features as H
 from clinflow.operators import joins as J
+from clinflow.operators import ordered as O
 from clinflow.operators import ordering as E
 from clinflow.plans import fixtures as X
 from clinflow.plans.register import Register
@@ -92,15 +93,15 @@ def fallback_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""
-x AS (SELECT evi.*, intime FROM evi JOIN st USING (stay_id) WHERE evidence = 'purchase'),
-f AS (SELECT * FROM x WHERE stay_id NOT IN (SELECT stay_id FROM x WHERE event_time <= intime + INTERVAL 6 HOUR)),
+x AS (SELECT ev.*, intime FROM ev JOIN st USING (stay_id)),
+f AS (SELECT * FROM x WHERE event_type = 'purchase' AND event_time >= intime + INTERVAL 6 HOUR AND stay_id NOT IN (SELECT stay_id FROM x WHERE event_type IN ('purchase', 'error') AND event_time < intime + INTERVAL 6 HOUR)),
 a AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY event_time, event_id) AS r1 FROM f),
 b AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY event_time, event_id) AS r2 FROM a WHERE r1 = 1)
 SELECT subject_id, stay_id, event_id FROM b WHERE r2 = 1
 """)
 def incident_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G4, E3."""
-    return C.incident(X.evidence(spark, sf_dir).where("evidence = 'purchase'"), X.stays(spark, sf_dir), 6).select("subject_id", "stay_id", "event_id")
+    """Purchases from the sixth hour on, of stays without a purchase or error before it."""
+    return C.incident(X.evidence(spark, sf_dir), X.stays(spark, sf_dir), ("purchase",), ("purchase", "error"), 6).select("subject_id", "stay_id", "event_id")
 
 
 @R.add("""
@@ -179,10 +180,10 @@ def active_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.event_id, epoch_us((SELECT min(b.event_time) FROM evi b WHERE b.subject_id = a.subject_id AND b.evidence = 'purchase' AND b.event_time > a.event_time)) AS next_us FROM evi a WHERE a.evidence = 'error'
 """)
 def next_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of forward, strictly after."""
+    """As-of forward, strictly after; a key of any size is spread over ranges of time."""
     e = X.evidence(spark, sf_dir)
     left = e.where("evidence = 'error'").select("event_id", "subject_id", "event_time")
-    got = J.next_after(left, e.where("evidence = 'purchase'").select("subject_id", F.col("event_time").alias("t2")), "subject_id", "event_time", "t2")
+    got = O.next_after(left, e.where("evidence = 'purchase'").select("subject_id", F.col("event_time").alias("t2")), "subject_id", "event_time", "t2")
     return got.select("event_id", S.micros(F.col("next_time")).alias("next_us"))
 
 
@@ -191,10 +192,10 @@ SELECT a.event_id, epoch_us(max(CASE WHEN b.event_time <= a.event_time THEN b.ev
 FROM evi a LEFT JOIN evi b ON b.subject_id = a.subject_id AND b.evidence = 'purchase' WHERE a.evidence = 'error' GROUP BY 1
 """)
 def nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C14."""
+    """C14: as C13 in both directions."""
     e = X.evidence(spark, sf_dir)
     left = e.where("evidence = 'error'").select("event_id", "subject_id", "event_time")
-    got = J.nearest(left, e.where("evidence = 'purchase'").select("subject_id", F.col("event_time").alias("t2")), "subject_id", "event_time", "t2")
+    got = O.nearest(left, e.where("evidence = 'purchase'").select("subject_id", F.col("event_time").alias("t2")), "subject_id", "event_time", "t2")
     return got.select("event_id", S.micros(F.col("previous_time")).alias("previous_us"), S.micros(F.col("following_time")).alias("following_us"))
 
 
@@ -385,7 +386,7 @@ def trajectory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def risk_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy 1:3 matching per source and unit; tested against its rules and a brute-force version."""
+    """Greedy 1:3 matching per source and unit, in rounds. Tested against a brute-force version."""
     rs = C.risk_set(X.stays(spark, sf_dir), X.evidence(spark, sf_dir), ENDPOINT)
     rows = rs.select(F.col("stay_id").alias("id"), "subject_id", F.concat_ws(":", "dbsource", "unit").alias("block"), S.hours(F.col("outtime"), F.col("intime")).alias("clock"), "label")
     return C.match(rows.where("label = 1").drop("label"), rows.where("label = 0").drop("label"), "block", "clock", k=3)

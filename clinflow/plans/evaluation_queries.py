@@ -136,21 +136,50 @@ def interval_and_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.percentile_interval(d, "d").crossJoin(I.centred_p(d, "d", 0.01)), ["low", "high", "p"])
 
 
-@R.add("""
-a AS (SELECT unnest([0.6, 0.7, 0.8, 0.9])::DOUBLE AS auc, unnest([100, 200, 300, 400]) AS c1, unnest([1000, 900, 800, 700]) AS c0)
-SELECT auc, round((auc * (1 - auc) + (c1 - 1) * (auc / (2 - auc) - auc * auc) + (c0 - 1) * (2 * auc * auc / (1 + auc) - auc * auc)) / (c1 * c0), 9) AS variance FROM a
+def _area_of(score: str, name: str) -> str:
+    return f"""
+g{name} AS (SELECT source, {score} AS s, sum(y) AS p, sum(1 - y) AS n FROM sc GROUP BY 1, 2),
+a{name} AS (SELECT source, sum(p)::DOUBLE AS c1, sum(n)::DOUBLE AS c0, (sum(n * (cp - p / 2.0)) / (sum(p) * sum(n)))::DOUBLE AS a FROM (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY s DESC) AS cp FROM g{name}) GROUP BY 1),
+v{name} AS (SELECT *, (a * (1 - a) + (c1 - 1) * (a / (2 - a) - a * a) + (c0 - 1) * (2 * a * a / (1 + a) - a * a)) / (c1 * c0) AS v FROM a{name})"""
+
+
+@R.add(f"""{_area_of("p_base", "0").strip()},{_area_of("p_aug", "1")}
+SELECT v0.source, v0.c1 AS n_cases, v0.c0 AS n_controls, round(v0.a, 6) AS auc_base, round(v1.a, 6) AS auc_other, round(v0.v, 12) AS variance_base, round(v1.v, 12) AS variance_other, round(v1.a - v0.a, 6) AS difference,
+  round(sqrt(v0.v + v1.v - 2 * 0.5 * sqrt(v0.v * v1.v)), 9) AS difference_se FROM v0 JOIN v1 USING (source)
 """)
 def auc_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F20, I17."""
-    rows = spark.createDataFrame([(0.6, 100, 1000), (0.7, 200, 900), (0.8, 300, 800), (0.9, 400, 700)], "auc double, c1 long, c0 long")
-    return rows.select("auc", F.round(S.auc_variance(F.col("auc"), F.col("c1"), F.col("c0")), 9).alias("variance"))
+    """Variances of every source's two areas and the standard error of their difference."""
+    got = I.variances(X.scores(spark, sf_dir), ["source"], "y", "p_base", "p_aug", 0.5)
+    digits = {"auc_base": 6, "auc_other": 6, "variance_base": 12, "variance_other": 12, "difference": 6, "difference_se": 9}
+    return got.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in got.columns])
 
 
 @R.add()
 def power_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power and the detectable difference, which are scalars of a few settings."""
-    rows = [(float(b), n, c, round(I.power(b, 0.02, n, 40 * n, c), 6), _six(I.detectable(b, n, 40 * n, c))) for b in (0.7, 0.8, 0.9) for n in (100, 300) for c in (0.5, 0.9)]
-    return spark.createDataFrame(rows, "base double, cases long, correlation double, power double, detectable double")
+    """Power and the detectable difference of every source, with its own area, cases and controls. Tested against a plain version."""
+    return rounded(I.power_table(X.scores(spark, sf_dir), ["source"], "y", "p_aug", 0.02, [0.5, 0.9]), ["auroc", "power", "detectable"])
+
+
+def _ranks(a: str, b: str) -> str:
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr(x, y), 6) AS rho FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM six WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+
+
+_SIX = ["p_base", "p_aug", "fold_low", "gap_base", "gap_aug", "blend"]
+
+
+@R.add(
+    "six AS (SELECT p_base, p_aug, CASE WHEN fold <= 3 THEN fold::DOUBLE END AS fold_low, CASE WHEN p_base > 0.3 THEN p_base END AS gap_base, CASE WHEN case_id % 3 <> 0 THEN p_aug END AS gap_aug, round(p_base * 2 + p_aug, 9) AS blend FROM sc) "
+    + " UNION ALL ".join(_ranks(a, b) for i, a in enumerate(_SIX) for b in _SIX[i + 1 :])
+)
+def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six columns with nulls, pair by pair."""
+    s = X.scores(spark, sf_dir)
+    six = s.select(
+        "p_base", "p_aug", F.when(F.col("fold") <= 3, F.col("fold").cast("double")).alias("fold_low"), F.when(F.col("p_base") > 0.3, F.col("p_base")).alias("gap_base"),
+        F.when(F.col("case_id") % 3 != 0, F.col("p_aug")).alias("gap_aug"), F.round(F.col("p_base") * 2 + F.col("p_aug"), 9).alias("blend"),
+    )
+    return rounded(A.correlation_matrix(six, _SIX), ["rho"])
 
 
 @R.add("""

@@ -197,6 +197,17 @@ def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.field_profile(X.table(spark, sf_dir, "events"), "user_id", ["event_type", "value", "props"]).drop("n_common_values")
 
 
+@R.add("""
+x AS (SELECT unnest(['event_type', 'supported', 'props']) AS field, trim(unnest([event_type, CASE WHEN event_type IN ('error', 'purchase') THEN 'yes' END, props])) AS v, event_type IN ('error', 'purchase') AS s FROM events),
+c AS (SELECT field, v, count(*) AS n, count(*) FILTER (s) AS k FROM x WHERE v <> '' GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT field, rank::INT AS rank, v AS value, n, CASE WHEN field <> 'supported' THEN k END AS n_support FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, v) AS rank FROM c) WHERE rank <= 30
+""")
+def top_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent values of each field, and how often a support field is filled beside them."""
+    e = X.table(spark, sf_dir, "events").withColumn("supported", F.when(F.col("event_type").isin("error", "purchase"), F.lit("yes")))
+    return A.top_values(e, ["event_type", "props", "supported"], ["supported"])
+
+
 @R.add("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1", fixtures=False)
 def latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By (time, tie), without a sort."""

@@ -111,3 +111,51 @@ def test_generated_tables_hang_together(spark):
     assert made["labevents"].exceptAll(again).count() == 0
     assert made["labevents"].exceptAll(G.related_tables(subjects, seed=3)["labevents"]).count() > 0
     assert all(t.count() == 0 for n, t in G.related_tables(subjects.limit(0)).items() if not n.startswith("d_"))
+
+
+def one_pass(cases, controls, k, near=6.0, far=12.0, seed=1):
+    """(match_set, id) of the one pass over all cases by falling clock. Rows: (id, subject, block, clock)."""
+    wanted = set()
+    for block in {c[2] for c in cases}:
+        used = set()
+        for i, s, _, clock in sorted((c for c in cases if c[2] == block), key=lambda c: (-c[3], c[0])):
+            if s in used:
+                continue
+            options = sorted((abs(at - clock) > near, abs(at - clock), unit(seed, j), j, t) for j, t, b, at in controls if b == block and abs(at - clock) <= far and t not in used and t != s)
+            best = {}
+            for o in options:
+                best.setdefault(o[4], o)
+            if len(best) >= k:
+                took = sorted(best.values())[:k]
+                used |= {s} | {o[4] for o in took}
+                wanted |= {(str(i), i)} | {(str(i), o[3]) for o in took}
+    return wanted
+
+
+@pytest.mark.parametrize(("parts", "chunk", "length", "piece"), [(1, 2000, 8, 50_000), (3, 4, 1, 7), (20, 3, 2, 5), (3, 1, 1, 1)])
+def test_rounds_equal_one_pass(spark, monkeypatch, parts, chunk, length, piece):
+    """Scarce controls, subjects on both sides and in many rows, ties of the clock: for several partitionings, chunks, lists and slices."""
+    from clinflow.operators import matching
+
+    monkeypatch.setattr(matching, "CHUNK", chunk)
+    monkeypatch.setattr(matching, "LIST", length)
+    monkeypatch.setattr(matching, "SLICE", piece)
+    draw = random.Random(11)
+    cases = [(i, draw.randrange(60), draw.choice("uv"), draw.randrange(0, 120) / 2) for i in range(24)]
+    controls = [(100 + i, draw.randrange(40, 95), draw.choice("uuv"), draw.randrange(0, 140) / 2) for i in range(110)]
+    df = lambda rows: spark.createDataFrame([*rows, (-1, 5, None, 1.0), (-2, 5, "u", None)] if rows is controls else rows, "id long, subject_id long, block string, clock double").repartition(parts)
+    got = {(r["match_set"], r["id"]) for r in C.match(df(cases), df(controls), "block", "clock", k=2).collect()}
+    assert got == one_pass(cases, controls, 2) and len(got) > 15
+
+
+def test_more_controls_than_a_slice(spark):
+    cases = [(i, i, "a", float(i)) for i in range(8)]
+    controls = spark.range(60_000).selectExpr("1000 + id as id", "1000 + id % 50000 as subject_id", "'a' as block", "cast(id % 97 as double) / 4 as clock")
+    got = {(r["match_set"], r["id"]) for r in C.match(spark.createDataFrame(cases, "id long, subject_id long, block string, clock double"), controls, "block", "clock", k=3).collect()}
+    assert got == one_pass(cases, [tuple(r) for r in controls.select("id", "subject_id", "block", "clock").collect()], 3)
+
+
+def test_matching_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, subject_id long, block string, clock double")
+    some = spark.createDataFrame([(1, 1, "a", 1.0)], none.schema)
+    assert C.match(none, some, "block", "clock").count() == 0 and C.match(some, none, "block", "clock").count() == 0

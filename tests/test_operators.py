@@ -9,6 +9,7 @@ from clinflow.operators import aggregates as A
 from clinflow.operators import cohort as C
 from clinflow.operators import joins as J
 from clinflow.operators import models as M
+from clinflow.operators import ordered as O
 from clinflow.operators import ordering as E
 from clinflow.operators import stats as I
 from clinflow.operators import text as T
@@ -33,8 +34,8 @@ def test_risk_set_edges(spark):
 def test_next_after_is_strict(spark):
     a = spark.createDataFrame([(1, 1, 5), (2, 1, 7), (3, 2, 1), (4, 1, 7)], "i int, k int, t int")
     b = spark.createDataFrame([(1, 5), (1, 7), (1, 9)], "k int, u int")
-    assert {r["i"]: r["next_time"] for r in J.next_after(a, b, "k", "t", "u").collect()} == {1: 7, 2: 9, 4: 9, 3: None}
-    got = {r["i"]: (r["previous_time"], r["following_time"]) for r in J.nearest(a, b, "k", "t", "u").collect()}
+    assert {r["i"]: r["next_time"] for r in O.next_after(a, b, "k", "t", "u").collect()} == {1: 7, 2: 9, 4: 9, 3: None}
+    got = {r["i"]: (r["previous_time"], r["following_time"]) for r in O.nearest(a, b, "k", "t", "u").collect()}
     assert got == {1: (5, 5), 2: (7, 7), 4: (7, 7), 3: (None, None)}
 
 
@@ -159,11 +160,12 @@ def test_allocate_keeps_components_whole(spark):
     assert got.count() == 200 and abs(share[0] / sum(share.values()) - 0.7) < 0.03
 
 
-def test_running_sums_over_ranges_equal_one_pass(spark):
+@pytest.mark.parametrize("falling", [False, True])
+def test_running_sums_over_ranges_equal_one_pass(spark, falling):
     rows = [(k, float(v) / 7, v % 5) for k in ("a", "b", None) for v in range(-150, 150, 1 if k == "a" else 3)]
     df = spark.createDataFrame(rows, "k string, v double, n long")
     for keys in ([], ["k"]):
         one = df if keys else df.where("k = 'a'")
-        ranged, plain = (sorted(map(str, A.running_sums(one, "v", {"n": "s"}, keys, r, at_once=10).collect())) for r in (8, 1))
+        ranged, plain = (sorted(map(str, A.running_sums(one, "v", {"n": "s"}, keys, parts, falling).collect())) for parts in (8, 1))
         assert ranged == plain and len(ranged) == one.count()
     assert A.running_sums(df.where("false"), "v", {"n": "s"}, ["k"]).count() == 0
