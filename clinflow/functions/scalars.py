@@ -150,8 +150,12 @@ def truthy(x: Column) -> Column:
     return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("true", "1", "1.0", "yes", "y"), F.lit(False))
 
 
+#: Fixed value: characters of the script looked for.
+CJK = "[㐀-䶿一-鿿]"
+
+
 def has_cjk(x: Column) -> Column:
-    return F.coalesce(x.rlike("[㐀-䶿一-鿿]"), F.lit(False))
+    return F.coalesce(x.rlike(CJK), F.lit(False))
 
 
 def time_bin(h: Column, bins: list[tuple[float, float, str]] | None = None) -> Column:

@@ -100,6 +100,44 @@ def anchored_notes(events: DataFrame, notes: DataFrame, key: str, bins: list[tup
     return latest(near, [key, "event_time", "time_bin"], "chart_time", tie)
 
 
+def anchors(events: DataFrame, notes: DataFrame, key: str, later: int) -> DataFrame:
+    """key, anchor_type, event_time of every key with notes: its first event ('event'), or without one `later` hours after its last note ('stable_control')."""
+    first = events.groupBy(key).agg(F.min("event_time").alias("_first"))
+    last = notes.groupBy(key).agg(F.max("chart_time").alias("_last"))
+    both = last.join(first, key, "left")
+    return both.select(key, F.when(F.col("_first").isNull(), "stable_control").otherwise("event").alias("anchor_type"), F.coalesce("_first", F.timestamp_add("HOUR", F.lit(later), F.col("_last"))).alias("event_time"))
+
+
+def binned_notes(anchors_: DataFrame, notes: DataFrame, key: str, bins: list[tuple[float, float, str]]) -> DataFrame:
+    """key, anchor_type, note_id, category, time_bin, hours_before of the notes in a bin before their anchor."""
+    from clinflow.functions.scalars import time_bin
+
+    both = notes.join(anchors_, key).withColumn("hours_before", hours(F.col("event_time"), F.col("chart_time"))).withColumn("time_bin", time_bin(F.col("hours_before"), bins))
+    return both.where("time_bin is not null").select(key, "anchor_type", "note_id", "category", "time_bin", "hours_before")
+
+
+def closest_of_bins(binned: DataFrame, keys: list[str]) -> DataFrame:
+    """The note closest to the anchor of each key and bin."""
+    return earliest(binned, [*keys, "time_bin"], "hours_before", "note_id")
+
+
+def one_category(binned: DataFrame, keys: list[str], bins: list[str], preference: list[str]) -> DataFrame:
+    """For keys with a note of one category in all bins: the closest notes of that category, the first by preference (others after it, by name)."""
+    closest = earliest(binned, [*keys, "time_bin", "category"], "hours_before", "note_id")
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("category")), F.lit(0)), F.lit(99))
+    whole = closest.groupBy(*keys, "category").agg(F.countDistinct("time_bin").alias("_n")).where(F.col("_n") == len(bins))
+    chosen = whole.groupBy(*keys).agg(F.min_by("category", F.struct(rank, "category")).alias("category"))
+    return closest.join(chosen, [*keys, "category"])
+
+
+def sampled_sets(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
+    """The rows of n keys of each stratum, drawn by seed; all keys where there are fewer."""
+    from clinflow.operators.ordering import stratified_sample
+
+    drawn = stratified_sample(rows.select(stratum, key).distinct(), [stratum], key, n, seed)
+    return rows.join(drawn, [stratum, key], "left_semi")
+
+
 def bad_sets(matched: DataFrame, controls: int, match_set: str = "match_set", label: str = "label") -> DataFrame:
     """Sets that do not have one case and `controls` controls."""
     per = matched.groupBy(match_set).agg(F.count("*").alias("n"), F.sum(label).alias("cases"))
@@ -170,29 +208,32 @@ def allocate(sizes: DataFrame, component: str, size: str, shares: tuple[float, .
     return rows.select(component, out.alias("part"))
 
 
-def allocate_balanced(sizes: DataFrame, component: str, outcome: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1, block: int = 4000, total: bool = False) -> DataFrame:
+def allocate_balanced(sizes: DataFrame, component: str, outcome: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1, block: int = 4000, total: bool = False, rows: str | None = None) -> DataFrame:
     """component, part (0 ..): largest components first, each goes to the part whose own squared deviation of the outcomes' counts from its share is then least.
 
     total: the deviation of all parts together counts instead. A part's own deviation favours small parts while large ones are empty, and many small components can then miss the shares;
     the sum keeps them.
 
+    Components of equal size go by falling `rows` (where given, a column that adds up as size does), then by a seeded draw.
+
     sizes: rows of component, outcome, size; repeated rows add up, null outcomes are one outcome, rows without a component are left out. Components are hashed into blocks of about `block`,
     each allocated on its own towards the same shares, so no task sees more as the table grows; up to `block` components are one block. Ties go to the first part.
     """
     known = sizes.where(F.col(component).isNotNull())
-    per = known.groupBy(F.col(component).alias("_c"), F.coalesce(F.col(outcome).cast("string"), F.lit("")).alias("_o")).agg(F.sum(size).cast("double").alias("_n"))
+    per = known.groupBy(F.col(component).alias("_c"), F.coalesce(F.col(outcome).cast("string"), F.lit("")).alias("_o")).agg(F.sum(size).cast("double").alias("_n"), F.sum(rows or F.lit(0)).cast("double").alias("_r"))
     blocks = max(1, -(-known.select(component).distinct().count() // block))
     u = unit_interval(F.lit(seed), F.col("_c"))
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="_c", columns="_o", values="_n").fillna(0.0)
         jitter = rows.drop_duplicates("_c").set_index("_c")["_u"].reindex(wide.index)
+        longest = rows.groupby("_c")["_r"].sum().reindex(wide.index)
         n = wide.to_numpy()
         targets = np.outer(shares, np.append(n.sum(0), n.sum()))
         weights = np.append(np.ones(n.shape[1]), 0.25) / np.maximum(targets, 1.0)
         full = np.column_stack([n, n.sum(1)])
         held, parts = np.zeros_like(targets), np.zeros(len(n), int)
-        for i in np.lexsort((jitter.to_numpy(), -full[:, -1])):
+        for i in np.lexsort((jitter.to_numpy(), -longest.to_numpy(), -full[:, -1])):
             costs = ((held + full[i] - targets) ** 2 * weights).sum(1) - (((held - targets) ** 2 * weights).sum(1) if total else 0)
             parts[i] = costs.round(9).argmin()
             held[parts[i]] += full[i]

@@ -43,6 +43,13 @@ def per_snapshot(measures: DataFrame, snapshots: DataFrame, names: list[str], h:
     return snapshots.select(snapshot).join(near.groupBy(snapshot).agg(*aggs), snapshot, "left")
 
 
+def last_values(measures: DataFrame, anchors: DataFrame, names: list[str], h: float, tie: str, key: str = "stay_id", time: str = "charttime", anchor: str = "landmark_time") -> DataFrame:
+    """key, name_last: the value of each measurement's last row in [anchor - h hours, anchor] with a value, as it stands; rows of one time by tie, then by value."""
+    near = lookback(measures.where(F.col("feature").isin(names)), anchors.select(key, anchor), key, time, anchor, h).where("value is not null")
+    last = lambda n: F.max_by("value", F.when(F.col("feature") == n, F.struct(time, tie, "value")))
+    return anchors.select(key).join(near.groupBy(key).agg(*[last(n).alias(f"{n}_last") for n in names]), key, "left")
+
+
 def signed_sum(volumes: DataFrame, anchors: DataFrame, h: float, name: str, key: str = "stay_id", time: str = "charttime", anchor: str = "landmark_time") -> DataFrame:
     """key, name: sum of `volume` in the window; null without rows."""
     near = lookback(volumes, anchors.select(key, anchor), key, time, anchor, h)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinflow.functions.scalars import CJK
+from clinflow.operators.ordering import uniform_sample
+
 
 def union_pattern(patterns: list[str], flags: str = "iU") -> str:
     """One pattern that matches where any of the patterns does; case and Unicode aware by default."""
@@ -136,3 +139,9 @@ def distinct_texts(df: DataFrame, text: str, member: str, prefix: str = "note_")
     """note_id (hash of the text), n_rows, members (sorted set of what the text belongs to)."""
     key = F.concat(F.lit(prefix), F.substring(F.sha2(F.col(text), 256), 1, 24))
     return df.where(F.col(text).isNotNull()).groupBy(key.alias("note_id")).agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_set(F.col(member).cast("string"))).alias("members"))
+
+
+def script_share(df: DataFrame, text: str, id_: str, letters: str = CJK, most: int = 5_000, seed: int = 20260920) -> DataFrame:
+    """n_sampled, share of texts with a letter of a class, in a seeded sample of `most` texts that are not null; share is null without texts."""
+    sample = uniform_sample(df.where(F.col(text).isNotNull()), id_, most, seed)
+    return sample.agg(F.count("*").alias("n_sampled"), F.avg(F.col(text).rlike(letters).cast("double")).alias("share"))

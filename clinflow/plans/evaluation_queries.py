@@ -344,7 +344,8 @@ def crossfit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on one source, scored on another."""
     s = X.scores(spark, sf_dir).withColumn("label", F.col("y").cast("double"))
-    return rounded(M.site_transfer(s.where("source = '1-URGENT'"), s.where("source = '5-LOW'"), [*M.dense_stages(["p_aug", "p_base"], []), M.logistic(1.0, 3000)], "case_id"), ["probability"])
+    train = s.where("source = '1-URGENT'")
+    return rounded(M.site_transfer(train, s.where("source = '5-LOW'"), [*M.dense_stages(["p_aug", "p_base"], []), M.logistic(1.0, train.count())], "case_id"), ["probability"])
 
 
 @R.add()

@@ -328,7 +328,7 @@ def lexical_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = X.table(spark, sf_dir, "documents").join(X.table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     d = d.withColumn("log_chars", F.log1p("n_chars")).select("doc_id", "text", "label", "log_chars")
     taught = d.where(F.pmod("doc_id", F.lit(5)) != 1)
-    ready = M.stacked(["log_chars", "tfidf"]).transform(M.tfidf(taught, d, "text", words=2000))
+    ready = M.stacked(["log_chars", "tfidf"]).transform(M.tfidf(taught, d, "text"))
     got = M.site_transfer(ready.where(F.pmod("doc_id", F.lit(5)) != 1), ready.where(F.pmod("doc_id", F.lit(5)) == 1), [M.logistic(1.0, taught.count())], "doc_id")
     return got.select("doc_id", F.round("probability", 4).alias("probability"))
 
@@ -422,8 +422,9 @@ def balanced_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of each kind of evidence that share a subject go to one part, by squared deviation from 70, 15 and 15 per cent. Tested against a brute-force version."""
     sets = X.evidence(spark, sf_dir).select(F.concat_ws(":", "evidence", "stay_id").alias("match_set"), "evidence", "subject_id").distinct()
     labels = C.set_components(sets)
-    sizes = labels.join(sets.select("match_set", "evidence").distinct(), "match_set").groupBy("component", "evidence").agg(F.count("*").alias("n"))
-    return labels.join(C.allocate_balanced(sizes, "component", "evidence", "n"), "component").select("match_set", "component", "part")
+    rows = X.evidence(spark, sf_dir).groupBy(F.concat_ws(":", "evidence", "stay_id").alias("match_set"), "evidence").agg(F.count("*").alias("rows"))
+    sizes = labels.join(rows, "match_set").groupBy("component", "evidence").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    return labels.join(C.allocate_balanced(sizes, "component", "evidence", "n", rows="rows"), "component").select("match_set", "component", "part")
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql
