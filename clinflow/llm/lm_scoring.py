@@ -10,8 +10,8 @@ softmax (class, then symbol in the class) over logits that are the corpus's smoo
 log-probabilities plus the output of one causal attention layer with relative positions. Attention sees
 the CONTEXT symbols before a window and the window itself; windows advance by STRIDE, so each token is
 scored once, with at least CONTEXT symbols before it where the document has them. The attention weights are
-trained by Adam in numpy over all training documents: in each of ROUNDS rounds every partition trains on its
-share of a hashed slice of the documents, every window once, and the weights are averaged by windows. Small corpora are
+trained by Adam in numpy over all training documents: in each of ROUNDS rounds groups of documents, which are
+set by hashes of their ids and not by partitions, train beside each other, every window once, and the weights are averaged by windows. Small corpora are
 passed several times, until about LEAST_STEPS steps.
 
 The score is that of the whole vocabulary: inside the rare symbol, after subword a, a subword b has
@@ -61,6 +61,8 @@ PAIRS_AT_ONCE = 1 << 21
 TRAIN_STEPS, BATCH_WINDOWS = 900, 128
 #: Averagings in a pass over the training documents; steps that small corpora are trained for, in more passes.
 ROUNDS, LEAST_STEPS = 4, 450
+#: Documents that one copy of the model is trained on in a round.
+GROUP_DOCS = 1_500
 #: Weights in a row when they are averaged.
 CHUNK = 1 << 12
 SMOOTH = 30.0
@@ -484,20 +486,43 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
 
 
 def train_round(rows: DataFrame, model: Model, rate: float) -> int:
-    """Every partition of rows (of `encoded`) trains a copy of the model on all its windows; the model gets the mean of their weights by windows. Returns the windows."""
+    """Each group of about GROUP_DOCS documents (by hash, so the groups are those of the table, however it is dealt) trains a copy of the model on all its windows; the model gets the mean of their weights by windows. Returns the windows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    whole = -(-rows.count() // GROUP_DOCS)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(max(1, whole))))
+    rows = rows.repartition("group").sortWithinPartitions("group", "_id", F.xxhash64("ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weights(held: list[pa.RecordBatch]) -> tuple[int, np.ndarray | None]:
         own, state = copy.deepcopy(shared.value), {}
-        for batch in batches:
-            ids, at = as_ids(batch.column(0))
-            for lo, hi in groups(at, TOKENS_AT_ONCE):
-                train(own, ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], None, rate, 9 + state.get("t", 0), state)
+        ids, at = as_ids(pa.chunked_array([b.column(0) for b in held]).combine_chunks())
+        for lo, hi in groups(at, TOKENS_AT_ONCE):
+            train(own, ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], None, rate, 9 + state.get("t", 0), state)
         n = state.get("windows", 0)
-        if n:
-            flat = np.concatenate([getattr(own, k).ravel() for k in Model.LEARNT]).astype(np.float64) * n
+        return n, np.concatenate([getattr(own, k).ravel() for k in Model.LEARNT]).astype(np.float64) * n if n else None
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        held, number = [], None
+        for batch in batches:
+            group = batch.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and group[i] != number:
+                    yield held
+                    held = []
+                held.append(batch.slice(i, j - i))
+                number = group[i]
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, flat = 0, None
+        for held in by_group(batches):
+            n, own = weights(held)
+            if n:
+                windows, flat = windows + n, own if flat is None else flat + own
+        if windows:
             for i in range(0, len(flat), CHUNK):
-                yield pa.record_batch({"chunk": pa.array([i // CHUNK], pa.int32()), "n": pa.array([n], pa.int64()), "held": pa.array([flat[i : i + CHUNK].tobytes()], pa.binary())})
+                yield pa.record_batch({"chunk": pa.array([i // CHUNK], pa.int32()), "n": pa.array([windows], pa.int64()), "held": pa.array([flat[i : i + CHUNK].tobytes()], pa.binary())})
         rest()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,7 +536,7 @@ def train_round(rows: DataFrame, model: Model, rate: float) -> int:
         yield pa.record_batch({"chunk": pa.array(list(sums), pa.int32()), "n": pa.array([windows[c] for c in sums], pa.int64()), "held": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     kind = "chunk int, n long, held binary"
-    got = sorted(rows.select("ids").mapInArrow(run, kind).repartition("chunk").mapInArrow(total, kind).collect())
+    got = sorted(rows.select("ids", "group").mapInArrow(run, kind).repartition("chunk").mapInArrow(total, kind).collect())
     shared.unpersist()
     if not got:
         return 0

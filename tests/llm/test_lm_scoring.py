@@ -152,3 +152,10 @@ def test_words_come_back_from_ids(odd, tokenizer):
     ids, at, words, word_at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(texts))
     got, got_at = lm_scoring.words_of(ids, at, tokenizer)
     assert got.to_pylist() == words.to_pylist() and got_at.tolist() == word_at.tolist()
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs, tokenizer):
+    some = docs.where("doc_id < 60")
+    held = queries._held(1)
+    one, seven = ({r["doc_id"]: r["score"] for r in lm_scoring.score(some.repartition(n), held, tokenizer).collect()} for n in (1, 7))
+    assert max(abs(one[i] / seven[i] - 1) for i in one) < 1e-6
