@@ -51,7 +51,7 @@ def positions(df: DataFrame, order: list[str | Column], keys: list[str] | None =
 
 
 def next_after(left: DataFrame, right: DataFrame, key: str, t: str, u: str, name: str = "next_time") -> DataFrame:
-    """left with the first time of right, of the same key, strictly after its own; null where there is none. Linear in the rows, whatever a key's share."""
+    """left with the first time of right, of the same key, strictly after its own; null where there is none or its own is null. Linear in the rows, whatever a key's share."""
     rows = left.withColumn("_t", F.col(t)).withColumn("_side", F.lit(0))
     times = right.select(key, F.col(u).alias("_t"), F.lit(1).alias("_side"))
     both = sliced(rows.unionByName(times, allowMissingColumns=True), [key], ["_t"])
@@ -59,7 +59,7 @@ def next_after(left: DataFrame, right: DataFrame, key: str, t: str, u: str, name
     both = carried(both, [key], {"_first": F.min(seen)}, {"_ahead": (F.min("_first"), True)})
     # descending: rows of left come before equal times of right, so only later ones are seen
     w = Window.partitionBy("_part", key).orderBy(F.col("_t").desc(), F.col("_side").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn(name, F.coalesce(F.min(seen).over(w), F.when(F.col("_t").isNotNull(), F.col("_ahead"))))
+    both = both.withColumn(name, F.when(F.col("_t").isNotNull(), F.coalesce(F.min(seen).over(w), F.col("_ahead"))))
     return both.where("_side = 0").select(*left.columns, name)
 
 

@@ -127,12 +127,12 @@ def rows_hash(df: DataFrame, columns: list[str], sep: str = "\n", keys: list[str
                 else:
                     digest.update(sep.encode())
                 digest.update(r.as_buffer())
-        if key is not None or not keys:
-            yield pa.RecordBatch.from_arrays([pa.array([key or "{}"]), pa.array([(digest or hashlib.sha256()).hexdigest()])], ["_key", "sha256"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([digest.hexdigest()])], ["_key", "sha256"])
 
     got = dealt.mapInArrow(stream, "_key string, sha256 string")
     if not keys:
-        return got.select("sha256")
+        return got.agg(F.coalesce(F.max("sha256"), F.lit(hashlib.sha256().hexdigest())).alias("sha256"))  # one row, or none
     return got.select(F.from_json("_key", df.select(*keys).schema).alias("k"), "sha256").select("k.*", "sha256")
 
 
