@@ -208,36 +208,40 @@ def allocate(sizes: DataFrame, component: str, size: str, shares: tuple[float, .
     return rows.select(component, out.alias("part"))
 
 
-def allocate_balanced(sizes: DataFrame, component: str, outcome: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1, block: int = 4000, total: bool = False, rows: str | None = None) -> DataFrame:
+def allocate_balanced(sizes: DataFrame, component: str, outcome: str, size: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 1, total: bool = False, rows: str | None = None) -> DataFrame:
     """component, part (0 ..): largest components first, each goes to the part whose own squared deviation of the outcomes' counts from its share is then least.
 
     total: the deviation of all parts together counts instead. A part's own deviation favours small parts while large ones are empty, and many small components can then miss the shares;
     the sum keeps them.
 
-    Components of equal size go by falling `rows` (where given, a column that adds up as size does), then by a seeded draw.
-
-    sizes: rows of component, outcome, size; repeated rows add up, null outcomes are one outcome, rows without a component are left out. Components are hashed into blocks of about `block`,
-    each allocated on its own towards the same shares, so no task sees more as the table grows; up to `block` components are one block. Ties go to the first part.
+    Components of equal size go by falling `rows` (where given, a column that adds up as size does), then by a seeded draw. sizes: rows of component, outcome, size; repeated rows add up, null
+    outcomes are one outcome, rows without a component are left out. Ties go to the first part. Each choice depends on the sums of all before it, so components, a row each, are sorted outside
+    memory and streamed through one task that holds the sums of the parts alone.
     """
     known = sizes.where(F.col(component).isNotNull())
     per = known.groupBy(F.col(component).alias("_c"), F.coalesce(F.col(outcome).cast("string"), F.lit("")).alias("_o")).agg(F.sum(size).cast("double").alias("_n"), F.sum(rows or F.lit(0)).cast("double").alias("_r"))
-    blocks = max(1, -(-known.select(component).distinct().count() // block))
-    u = unit_interval(F.lit(seed), F.col("_c"))
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="_c", columns="_o", values="_n").fillna(0.0)
-        jitter = rows.drop_duplicates("_c").set_index("_c")["_u"].reindex(wide.index)
-        longest = rows.groupby("_c")["_r"].sum().reindex(wide.index)
-        n = wide.to_numpy()
-        targets = np.outer(shares, np.append(n.sum(0), n.sum()))
-        weights = np.append(np.ones(n.shape[1]), 0.25) / np.maximum(targets, 1.0)
-        full = np.column_stack([n, n.sum(1)])
-        held, parts = np.zeros_like(targets), np.zeros(len(n), int)
-        for i in np.lexsort((jitter.to_numpy(), -longest.to_numpy(), -full[:, -1])):
-            costs = ((held + full[i] - targets) ** 2 * weights).sum(1) - (((held - targets) ** 2 * weights).sum(1) if total else 0)
-            parts[i] = costs.round(9).argmin()
-            held[parts[i]] += full[i]
-        return pd.DataFrame({component: wide.index, "part": parts})
+    per = materialise(per)
+    totals = {r["_o"]: r["n"] for r in per.groupBy("_o").agg(F.sum("_n").alias("n")).collect()}  # a row for each outcome
+    names = sorted(totals)
+    n = np.array([totals[o] for o in names])
+    targets = np.outer(shares, np.append(n, n.sum()))
+    weights = np.append(np.ones(len(names)), 0.25) / np.maximum(targets, 1.0)
+    place = {o: i for i, o in enumerate(names)}
+    whole = per.groupBy("_c").agg(F.collect_list("_o").alias("_o"), F.collect_list("_n").alias("_n"), F.sum("_n").alias("_all"), F.sum("_r").alias("_rows"))
+    ordered = whole.withColumn("_u", unit_interval(F.lit(seed), F.col("_c"))).repartition(1).sortWithinPartitions(F.desc("_all"), F.desc("_rows"), "_u", "_c")
+
+    def assign(batches):
+        held = np.zeros_like(targets)
+        for batch in batches:
+            parts = np.zeros(len(batch), int)
+            for i, (outcomes, counts) in enumerate(zip(batch["_o"], batch["_n"], strict=True)):
+                full = np.zeros(targets.shape[1])
+                full[[place[o] for o in outcomes]] = counts
+                full[-1] = full.sum()
+                costs = ((held + full - targets) ** 2 * weights).sum(1) - (((held - targets) ** 2 * weights).sum(1) if total else 0)
+                parts[i] = costs.round(9).argmin()
+                held[parts[i]] += full
+            yield pd.DataFrame({component: batch["_c"], "part": parts})
 
     kind = sizes.schema[component].dataType.simpleString()
-    return per.withColumn("_u", u).withColumn("_b", F.floor(u * blocks)).groupBy("_b").applyInPandas(assign, f"`{component}` {kind}, part int")
+    return ordered.select("_c", "_o", "_n").mapInPandas(assign, f"`{component}` {kind}, part int")

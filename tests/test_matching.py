@@ -68,14 +68,20 @@ def test_balanced_allocation_equals_brute_force(spark, total):
     assert got == wanted
 
 
-def test_balanced_allocation_in_blocks_keeps_the_shares(spark):
+def test_balanced_allocation_of_many_keeps_the_shares(spark):
     rows = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("component"), F.lit("u").alias("outcome"), (F.col("id") % 5 + 1).alias("n"))
-    got = C.allocate_balanced(rows, "component", "outcome", "n", block=500, total=True)
+    got = C.allocate_balanced(rows, "component", "outcome", "n", total=True)
     assert got.count() == got.select("component").distinct().count() == 3000
     parts = {r["part"]: r["n"] for r in rows.join(got, "component").groupBy("part").agg(F.sum("n").alias("n")).collect()}
     assert [round(parts[p] / 9000, 2) for p in range(3)] == [0.70, 0.15, 0.15]
 
 
+def test_ties_of_size_go_by_rows(spark):
+    rows = [("a", "u", 2, 1), ("b", "u", 2, 9), ("c", "u", 2, 5)]
+    got = {r["component"]: r["part"] for r in C.allocate_balanced(spark.createDataFrame(rows, "component string, outcome string, n int, r int"), "component", "outcome", "n", shares=(0.34, 0.33, 0.33), rows="r").collect()}
+    assert got == {"b": 1, "c": 2, "a": 0}  # the smaller shares lie nearest to two, the largest component by rows takes the first of them
+
+
 def test_balanced_allocation_of_nothing(spark):
     none = spark.createDataFrame([], "component string, outcome string, n int")
     assert C.allocate_balanced(none, "component", "outcome", "n").count() == 0
