@@ -35,7 +35,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades 0 (poor), 1 (sound but toxic), 2 (sound); kept: sound is likelier than not."""
+    """Grades 0 (poor), 1 (sound but toxic), 2 (sound); kept: sound is likelier than not. Null or empty text: the grade of no features. Null id: not held out, and taught by no label. Repeated rows: graded each. Empty table: empty result."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     grades = labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
     known = docs.select("doc_id", "text").where(~_held(0)).join(grades, "doc_id")
@@ -44,7 +44,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document appears when no source is repeated more than twice as often as another."""
+    """How often each document appears when no source is repeated more than twice as often as another. Null text: no token. Null source: a source of its own. Repeated rows: planned each. Empty table: empty result."""
     plan = mixing.plan(_table(spark, sf_dir, "documents"), repetition=2.0, budget="cover")
     return plan.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), "tokens", "weight", "passes", "copies", "block", F.col("part").alias("rank"))
 
@@ -55,7 +55,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts before and after all mail addresses and all runs of nine or more digits are redacted."""
+    """Token counts before and after all mail addresses and all runs of nine or more digits are redacted. Null text: empty, no token. Repeated rows: counted each. Empty table: empty result."""
     got = token_counts.count_found(_table(spark, sf_dir, "documents"), {"<mail>": MAIL, "<number>": DIGITS}, tokenizer())
     return got.select("doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded_chars", F.sha2("text_after", 256).alias("after_sha256"))
 

@@ -18,27 +18,27 @@ REPETITION = 1.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the lexicon is learnt from the labelled documents outside fold 0."""
+    """Documents whose toxicity score is below one half; the lexicon is learnt from the labelled documents outside fold 0. Null texts match nothing and stay; repeated rows are judged each; an empty table stays empty."""
     return toxicity.without_toxic(docs, queries.toxic_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
+    """Of equal texts the document with the smallest id. Null texts are equal to empty ones; repeated rows stay once; an empty table stays empty."""
     return exact_dedup.dedup(docs, keep="min")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id."""
+    """Of each class of near duplicates the document with the smallest id. Null and empty texts are classes of their own; an empty table stays empty."""
     return near_dedup.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, documents of scarce sources in up to REPETITION passes."""
+    """Every document at least once, documents of scarce sources in up to REPETITION passes. Null sources are one source; an empty table stays empty."""
     return mixing.mix(docs, repetition=REPETITION, budget="cover").select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 1024 tokens."""
+    """Pieces of windows of 1024 tokens. A null text is its end token alone; an empty table gives no piece."""
     return queries.packed(docs)
 
 
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's result written to the shared folder and read again."""
+    """The stages over documents, each one's result written to the shared folder and read again. Columns of any name are carried to the last stage; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     begun = made()
     for _, stage in STAGES:
