@@ -218,22 +218,24 @@ def scan(spark: SparkSession, paths: list[str], columns: list[str], encodings: l
     return spark.read.format("csv_tree").options(paths=json.dumps(paths), columns=json.dumps(low), encodings=json.dumps(encodings or ENCODINGS)).load()
 
 
-def unzip(spark: SparkSession, archive: str, target: str) -> DataFrame:
-    """path, bytes of the archive's tables, each streamed into the target folder by a task of its own."""
-    rows = spark.createDataFrame([(m,) for m in members(archive)], "member string")
-    n = max(1, rows.count())
+def unzip(spark: SparkSession, archives: list[str], target: str) -> DataFrame:
+    """path (below target), bytes of all tables of the archives: each is streamed into target/<archive's name> by a task of its own."""
+    named = [(a, a.rsplit("/", 1)[-1].removesuffix(".zip"), m) for a in archives for m in members(a)]
+    if len({n for _, n, _ in named}) < len({a for a, _, _ in named}):
+        raise ValueError("archives of one name")
+    rows = spark.createDataFrame(named, "archive string, folder string, member string").repartition(max(1, len(named)))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open(target)
         for b in batches:
-            for m in b.column("member").to_pylist():
-                store, base = _open(target)
-                at, size = f"{base.rstrip('/')}/{m}", 0
+            for archive, folder, m in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                at, size = f"{base.rstrip('/')}/{folder}/{m}", 0
                 store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 source, inside = _open(archive)
                 with source.open_input_file(inside) as f, zipfile.ZipFile(f) as z, z.open(m) as inner, store.open_output_stream(at) as out:
                     while part := inner.read(BLOCK):
                         out.write(part)
                         size += len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([size])], ["path", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{m}"]), pa.array([size])], ["path", "bytes"])
 
-    return rows.repartition(n).mapInArrow(unpack, "path string, bytes long")
+    return rows.mapInArrow(unpack, "path string, bytes long")

@@ -58,12 +58,12 @@ def test_bad_bytes(spark, tmp_path):
 
 
 def test_unzip(spark, top, tmp_path):
-    got = {r["path"]: r["bytes"] for r in store.unzip(spark, f"{top}/three.zip", f"file://{tmp_path}/out").collect()}
-    assert sorted(got) == ["four.csv.gz", "in/three.csv"] and (tmp_path / "out/in/three.csv").stat().st_size == got["in/three.csv"]
+    got = {r["path"]: r["bytes"] for r in store.unzip(spark, [f"{top}/three.zip"], f"file://{tmp_path}/out").collect()}
+    assert sorted(got) == ["three/four.csv.gz", "three/in/three.csv"] and (tmp_path / "out/three/in/three.csv").stat().st_size == got["three/in/three.csv"]
     with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
         z.writestr("../out.csv", "id\n1\n")
     with pytest.raises(ValueError, match="leads out"):
-        store.unzip(spark, f"file://{tmp_path}/bad.zip", f"file://{tmp_path}/out")
+        store.unzip(spark, [f"file://{tmp_path}/bad.zip"], f"file://{tmp_path}/out")
     assert not (tmp_path / "out.csv").exists()
 
 
