@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from clinflow.llm import hashing
 from clinflow.llm.pieces import as_bytes, groups, ragged, rest
-from clinflow.shared import join_hot, materialise
+from clinflow.shared import arrow_rows, join_hot, materialise
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 13, 3
@@ -50,6 +50,8 @@ HOT = 0.005
 BLOCK = 256
 #: Bytes of text handled at once; a longer text is handled whole.
 GROUP = 1_000_000
+#: Rows that go to a worker at once; executor and worker each hold them, some of their columns more than once.
+BATCH_ROWS = 1_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +148,14 @@ class Sampler:
         draw = np.random.default_rng(seed)
         size = 1 << 16
         r, c, beta = draw.gamma(2, 1, size), draw.gamma(2, 1, size), draw.random(size)
-        lnw = STEP * np.arange(LEVELS)[:, None]
-        t = np.floor(lnw / r + beta)
-        lna = np.log(c) - r * (t - beta) - r
-        # ln a as 24 bits that sort alike; equal values tie-break by the shingle
-        self.table = (np.clip((lna + 60) * (1 << 24) / 80, 0, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)).ravel()
+        lnc, table = np.log(c), np.empty((LEVELS, size), np.uint64)
+        for level in range(LEVELS):  # one at a time, as every temporary of all levels has the table's 42 MB
+            t = np.floor(STEP * level / r + beta)
+            lna = lnc - r * (t - beta) - r
+            # ln a as 24 bits that sort alike; equal values tie-break by the shingle
+            table[level] = np.clip((lna + 60) * (1 << 24) / 80, 0, (1 << 24) - 1)
+        table <<= np.uint64(40)
+        self.table = table.ravel()
         self.odd = draw.integers(1 << 62, size=SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def bands(self, s: np.ndarray, level: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -335,6 +340,11 @@ def _compared(blocks: DataFrame, nodes: DataFrame, features: DataFrame) -> DataF
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, class_id (smallest id of its class), class_size (rows), kept (is the class's id)."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):  # all work of Python ends in here
+        return _classes(docs, id_col, text_col)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     idf = idf_levels(*document_frequencies(docs, text_col))
     rows = materialise(_nodes(docs, id_col, text_col, idf))
     nodes = materialise(rows.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("least"), F.count("*").alias("n"), F.any_value("_bands").alias("_bands")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Queries that run inside send their Python workers at most so many rows at once, or fewer where the session says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if not 0 < int(was) <= most:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, share: float = HOT_SHARE, width: Column | None = None) -> DataFrame:
     """Left join of rows with table, which has one row per key and a column `weight` (its rows in `rows`).
 

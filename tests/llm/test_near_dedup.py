@@ -1,6 +1,10 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from clinflow.llm import near_dedup
+from clinflow.shared import arrow_rows
 
 
 def shingles(text):
@@ -93,3 +97,26 @@ def test_star_of_copies(spark):
             rows.append((star * 100 + v, " ".join(w)))
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows) and set(got.values()) == {0, 100}
+
+
+def test_sampler_is_made_in_little_more_memory_than_it_takes():
+    tracemalloc.start()
+    sampler = near_dedup.Sampler()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * sampler.table.nbytes
+
+
+def test_workers_get_few_rows_at_once(spark, docs, monkeypatch):
+    name, seen, one = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_dedup._nodes
+    was = spark.conf.get(name)
+    monkeypatch.setattr(near_dedup, "_nodes", lambda *a: seen.append(int(spark.conf.get(name))) or one(*a))
+    near_dedup.classes(docs.limit(20)).count()
+    assert seen == [near_dedup.BATCH_ROWS] and spark.conf.get(name) == was
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"id": pa.array([batch.num_rows], pa.int64())})
+
+    with arrow_rows(spark, 300):
+        assert max(r["id"] for r in spark.range(0, 1_000, 1, 1).mapInArrow(sizes, "id long").collect()) == 300
