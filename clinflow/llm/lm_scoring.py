@@ -246,19 +246,23 @@ class Model:
         return self.rare < 0
 
     def attend(self, x: np.ndarray, real: np.ndarray) -> tuple:
-        """States of the last STRIDE places of each window; real: False where a window reaches back over the document's start."""
+        """States of the last STRIDE places of each window, and what they come from: attention weights, one over their sums, mean values, scaled queries, keys, values.
+
+        real: False where a window reaches back over the document's start. Weights are left undivided, as the sums divide the narrower values.
+        """
         last = x[:, CONTEXT:]
-        q, k, v = np.take(self.query, last, 0), np.take(self.key, x, 0), np.take(self.value, x, 0)
-        q *= np.float32(1 / math.sqrt(WIDTH))
+        q, k, v = np.take(self.query * np.float32(1 / math.sqrt(WIDTH)), last, 0), np.take(self.key, x, 0), np.take(self.value, x, 0)
         a = np.matmul(q, k.transpose(0, 2, 1))
         a += _relative(self.place)
         short = np.flatnonzero(~real[:, 0])
         if len(short):
             a[short] += np.where(real[short], np.float32(0), np.float32(-1e9))[:, None, :]
-        a = _weights(a)
-        h = np.matmul(a, v)
-        h += np.take(self.own, last, 0)
-        return np.tanh(h, out=h), a, q, k, v
+        a, over = _weights(a)
+        mean = np.matmul(a, v)
+        mean *= over
+        h = np.take(self.own, last, 0)
+        h += mean
+        return np.tanh(h, out=h), a, over, mean, q, k, v
 
     def logits(self, h: np.ndarray, before: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class logits, logits of the symbols of the row's class cls, and the bounds of the classes' rows; the rows are sorted by class."""
@@ -323,14 +327,13 @@ def _relative(place: np.ndarray) -> np.ndarray:
     return np.where(distance >= 0, place[np.clip(distance, 0, SPAN - 1)], np.float32(-1e9)).astype(np.float32)
 
 
-def _weights(a: np.ndarray) -> np.ndarray:
-    """Attention weights of the scores a (windows x STRIDE x SPAN), in place. Masked scores are far below zero; every row sees its own place, so rows are shifted only where a score is extreme."""
-    own = a[:, np.arange(STRIDE), np.arange(CONTEXT, SPAN)]
+def _weights(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Undivided attention weights of the scores a (windows x STRIDE x SPAN), in place, and one over each row's sum. Masked scores are far below zero; every row sees its own place, so rows are shifted only where a score is extreme."""
+    own = a.reshape(len(a), -1)[:, CONTEXT :: SPAN + 1]
     if a.size and (a.max() > 60 or own.min() < -60):
         a -= a.max(-1, keepdims=True)
     np.exp(a, out=a)
-    a *= 1 / np.matmul(a, np.ones((SPAN, 1), np.float32))
-    return a
+    return a, 1 / np.matmul(a, np.ones((SPAN, 1), np.float32))
 
 
 def _logsum(x: np.ndarray) -> np.ndarray:
@@ -341,11 +344,12 @@ def _logsum(x: np.ndarray) -> np.ndarray:
     return sums if shift is None else sums + shift
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, scale: np.float32) -> np.ndarray:
+    """The softmax of each row times scale, in place."""
     if x.size and (x.max() > 60 or x.min() < -60):
         x -= x.max(1)[:, None]
     np.exp(x, out=x)
-    x *= 1 / (x @ np.ones((x.shape[1], 1), np.float32))
+    x *= scale / (x @ np.ones((x.shape[1], 1), np.float32))
     return x
 
 
@@ -401,23 +405,56 @@ def prior(pairs: DataFrame) -> Model:
     draw = np.random.default_rng(5)
     table = lambda scale: (scale * draw.standard_normal((SYMBOLS, WIDTH))).astype(np.float32)
     return Model(
-        renamed[symbol], rare, int(renamed[end]), np.log(p).astype(np.float32), np.log(head).astype(np.float32), table(0.3), table(0.3), table(0.3), table(0.3),
+        # rows one after another: a model whose rows are not is copied whole at every look-up
+        renamed[symbol], rare, int(renamed[end]), *[np.ascontiguousarray(np.log(x), np.float32) for x in (p, head)], table(0.3), table(0.3), table(0.3), table(0.3),
         np.zeros(SPAN, np.float32), np.zeros((CLASSES, WIDTH), np.float32), np.zeros((SYMBOLS, WIDTH), np.float32),
     )
 
 
-def _summed(where: np.ndarray, *parts: np.ndarray) -> list[np.ndarray]:
-    """Sums of the rows of each part by symbol."""
-    where = where.ravel().astype(np.int16)
-    order = np.argsort(where, kind="stable")
-    own = where[order]
-    b = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    out = []
-    for g in parts:
-        sums = np.zeros((SYMBOLS, WIDTH), np.float32)
-        sums[own[b]] = np.add.reduceat(np.take(g.reshape(-1, WIDTH), order, 0), b)
-        out.append(sums)
-    return out
+def _summed(place: np.ndarray, both: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+    """Sums of the rows of both by symbol; first and second get a half of the columns each. place: WIDTH * symbol + (0 .. WIDTH - 1) of each row.
+
+    Two neighbouring columns are added as one complex number, which takes half the time.
+    """
+    sums = np.zeros(SYMBOLS * WIDTH, np.complex64)
+    np.add.at(sums, place.ravel(), both.view(np.complex64).ravel())
+    sums = sums.view(np.float32).reshape(SYMBOLS, 2 * WIDTH)
+    first[...], second[...] = sums[:, :WIDTH], sums[:, WIDTH:]
+
+
+class Adam:
+    """The learnt weights as one array, of which the model's are views, and their moments."""
+
+    def __init__(self, model: Model, state: dict):
+        self.at = np.cumsum([0, *[getattr(model, k).size for k in Model.LEARNT]])
+        self.w = np.concatenate([getattr(model, k).ravel() for k in Model.LEARNT])
+        for k, w in self._views(model, self.w).items():
+            setattr(model, k, w)
+        self.m, self.s = state.setdefault("moments", (np.zeros_like(self.w), np.zeros_like(self.w)))
+        self.g = np.zeros_like(self.w)
+        self.grads = self._views(model, self.g)
+        self.held = np.empty_like(self.w), np.empty_like(self.w)
+
+    def _views(self, model: Model, flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: flat[a:b].reshape(getattr(model, k).shape) for k, a, b in zip(Model.LEARNT, self.at[:-1], self.at[1:], strict=True)}
+
+    def step(self, size: float, t: int) -> None:
+        """w -= size * (m / (1 - 0.9^t)) / (sqrt(s / (1 - 0.99^t)) + 1e-6)."""
+        x, y = self.held
+        np.subtract(self.g, self.m, out=x)
+        x *= np.float32(0.1)
+        self.m += x
+        np.multiply(self.g, self.g, out=x)
+        x -= self.s
+        x *= np.float32(0.01)
+        self.s += x
+        np.divide(self.s, np.float32(1 - 0.99**t), out=x)
+        np.sqrt(x, out=x)
+        x += np.float32(1e-6)
+        np.divide(self.m, np.float32(1 - 0.9**t), out=y)
+        y *= np.float32(size)
+        y /= x
+        self.w -= y
 
 
 def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRAIN_STEPS, rate: float = 0.004, seed: int = 9, state: dict | None = None) -> Model:
@@ -435,7 +472,8 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
     docs, offsets = np.repeat(np.arange(n), counts), STRIDE * ragged(np.zeros(n, np.int64), counts)
     draw = np.random.default_rng(seed)
     falls, state = state is None, {} if state is None else state
-    moments = state.setdefault("moments", {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in Model.LEARNT})
+    adam = Adam(model, state)
+    grads = adam.grads
     state["windows"] = state.get("windows", 0) + len(docs)
     begun = state.get("t", 0)
     steps = -(-len(docs) // BATCH_WINDOWS) if steps is None else steps
@@ -450,38 +488,43 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
         place = o[:, None] + np.arange(-CONTEXT, STRIDE)
         p = first[d][:, None] + np.clip(place, 0, size[:, None] - 1)
         x, y = np.take(flat, p), np.take(flat, p[:, CONTEXT:] + 1).ravel()
-        h, a, q, k, v = model.attend(x, place >= 0)
+        h, a, over, mean, q, k, v = model.attend(x, place >= 0)
         # rows sorted by the class of what follows, places after the text's end left out
         order = np.argsort((y // CLASSES).astype(np.uint8), kind="stable")
         order = order[(place[:, CONTEXT:] < size[:, None]).ravel()[order]]
         hs, y = np.take(h.reshape(-1, WIDTH), order, 0), y[order]
         top, low, bounds = model.logits(hs, x[:, CONTEXT:].ravel()[order], y // CLASSES)
         i, scale = np.arange(0, CLASSES * len(y), CLASSES), np.float32(1 / len(y))
-        for g, hit in ((_softmax(top), y // CLASSES), (_softmax(low), y % CLASSES)):
-            g.ravel()[i + hit] -= 1
-            g *= scale
-        own, grads = top @ model.to_class, {"to_class": top.T @ hs, "to_symbol": np.zeros((CLASSES, CLASSES, WIDTH), np.float32)}
+        for g, hit in ((top, y // CLASSES), (low, y % CLASSES)):
+            _softmax(g, scale).ravel()[i + hit] -= scale
+        own = top @ model.to_class
+        np.matmul(top.T, hs, out=grads["to_class"])
+        grads["to_symbol"][...] = 0
+        by_class = grads["to_symbol"].reshape(CLASSES, CLASSES, WIDTH)
         for c in np.flatnonzero(np.diff(bounds)):
             mine = slice(bounds[c], bounds[c + 1])
-            grads["to_symbol"][c] = low[mine].T @ hs[mine]
+            np.matmul(low[mine].T, hs[mine], out=by_class[c])
             own[mine] += low[mine] @ members[c]
-        grads["to_symbol"] = grads["to_symbol"].reshape(SYMBOLS, WIDTH)
-        dz = np.zeros_like(h)
-        dz.reshape(-1, WIDTH)[order] = own * (1 - hs * hs)
-        da = np.matmul(dz, v.transpose(0, 2, 1))
+        hs *= hs
+        np.subtract(1, hs, out=hs)
+        own *= hs
+        at_last, at_all = np.zeros((*h.shape[:2], 2 * WIDTH), np.float32), np.empty((*x.shape, 2 * WIDTH), np.float32)
+        at_last.reshape(-1, 2 * WIDTH)[order, :WIDTH] = own
+        dz = at_last[:, :, :WIDTH]
+        through = dz * over  # the weights in a are not divided by their sums
+        da = np.matmul(through, v.transpose(0, 2, 1))
+        mean *= through
+        da -= np.matmul(mean, np.ones((WIDTH, 1), np.float32))
         da *= a
-        da -= a * np.matmul(da, np.ones((SPAN, 1), np.float32))
-        grads["place"] = np.bincount(distance.ravel(), da.sum(0).ravel(), SPAN).astype(np.float32)
-        dq = np.matmul(da, k)
-        dq *= np.float32(1 / math.sqrt(WIDTH))  # q is scaled already
-        grads["own"], grads["query"] = _summed(x[:, CONTEXT:], dz, dq)
-        grads["key"], grads["value"] = _summed(x, np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dz))
-        step = rate * min(1.0, t / 50) * (1 - 0.9 * t / steps if falls else 1)
-        for name, g in grads.items():
-            m, s = moments[name]
-            m += np.float32(0.1) * (g - m)
-            s += np.float32(0.01) * (g * g - s)
-            getattr(model, name)[...] -= np.float32(step) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(s / np.float32(1 - 0.99**t)) + np.float32(1e-6))
+        grads["place"][...] = np.bincount(distance.ravel(), da.sum(0).ravel(), SPAN)
+        np.matmul(da, k, out=at_last[:, :, WIDTH:])
+        at_last[:, :, WIDTH:] *= np.float32(1 / math.sqrt(WIDTH))  # q is scaled already
+        np.matmul(da.transpose(0, 2, 1), q, out=at_all[:, :, :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), through, out=at_all[:, :, WIDTH:])
+        cells = WIDTH * x.astype(np.int64)[:, :, None] + np.arange(WIDTH)
+        _summed(cells[:, CONTEXT:], at_last, grads["own"], grads["query"])
+        _summed(cells, at_all, grads["key"], grads["value"])
+        adam.step(rate * min(1.0, t / 50) * (1 - 0.9 * t / steps if falls else 1), t)
     return model
 
 

@@ -159,3 +159,38 @@ def test_scores_do_not_depend_on_partitions(spark, docs, tokenizer):
     held = queries._held(1)
     one, seven = ({r["doc_id"]: r["score"] for r in lm_scoring.score(some.repartition(n), held, tokenizer).collect()} for n in (1, 7))
     assert max(abs(one[i] / seven[i] - 1) for i in one) < 1e-6
+
+
+def test_model_is_not_copied_at_look_ups(docs, tokenizer):
+    """Rows of all tables lie one after another; else a training step copies the table of pairs, 4 MB, whole."""
+    model = lm_scoring.prior(lm_scoring.follower_counts(coded(docs, tokenizer)))
+    for table in (model.pair, model.head, *(getattr(model, k) for k in lm_scoring.Model.LEARNT)):
+        assert table.flags["C_CONTIGUOUS"]
+
+
+def test_training_step_is_that_of_the_loss(docs, tokenizer):
+    """Gradients by finite differences of the mean negative log-probability, in double precision."""
+    import pyarrow as pa
+
+    ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(pa.array([r["text"] for r in docs.limit(2).collect()])))[:2]
+    ids, at = ids[: at[1]][:90], np.array([0, min(90, at[1])])
+    model = lm_scoring.prior(lm_scoring.follower_counts(coded(docs, tokenizer)))
+    draw = np.random.default_rng(3)
+    for k in lm_scoring.Model.LEARNT:
+        setattr(model, k, (0.3 * draw.standard_normal(getattr(model, k).shape)).astype(np.float32))
+    start, held, one = {k: getattr(model, k).copy() for k in lm_scoring.Model.LEARNT}, [], lm_scoring.Adam.step
+    try:
+        lm_scoring.Adam.step = lambda self, *a: held.append({k: g.copy() for k, g in self.grads.items()}) or one(self, *a)
+        lm_scoring.train(model, ids, at, 1)
+    finally:
+        lm_scoring.Adam.step = one
+    for k, w in start.items():
+        g = held[0][k]
+        for cell in np.argsort(-np.abs(g).ravel())[:3]:
+            losses = []
+            for sign in (1, -1):
+                for name, x in start.items():
+                    setattr(model, name, x.astype(np.float64))
+                getattr(model, k).ravel()[cell] += sign * 1e-2
+                losses.append(-model.each(ids, at).sum() + model.rare[ids].sum())
+            assert g.ravel()[cell] == pytest.approx((losses[0] - losses[1]) / 2e-2 / (len(ids) + 1), rel=2e-2, abs=1e-4)
