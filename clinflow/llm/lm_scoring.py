@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import copy
 import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -54,8 +55,12 @@ END_ID = IDS - 1
 #: Words whose counts every task knows; all other words are looked up by a join.
 KNOWN_WORDS = 400_000
 KNOWN_PAIRS, TRUST = 500_000, 30.0
-#: Words whose ids a task remembers, ids handled at once.
-REMEMBERED, TOKENS_AT_ONCE = 400_000, 1 << 20
+#: Ids handled at once.
+TOKENS_AT_ONCE = 1 << 20
+#: Words of groups of texts that are held before they are encoded and summed together, words sent on at once.
+WORDS_HELD, WORDS_AT_ONCE = 800_000, 100_000
+#: White space outside ASCII, in UTF-8: after it a space does not begin a new piece.
+_ODD_ENDS = np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
 #: Tokens whose pairs are held before they are summed.
 PAIRS_AT_ONCE = 1 << 21
 TRAIN_STEPS, BATCH_WINDOWS = 900, 128
@@ -82,7 +87,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArr
     begins[1:] &= ~inside[:-1] | first[1:n]
     b = np.flatnonzero(begins)
     kept = np.ascontiguousarray(hashing._LOWER[data[inside]])
-    bounds = np.append(np.cumsum(inside)[b] - 1, len(kept)).astype(np.int64)
+    bounds = np.append(np.cumsum(inside, dtype=np.int32 if n < 1 << 31 else np.int64)[b] - 1, len(kept)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
     return words.dictionary_encode(), np.searchsorted(b, offsets)
 
@@ -96,33 +101,38 @@ def encoded(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "do
     schema = pa.schema([("_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("ids", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter[bytes] = Counter()
-        encoder = pieces.encoder(tokenizer, REMEMBERED, False)
+        encoder = pieces.encoder(tokenizer, special=False)
 
-        def rows() -> pa.RecordBatch:
-            own = [pa.nulls(len(sums), f.type) for f in list(schema)[:4]]
-            got = pa.record_batch([*own, pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], schema=schema)
-            sums.clear()
-            return got
-
-        for batch in batches:
-            data, offsets = as_bytes(batch.column(2))
-            for lo, hi in groups(offsets):
+        def rows(batch: pa.RecordBatch, split: list[tuple[int, int, pa.DictionaryArray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            every = pa.concat_arrays([words.dictionary for *_, words, _ in split]).dictionary_encode()
+            table, own, begin = subwords(encoder, every.dictionary), every.indices.to_numpy(), 0
+            sums, ends = np.zeros(len(every.dictionary), np.int64), 0
+            for lo, hi, words, word_at in split:
                 n, held = hi - lo, batch.column(1).slice(lo, hi - lo)
-                ids, at, words, word_at = encode_words(encoder, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                places = np.take(own[begin : begin + len(words.dictionary)], words.indices.to_numpy())
+                begin += len(words.dictionary)
                 taught = ~held.to_numpy(zero_copy_only=False).astype(bool)
-                counts = np.bincount(words.indices.to_numpy()[np.repeat(taught, np.diff(word_at))], minlength=len(words.dictionary)).tolist()
-                for w, c in zip(words.dictionary.to_pylist(), counts, strict=True):
-                    if c:
-                        sums[w] += c
-                if taught.any():
-                    sums[b""] += int(taught.sum())
+                sums += np.bincount(places[np.repeat(taught, np.diff(word_at))], minlength=len(sums))
+                ends += int(taught.sum())
+                ids, at = _gathered(*table, places, word_at)
                 flat = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
                 cols = [batch.column(0).slice(lo, n), held, pa.array(np.diff(word_at)), flat, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
                 yield pa.record_batch([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-                if len(sums) > 400_000:
-                    yield rows()
-        yield rows()
+            seen = np.flatnonzero(sums)
+            word, n = pa.concat_arrays([every.dictionary.take(pa.array(seen)), pa.array([b""], pa.large_binary())]), np.append(sums[seen], ends)
+            for lo in range(0, len(seen) + (ends > 0), WORDS_AT_ONCE):
+                part = slice(lo, min(lo + WORDS_AT_ONCE, len(seen) + (ends > 0)))
+                nulls = [pa.nulls(part.stop - lo, f.type) for f in list(schema)[:4]]
+                yield pa.record_batch([*nulls, word[part].cast(pa.binary()), pa.array(n[part])], schema=schema)
+
+        for batch in batches:
+            data, offsets = as_bytes(batch.column(2))
+            split = []
+            for lo, hi in groups(offsets):
+                split.append((lo, hi, *split_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])))
+                if hi == len(batch) or sum(len(words.dictionary) for *_, words, _ in split) > WORDS_HELD:
+                    yield from rows(batch, split)
+                    split = []
         rest()
 
     wanted = docs.select(F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("_held"), F.col(text_col).alias("_text"))
@@ -245,7 +255,17 @@ class Model:
         """Of each subword id: whether it is in the rare symbol."""
         return self.rare < 0
 
-    def attend(self, x: np.ndarray, real: np.ndarray) -> tuple:
+    @functools.cached_property
+    def lowest(self) -> float:
+        """The least log-probability of the counts."""
+        return float(min(self.pair.min(), self.head.min()))
+
+    def steep(self) -> bool:
+        """Whether attention's scores or the logits may be beyond 60 either way, so that exponentials need a shift; states are between -1 and 1."""
+        q, k = (math.sqrt(np.einsum("ij,ij->i", w, w).max()) for w in (self.query, self.key))
+        return bool(q * k / math.sqrt(WIDTH) + np.abs(self.place).max() > 60 or max(np.abs(w).sum(1).max() for w in (self.to_class, self.to_symbol)) - self.lowest > 60)
+
+    def attend(self, x: np.ndarray, real: np.ndarray, steep: bool) -> tuple:
         """States of the last STRIDE places of each window, and what they come from: attention weights, one over their sums, mean values, scaled queries, keys, values.
 
         real: False where a window reaches back over the document's start. Weights are left undivided, as the sums divide the narrower values.
@@ -257,34 +277,36 @@ class Model:
         short = np.flatnonzero(~real[:, 0])
         if len(short):
             a[short] += np.where(real[short], np.float32(0), np.float32(-1e9))[:, None, :]
-        a, over = _weights(a)
+        a, over = _weights(a, steep)
         mean = np.matmul(a, v)
         mean *= over
         h = np.take(self.own, last, 0)
         h += mean
         return np.tanh(h, out=h), a, over, mean, q, k, v
 
-    def logits(self, h: np.ndarray, before: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def logits(self, h: np.ndarray, before: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Class logits, logits of the symbols of the row's class cls, and the bounds of the classes' rows; the rows are sorted by class."""
         top = h @ self.to_class.T
         top += np.take(self.head, before, 0)
-        bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
+        bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         members, low = self.to_symbol.reshape(CLASSES, CLASSES, WIDTH), np.empty((len(cls), CLASSES), np.float32)
-        for c in np.flatnonzero(np.diff(bounds)):
-            np.matmul(h[bounds[c] : bounds[c + 1]], members[c].T, out=low[bounds[c] : bounds[c + 1]])
+        for c, (i, j) in enumerate(itertools.pairwise(bounds)):
+            if i < j:
+                np.matmul(h[i:j], members[c].T, out=low[i:j])
         low += np.take(self.pair.reshape(SYMBOLS * CLASSES, CLASSES), before * CLASSES + cls, 0)
         return top, low, bounds
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, steep: bool | None = None) -> np.ndarray:
         """Natural log-probability of each symbol y after the windows x."""
-        h = self.attend(x, real)[0].reshape(-1, WIDTH)
+        steep = self.steep() if steep is None else steep
+        h = self.attend(x, real, steep)[0].reshape(-1, WIDTH)
         y = y.ravel()
         order = np.argsort((y // CLASSES).astype(np.uint8), kind="stable")
         y = y[order]
         top, low, _ = self.logits(np.take(h, order, 0), x[:, CONTEXT:].ravel()[order], y // CLASSES)
-        i, out = np.arange(0, CLASSES * len(y), CLASSES), np.empty(len(y))
-        hit = np.take(top.ravel(), i + y // CLASSES) + np.take(low.ravel(), i + y % CLASSES)
-        out[order] = hit - _logsum(top) - _logsum(low)
+        cls, i, out = y // CLASSES, np.arange(0, CLASSES * len(y), CLASSES), np.empty(len(y))
+        hit = np.take(top.ravel(), i + cls) + np.take(low.ravel(), i + (y - CLASSES * cls))
+        out[order] = hit - _logsum(top, low, steep)
         return out
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -297,27 +319,27 @@ class Model:
         n = len(at) - 1
         sizes = np.diff(at) + 1
         starts = at[:-1] + np.arange(n)  # in the stream of texts with their ends
-        y = np.full(len(ids) + n, self.end, np.int32)
+        y = np.full(len(ids) + n, self.end, np.int64)
         rare = np.zeros(len(y))
         inside = np.ones(len(y), bool)
         inside[starts + sizes - 1] = False
         y[inside] = self.symbol[ids]
         rare[inside] = self.rare[ids]
-        x = np.empty_like(y)
-        x[1:] = y[:-1]
-        x[starts] = self.end
+        x = np.full(CONTEXT + len(y) + STRIDE, self.end, np.int64)  # windows reach over both ends of the texts
+        x[CONTEXT + 1 : CONTEXT + len(y)] = y[:-1]
+        x[CONTEXT + starts] = self.end
+        y = np.concatenate([y, np.full(STRIDE, self.end)])
         windows = -(-sizes // STRIDE)
         whose = np.repeat(np.arange(n), windows)
         offset = STRIDE * ragged(np.zeros(n, np.int64), windows)
-        out = rare
+        out, steep = rare, self.steep()
         for lo in range(0, len(whose), AT_ONCE):
             w, o = whose[lo : lo + AT_ONCE], offset[lo : lo + AT_ONCE]
             place = o[:, None] + np.arange(-CONTEXT, STRIDE)
-            real = place >= 0
-            p = starts[w][:, None] + np.clip(place, 0, sizes[w][:, None] - 1)
+            p = (starts[w] + o)[:, None] + np.arange(SPAN)  # in x, and of what follows CONTEXT places earlier in y
+            got = self.log_probabilities(np.take(x, p), np.take(y, p[:, :STRIDE]), place >= 0, steep).reshape(-1, STRIDE)
             own = place[:, CONTEXT:] < sizes[w][:, None]
-            got = self.log_probabilities(np.take(x, p), np.take(y, p[:, CONTEXT:]), real).reshape(own.shape)
-            out[p[:, CONTEXT:][own]] += got[own]
+            out[p[:, :STRIDE][own]] += got[own]
         return out
 
 
@@ -327,26 +349,30 @@ def _relative(place: np.ndarray) -> np.ndarray:
     return np.where(distance >= 0, place[np.clip(distance, 0, SPAN - 1)], np.float32(-1e9)).astype(np.float32)
 
 
-def _weights(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Undivided attention weights of the scores a (windows x STRIDE x SPAN), in place, and one over each row's sum. Masked scores are far below zero; every row sees its own place, so rows are shifted only where a score is extreme."""
-    own = a.reshape(len(a), -1)[:, CONTEXT :: SPAN + 1]
-    if a.size and (a.max() > 60 or own.min() < -60):
+def _weights(a: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Undivided attention weights of the scores a (windows x STRIDE x SPAN), in place, and one over each row's sum. Masked scores are far below zero; every row sees its own place, so rows are shifted only where a score may be extreme."""
+    if steep and a.size:
         a -= a.max(-1, keepdims=True)
     np.exp(a, out=a)
     return a, 1 / np.matmul(a, np.ones((SPAN, 1), np.float32))
 
 
-def _logsum(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each row, in double precision."""
-    shift = x.max(1) if x.size and (x.max() > 60 or x.min() < -60) else None
-    e = np.exp(x if shift is None else x - shift[:, None])
-    sums = np.log((e @ np.ones(x.shape[1], np.float32)).astype(np.float64))
-    return sums if shift is None else sums + shift
+def _logsum(x: np.ndarray, y: np.ndarray, steep: bool) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each row of x, times that of y, in double precision; both are overwritten."""
+    shift, sums = 0.0, np.ones(len(x))
+    for z in (x, y):
+        if steep and z.size:
+            most = z.max(1)
+            z -= most[:, None]
+            shift = shift + most.astype(np.float64)
+        np.exp(z, out=z)
+        sums *= z @ np.ones(z.shape[1], np.float32)
+    return np.log(sums) + shift
 
 
-def _softmax(x: np.ndarray, scale: np.float32) -> np.ndarray:
+def _softmax(x: np.ndarray, scale: np.float32, steep: bool) -> np.ndarray:
     """The softmax of each row times scale, in place."""
-    if x.size and (x.max() > 60 or x.min() < -60):
+    if steep and x.size:
         x -= x.max(1)[:, None]
     np.exp(x, out=x)
     x *= scale / (x @ np.ones((x.shape[1], 1), np.float32))
@@ -411,15 +437,14 @@ def prior(pairs: DataFrame) -> Model:
     )
 
 
-def _summed(place: np.ndarray, both: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-    """Sums of the rows of both by symbol; first and second get a half of the columns each. place: WIDTH * symbol + (0 .. WIDTH - 1) of each row.
+#: Places of a symbol's row in a table of complex numbers, each of which is two neighbouring columns: adding them takes half the time.
+_PAIRS = WIDTH // 2 * np.arange(SYMBOLS)[:, None] + np.arange(WIDTH // 2)
 
-    Two neighbouring columns are added as one complex number, which takes half the time.
-    """
-    sums = np.zeros(SYMBOLS * WIDTH, np.complex64)
-    np.add.at(sums, place.ravel(), both.view(np.complex64).ravel())
-    sums = sums.view(np.float32).reshape(SYMBOLS, 2 * WIDTH)
-    first[...], second[...] = sums[:, :WIDTH], sums[:, WIDTH:]
+
+def _sum_rows(rows: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
+    """Sums of rows by symbol; places: of `_PAIRS` of each row."""
+    out[...] = 0
+    np.add.at(out.reshape(-1).view(np.complex64), places.reshape(-1), rows.view(np.complex64).reshape(-1))
 
 
 class Adam:
@@ -466,8 +491,10 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
     if n < 1:
         return model
     first = at + 2 * np.arange(n + 1)  # each text between two ends
-    flat = np.full(len(ids) + 2 * n, model.end, np.int32)
-    flat[np.arange(len(ids)) + np.repeat(2 * np.arange(n) + 1, np.diff(at))] = model.symbol[ids]
+    flat = np.full(CONTEXT + len(ids) + 2 * n + SPAN, model.end, np.int64)  # windows reach over both ends of the texts
+    inside = np.ones(len(ids) + 2 * n, bool)
+    inside[first[:-1]] = inside[first[1:] - 1] = False
+    flat[CONTEXT : CONTEXT + len(inside)][inside] = np.take(model.symbol, ids)
     counts = -(-(np.diff(first) - 1) // STRIDE)
     docs, offsets = np.repeat(np.arange(n), counts), STRIDE * ragged(np.zeros(n, np.int64), counts)
     draw = np.random.default_rng(seed)
@@ -479,51 +506,55 @@ def train(model: Model, ids: np.ndarray, at: np.ndarray, steps: int | None = TRA
     steps = -(-len(docs) // BATCH_WINDOWS) if steps is None else steps
     state["t"] = begun + steps
     passes = np.concatenate([draw.permutation(len(docs)) for _ in range(-(-steps * BATCH_WINDOWS // len(docs)))]) if steps else ()
-    distance = np.clip(np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :], 0, SPAN - 1)
+    distance = np.clip(np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :], 0, SPAN - 1).ravel()
     members = model.to_symbol.reshape(CLASSES, CLASSES, WIDTH)
+    sizes, ahead, within = np.diff(first) - 1, np.arange(SPAN + 1), np.arange(-CONTEXT, STRIDE)
     for t in range(begun + 1, begun + steps + 1):
         chosen = passes[(t - begun - 1) * BATCH_WINDOWS : (t - begun) * BATCH_WINDOWS]
         d, o = docs[chosen], offsets[chosen]
-        size = np.diff(first)[d] - 1
-        place = o[:, None] + np.arange(-CONTEXT, STRIDE)
-        p = first[d][:, None] + np.clip(place, 0, size[:, None] - 1)
-        x, y = np.take(flat, p), np.take(flat, p[:, CONTEXT:] + 1).ravel()
-        h, a, over, mean, q, k, v = model.attend(x, place >= 0)
+        place = o[:, None] + within
+        z = np.take(flat, (first[d] + o)[:, None] + ahead)
+        x, y = z[:, :-1], z[:, CONTEXT + 1 :].ravel()
+        if (t - begun) % 16 == 1:  # a step moves a weight by at most the rate
+            steep = model.steep()
+        h, a, over, mean, q, k, v = model.attend(x, place >= 0, steep)
         # rows sorted by the class of what follows, places after the text's end left out
         order = np.argsort((y // CLASSES).astype(np.uint8), kind="stable")
-        order = order[(place[:, CONTEXT:] < size[:, None]).ravel()[order]]
+        order = order[(place[:, CONTEXT:] < sizes[d][:, None]).ravel()[order]]
         hs, y = np.take(h.reshape(-1, WIDTH), order, 0), y[order]
-        top, low, bounds = model.logits(hs, x[:, CONTEXT:].ravel()[order], y // CLASSES)
+        cls = y // CLASSES
+        top, low, bounds = model.logits(hs, x[:, CONTEXT:].ravel()[order], cls)
         i, scale = np.arange(0, CLASSES * len(y), CLASSES), np.float32(1 / len(y))
-        for g, hit in ((top, y // CLASSES), (low, y % CLASSES)):
-            _softmax(g, scale).ravel()[i + hit] -= scale
-        own = top @ model.to_class
+        for g, hit in ((top, cls), (low, y - CLASSES * cls)):
+            _softmax(g, scale, steep).ravel()[i + hit] -= scale
+        own, by_low = top @ model.to_class, np.empty_like(hs)
         np.matmul(top.T, hs, out=grads["to_class"])
-        grads["to_symbol"][...] = 0
         by_class = grads["to_symbol"].reshape(CLASSES, CLASSES, WIDTH)
-        for c in np.flatnonzero(np.diff(bounds)):
-            mine = slice(bounds[c], bounds[c + 1])
-            np.matmul(low[mine].T, hs[mine], out=by_class[c])
-            own[mine] += low[mine] @ members[c]
+        for c, (i, j) in enumerate(itertools.pairwise(bounds)):
+            if i < j:
+                np.matmul(low[i:j].T, hs[i:j], out=by_class[c])
+                np.matmul(low[i:j], members[c], out=by_low[i:j])
+            else:
+                by_class[c] = 0
+        own += by_low
         hs *= hs
         np.subtract(1, hs, out=hs)
         own *= hs
-        at_last, at_all = np.zeros((*h.shape[:2], 2 * WIDTH), np.float32), np.empty((*x.shape, 2 * WIDTH), np.float32)
-        at_last.reshape(-1, 2 * WIDTH)[order, :WIDTH] = own
-        dz = at_last[:, :, :WIDTH]
+        dz = np.zeros(h.shape, np.float32)
+        dz.reshape(-1, WIDTH)[order] = own
         through = dz * over  # the weights in a are not divided by their sums
         da = np.matmul(through, v.transpose(0, 2, 1))
         mean *= through
         da -= np.matmul(mean, np.ones((WIDTH, 1), np.float32))
         da *= a
-        grads["place"][...] = np.bincount(distance.ravel(), da.sum(0).ravel(), SPAN)
-        np.matmul(da, k, out=at_last[:, :, WIDTH:])
-        at_last[:, :, WIDTH:] *= np.float32(1 / math.sqrt(WIDTH))  # q is scaled already
-        np.matmul(da.transpose(0, 2, 1), q, out=at_all[:, :, :WIDTH])
-        np.matmul(a.transpose(0, 2, 1), through, out=at_all[:, :, WIDTH:])
-        cells = WIDTH * x.astype(np.int64)[:, :, None] + np.arange(WIDTH)
-        _summed(cells[:, CONTEXT:], at_last, grads["own"], grads["query"])
-        _summed(cells, at_all, grads["key"], grads["value"])
+        grads["place"][...] = np.bincount(distance, da.sum(0).ravel(), SPAN)
+        all_pairs = np.take(_PAIRS, x, 0)
+        last_pairs = np.ascontiguousarray(all_pairs[:, CONTEXT:])
+        _sum_rows(dz, last_pairs, grads["own"])
+        _sum_rows(np.matmul(da, k), last_pairs, grads["query"])
+        grads["query"] *= np.float32(1 / math.sqrt(WIDTH))  # q is scaled already
+        _sum_rows(np.matmul(da.transpose(0, 2, 1), q), all_pairs, grads["key"])
+        _sum_rows(np.matmul(a.transpose(0, 2, 1), through), all_pairs, grads["value"])
         adam.step(rate * min(1.0, t / 50) * (1 - 0.9 * t / steps if falls else 1), t)
     return model
 
@@ -610,11 +641,51 @@ def encode_words(encoder: PieceEncoder, data: np.ndarray, offsets: np.ndarray) -
     words, at = split_words(data, offsets)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), words, at
-    rows = encoder._rows([b" " + w for w in words.dictionary.to_pylist()])[words.indices.to_numpy()]
-    size = encoder.size[rows]
-    ids = encoder.flat[ragged(encoder.first[rows], size)].astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(size)])
-    return ids, sums[at], words, at
+    return *_gathered(*subwords(encoder, words.dictionary), words.indices.to_numpy(), at), words, at
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words at these places of `subwords`, and the offsets of the texts' ids; at: of the texts' words."""
+    size = np.take(sizes, places)
+    return np.take(flat, ragged(np.take(first, places), size)), np.concatenate([[0], np.cumsum(size)])[at]
+
+
+def subwords(encoder: PieceEncoder, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words with a space before each, where each word's begin, how many they are.
+
+    Words are encoded in one call, as a space after any character but white space begins a new piece; words that end
+    in white space outside ASCII, or in a control character, go through the tokenizer one by one.
+    """
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    end = bounds[1:]
+    three = sum(data[np.maximum(end - 1 - i, 0)].astype(np.int64) << 8 * i for i in range(3))
+    last = three & 0xFF
+    apart = (last < 0x21) | (last == 0x7F) | ((last >= 0x80) & (np.isin(three, _ODD_ENDS) | np.isin(three & 0xFFFF, _ODD_ENDS)))
+    together = np.flatnonzero(~apart)
+    size = np.zeros(n, np.int64)
+    ids = np.zeros(0, np.int64)
+    if len(together):
+        length = np.diff(bounds)[together]
+        ends = np.cumsum(length + 1)
+        joined = np.full(int(ends[-1]), 32, np.uint8)
+        inside = np.ones(len(joined), bool)
+        inside[ends - length - 1] = False
+        joined[inside] = data[bounds[0] : bounds[-1]] if len(together) == n else data[ragged(bounds[:-1][together], length)]
+        try:
+            ids = encoder.joined.encode_to_numpy(joined.tobytes().decode()).astype(np.int64)
+            size[together] = np.diff(np.searchsorted(np.cumsum(encoder.bytes_of[ids]), ends) + 1, prepend=0)
+        except UnicodeDecodeError:  # bytes that are no UTF-8 are replaced, which changes the lengths
+            apart, together = np.ones(n, bool), together[:0]
+    one = [encoder.tokenizer.encode((b" " + words[i].as_py()).decode("utf-8", "replace"), add_special_tokens=False).ids for i in np.flatnonzero(apart).tolist()]
+    size[apart] = [len(x) for x in one]
+    first = np.empty(n, np.int64)
+    order = np.concatenate([together, np.flatnonzero(apart)])
+    first[order] = np.cumsum(size[order]) - size[order]
+    return np.concatenate([ids, np.array([i for x in one for i in x], np.int64)]), first, size
 
 
 def known_words(words: DataFrame) -> tuple[pa.Array, np.ndarray]:
@@ -653,8 +724,9 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, known_n, (often, often_n, before) = shared.value
+        count_of = dict(zip(known.to_pylist(), known_n.tolist(), strict=True))
         row = TaskContext.get().partitionId() << 36
-        ends = known_n[pc.index(known, b"").as_py()] if len(known) else 0
+        ends = count_of.get(b"", 0)
         end_value = math.log10((ends + 0.5) / whole)
         nulls = lambda n, f: pa.nulls(n, schema.field(f).type)
         for batch in batches:
@@ -663,8 +735,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, id_col: str = "doc_
                 n = hi - lo
                 ids, at = all_ids[all_at[lo] : all_at[hi]].astype(np.int64), all_at[lo : hi + 1] - all_at[lo]
                 words, word_at = words_of(ids, at, tokenizer)
-                place = pc.fill_null(pc.index_in(words.dictionary, known), -1).to_numpy() if len(known) else np.full(len(words.dictionary), -1)
-                counts = np.where(place >= 0, known_n[place] if len(known) else 0, -1)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                counts = np.fromiter(map(count_of.get, words.dictionary.to_pylist(), itertools.repeat(-1)), np.int64, len(words.dictionary))[words.indices.to_numpy()]
                 whose = np.repeat(np.arange(n), np.diff(word_at))
                 found = counts >= 0
                 base = np.bincount(whose[found], np.log10((counts[found] + 0.5) / whole), n) + end_value

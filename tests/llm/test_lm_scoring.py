@@ -194,3 +194,37 @@ def test_training_step_is_that_of_the_loss(docs, tokenizer):
                 getattr(model, k).ravel()[cell] += sign * 1e-2
                 losses.append(-model.each(ids, at).sum() + model.rare[ids].sum())
             assert g.ravel()[cell] == pytest.approx((losses[0] - losses[1]) / 2e-2 / (len(ids) + 1), rel=2e-2, abs=1e-4)
+
+
+def test_words_are_encoded_together_as_one_by_one(odd, tokenizer):
+    """One call for all distinct words gives each word the ids of a call of its own, whatever it ends in."""
+    import pyarrow as pa
+
+    ends = [" ", "\x85", " ", "　", " ", "\x7f", "\x01", "é", "你", "\U0001f600", "'s", "9", "<|endoftext|>", "́"]
+    words = [w.encode() for w in ["the", "1st", " x", "a　b", *[a + e for a in ("", "x", "ü") for e in ends]]]
+    words += sorted({w for r in odd.collect() for w in (r["text"] or "").encode().lower().split()} - set(words))
+    encoder = pieces.encoder(tokenizer, special=False)
+    for some in (words, [*words, b"\xff\xfe", b"a\xc2"], words[:1], ["　".encode()], []):
+        flat, first, size = lm_scoring.subwords(encoder, pa.array(some, pa.large_binary()))
+        want = [encoder.tokenizer.encode((b" " + w).decode("utf-8", "replace"), add_special_tokens=False).ids for w in some]
+        assert [flat[i : i + n].tolist() for i, n in zip(first, size, strict=True)] == want
+
+
+def test_groups_of_a_batch_share_their_words(spark, tokenizer):
+    """Texts of several groups of pieces.GROUP bytes: ids of each and word counts over all but those held out."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"{w} x{k % 3}{i}" for i in range(300_000)) for k, w in enumerate(("the", "And", "你　 the"))] + [None, ""]
+    assert sum(len(t or "") for t in texts) > 2 * pieces.GROUP
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = lm_scoring.encoded(docs, F.col("doc_id") == 1, tokenizer).collect()
+    got = {r["_id"]: r for r in rows if r["word"] is None}
+    want = Counter(w for k, t in enumerate(texts) if k != 1 for w in [*(t or "").encode().lower().split(), b""])
+    sums = Counter()
+    for r in rows:
+        if r["word"] is not None:
+            sums[bytes(r["word"])] += r["n"]
+    assert sums == want
+    for k, t in enumerate(texts):
+        ids, at = lm_scoring.encode_words(pieces.encoder(tokenizer, special=False), *pieces.as_bytes(pa.array([t], pa.string())))[:2]
+        assert np.array_equal(np.frombuffer(got[k]["ids"], "<u2"), ids) and got[k]["n_words"] == len((t or "").encode().split()) and got[k]["held_out"] == (k == 1)
