@@ -360,10 +360,11 @@ v AS (
 SELECT course, feature, count(*) AS n, CAST(sum(milli) AS BIGINT) AS total_milli, min(milli) / 1000 AS low, max(milli) / 1000 AS high FROM v GROUP BY 1, 2
 """, fixtures=False)
 def synthetic_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The charts made for every customer, by course and feature."""
+    """The charts made for every customer, by course and feature. Charts are summed up by subject, where they are made, before they meet the courses: Spark takes the made table for as small as its subjects and would broadcast it."""
     made = G.related_tables(X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id")))
-    got = made["chartevents"].join(made["truth"].select("subject_id", "course"), "subject_id").groupBy("course", "feature")
-    return got.agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("total_milli"), F.min("value").alias("low"), F.max("value").alias("high"))
+    own = made["chartevents"].groupBy("subject_id", "feature").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("total_milli"), F.min("value").alias("low"), F.max("value").alias("high"))
+    got = own.join(made["truth"].select("subject_id", "course").hint("merge"), "subject_id").groupBy("course", "feature")
+    return got.agg(F.sum("n").alias("n"), F.sum("total_milli").alias("total_milli"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 @R.add(f"""{_SUBJECTS}

@@ -45,7 +45,9 @@ def related_tables(subjects: DataFrame, seed: int = 1) -> dict[str, DataFrame]:
     and the same key always has the same rows. Null subjects are left out, repeated ones are one; an empty table gives empty tables.
     """
     u = lambda what: unit_interval(F.lit(seed), F.col("subject_id"), F.lit(what))
-    s = subjects.where("subject_id is not null").select("subject_id").distinct()
+    # subjects are few bytes and many rows: a fixed number of tasks, else Spark would put them together in one or two
+    n = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = subjects.where("subject_id is not null").select("subject_id").repartition(n, "subject_id").distinct()
     course = F.element_at(F.array(*[F.lit(c) for c in COURSES]), F.floor(u("course") * 4).cast("int") + 1)
     s = s.select("subject_id", (F.col("subject_id") * 10 + 1).alias("hadm_id"), (F.col("subject_id") * 10 + 2).alias("icustay_id"), course.alias("course"), (u("discordant") < 0.25).alias("discordant"), F.when(u("system") < 0.5, "metavision").otherwise("carevue").alias("dbsource"), F.timestamp_add("DAY", F.floor(u("day") * 3650).cast("int"), F.lit("2100-01-01 00:00:00").cast("timestamp")).alias("intime"), F.floor(u("event") * 36).cast("int").alias("_at"))
     s = s.withColumn("event_hour", F.when(F.col("course") != "stable", F.col("_at") + 24)).drop("_at").withColumn("onset", F.when(F.col("discordant"), LATE_ONSET).otherwise(ONSET))

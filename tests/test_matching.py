@@ -119,6 +119,12 @@ def test_generated_tables_hang_together(spark):
     assert all(t.count() == 0 for n, t in G.related_tables(subjects.limit(0)).items() if not n.startswith("d_"))
 
 
+def test_made_charts_are_not_broadcast(spark, tiny):
+    """Spark's estimate of the charts is that of their subjects."""
+    plan = registry.QUERIES["synthetic_charts"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(subject_id") == 2  # charts and courses stay where their subjects are
+
+
 def one_pass(cases, controls, k, near=6.0, far=12.0, seed=1):
     """(match_set, id) of the one pass over all cases by falling clock. Rows: (id, subject, block, clock)."""
     wanted = set()
