@@ -108,3 +108,16 @@ def test_means_by_group(spark):
         means = [sum(m[i][r] * v for i, v in own) / sum(m[i][r] for i, _ in own) for r in range(40)]
         assert got[g]["n"] == len(own) and got[g]["low"] == pytest.approx(np.quantile(means, 0.025)) and got[g]["high"] == pytest.approx(np.quantile(means, 0.975))
     assert got["one"]["n"] == 1 and got["one"]["low"] is None
+
+
+def test_counts_of_workers_are_the_draws(spark):
+    rows = spark.createDataFrame([("a",), ("7",), (None,), ("é|1",), ("",)], "c string").select(Z._key(F.col("c")).alias("k"), Z.draws(F.col("c"), 60, 3).alias("m")).collect()
+    assert Z._counts([r["k"] for r in rows], 60, 3).tolist() == [r["m"] for r in rows]
+    assert Z._counts([r["k"] for r in rows], 20, 3, first=41).tolist() == [r["m"][40:] for r in rows]
+
+
+def test_rows_of_one_file_are_drawn_in_many_tasks(spark):
+    """A row costs a digest for each replicate, so one partition of a small file is too much for a task."""
+    df = spark.range(400).selectExpr("id", "cast(id % 7 as double) v").coalesce(1)
+    plan = Z.mean_bootstrap(df, [], "id", "v", 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("RoundRobinPartitioning")
