@@ -41,8 +41,8 @@ def logistic(c: float, rows: int, **more) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(1, rows)), elasticNetParam=0.0, standardization=False, maxIter=200, **more)
 
 
-def forest(seed: int = 1) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=100, maxDepth=12, minInstancesPerNode=50, featureSubsetStrategy="all", seed=seed)
+def forest(seed: int = 1, trees: int = 100, depth: int = 12, least: int = 50) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="all", seed=seed)
 
 
 def dense_stages(continuous: list[str], binary: list[str]) -> list:

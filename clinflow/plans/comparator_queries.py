@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clinflow.operators import cohort as C
 from clinflow.operators import features as H
+from clinflow.operators import forest as W
 from clinflow.operators import models as M
 from clinflow.operators import text as T
 from clinflow.plans import cohort_queries as Q
@@ -149,7 +150,7 @@ def forest_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = X.scores(spark, sf_dir).withColumn("label", F.col("y").cast("double")).withColumn("has_note", (F.col("fold") % 2).cast("double"))
     s = s.withColumn("note_category_nursing", (F.col("source") == "2-HIGH").cast("double")).withColumn("p_gap", F.when(F.col("p_base") > 0.1, F.col("p_base")))
     role = M.roles(["p_aug", "p_gap", "has_note", "note_category_nursing"])
-    got = M.crossfit(s, [*M.dense_stages(role["continuous"], role["binary"]), M.forest()], "fold", "case_id")
+    got = W.crossfit_forest(s, role["continuous"], role["binary"], "label", "fold", "case_id")
     return got.select("case_id", "fold", F.round("probability", 4).alias("probability"))
 
 
