@@ -1,4 +1,8 @@
-"""Greedy matching in rounds: the choices of one pass over all cases, made by many tasks.
+"""Greedy matching: the choices of one pass over all cases, block beside block, and in rounds where a block is large.
+
+A block of at most PASS rows is gone through in one task, case by case, with the free controls in the order of the clock:
+a case looks at those nearest to it and at more only while it lacks subjects. Larger blocks go in rounds. Where controls are scarce a
+round settles few cases, so rounds are for what one task should not hold.
 
 In a pass a case takes its k best controls that no earlier case has taken, or none. Which controls it takes depends on
 earlier cases only through the subjects that these may take. A round therefore
@@ -30,6 +34,8 @@ from clinflow.shared import materialise
 
 #: Best subjects of a case that a round looks at (for each control wanted), controls and cases of a task.
 LIST, SLICE, CHUNK = 8, 50_000, 2_000
+#: Cases and controls of a block that one task goes through.
+PASS = 500_000
 
 
 def _best(case: tuple, pool: dict[str, np.ndarray], k: int, near: float, far: float, category: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -93,6 +99,104 @@ def _settle(cases: Iterable[tuple], k: int, shut: bool = False) -> tuple[list, s
     return done, taken | maybe, False
 
 
+class _Free:
+    """Rows in the order of the clock; `at` are their places in the block's columns."""
+
+    def __init__(self, at: np.ndarray, clock: np.ndarray):
+        self.at = at[np.argsort(clock[at], kind="stable")]
+        self.clock = clock[self.at]
+
+    def keep(self, free: np.ndarray) -> None:
+        self.at, self.clock = self.at[free[self.at]], self.clock[free[self.at]]
+
+
+def _one_pass(cases: pd.DataFrame, rows: pd.DataFrame, k: int, near: float, far: float, category: bool) -> list[tuple[int, list[tuple[int, float, int]]]]:
+    """Matched cases of one block, in order: the case's place, and place, distance and priority of each of its rows."""
+    subjects = pd.factorize(pd.concat([cases["subject_id"], rows["subject_id"]], ignore_index=True), use_na_sentinel=False)[0]
+    own, subject = subjects[: len(cases)], subjects[len(cases) :]
+    kinds = {c: pd.factorize(pd.concat([cases[c], rows[c]], ignore_index=True))[0] for c in ("category", "exact")}
+    if rows["exact"].isna().all():  # not asked for
+        kinds["exact"][:] = 0
+    clock, jitter, place = rows["clock"].to_numpy(), rows["jitter"].to_numpy(), rows["id"].rank(method="first").to_numpy()
+    group, sort = kinds["exact"][len(cases) :], kinds["category"][len(cases) :]
+    used = np.zeros(int(subjects.max()) + 1, bool)
+    pools: dict[tuple, _Free] = {}
+    taken = 0
+
+    def pool(e: int, c: int | None) -> _Free:
+        if (e, c) not in pools:
+            here = (group == e) & ~used[subject]
+            pools[e, c] = _Free(np.flatnonzero(here if c is None else here & (sort == c)), clock)
+        return pools[e, c]
+
+    def nearest(some: _Free, t: float, banned: list[int], want: int, other: int | None) -> np.ndarray:
+        """Places of the best row of each of the `want` best subjects by distance, jitter and id."""
+        reach = far / 64
+        while True:
+            whole = reach >= far
+            reach = min(reach, far)
+            lo, hi = some.clock.searchsorted(t - reach, "left"), some.clock.searchsorted(t + reach, "right")
+            at = some.at[lo:hi]
+            good = ~used[subject[at]]
+            for b in banned:
+                good &= subject[at] != b
+            if other is not None:
+                good &= sort[at] != other
+            at = at[good]
+            if len(at) >= want or whole:
+                d = np.abs(clock[at] - t)
+                order = np.lexsort((place[at], jitter[at], d))
+                first = np.sort(np.unique(subject[at[order]], return_index=True)[1])[:want]
+                # what lies at the edge of the reach may have equals beyond it
+                if whole or len(first) == want and d[order[first[-1]]] < 0.99 * reach:
+                    return at[order[first]]
+            reach *= 4
+
+    out = []
+    for i, (t, me, c, e) in enumerate(zip(cases["clock"].to_numpy(), own, kinds["category"][: len(cases)], kinds["exact"][: len(cases)], strict=True)):
+        if used[me] or e < 0:
+            continue
+        if not category:
+            got, late = nearest(pool(e, None), t, [me], k, None), 0
+        else:
+            got = nearest(pool(e, c), t, [me], k, None) if c >= 0 else np.zeros(0, int)
+            late = np.zeros(len(got), int)
+            if len(got) < k:
+                more = nearest(pool(e, None), t, [me, *subject[got]], k - len(got), c if c >= 0 else None)
+                got, late = np.append(got, more), np.append(late, np.full(len(more), 2))
+        if len(got) < k:
+            continue
+        d = np.abs(clock[got] - t)
+        out.append((i, list(zip(got.tolist(), d.tolist(), (late + (d > near)).tolist(), strict=True))))
+        used[subject[got]] = used[me] = True
+        taken += k
+        if taken * 8 > len(rows):  # rows of used subjects are dropped now and then
+            taken, free = 0, ~used[subject]
+            for some in pools.values():
+                some.keep(free)
+    return out
+
+
+def _passed(cases: DataFrame, pool: DataFrame, tasks: int, k: int, near: float, far: float, category: bool, id_type: str, subject_type: str) -> DataFrame:
+    """Matched rows of blocks that are gone through in a task each."""
+    names = ["match_set", "id", "subject_id", "label", "distance", "match_priority"]
+
+    def work(_: tuple, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(rows):
+            return pd.DataFrame(columns=names)
+        own = own.sort_values("ord").reset_index(drop=True)
+        case_id, case_subject, id_, subject = own["id"].tolist(), own["subject_id"].tolist(), rows["id"].tolist(), rows["subject_id"].tolist()
+        out = []
+        for i, got in _one_pass(own, rows, k, near, far, category):
+            out.append((str(case_id[i]), case_id[i], case_subject[i], 1, 0.0, 0))
+            out += [(str(case_id[i]), id_[at], subject[at], 0, d, late) for at, d, late in got]
+        return pd.DataFrame(out, columns=names)
+
+    kind = f"match_set string, id {id_type}, subject_id {subject_type}, label int, distance double, match_priority int"
+    both = [d.repartition(tasks, "block").groupBy("block") for d in (cases, pool)]  # by number, as few bytes would be put together in one task
+    return both[0].cogroup(both[1]).applyInPandas(work, kind)
+
+
 def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int = 3, near: float = 6.0, far: float = 12.0, seed: int = 1, order: str = "hardest", category: str | None = None, exact: str | None = None) -> DataFrame:
     """match_set, id, subject_id, label, distance: greedy 1:k matching by distance on the clock, all or nothing, without replacement of subjects.
 
@@ -114,6 +218,17 @@ def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int
     if exact:
         pool = pool.where("exact is not null")
     pool = materialise(pool)
+    sizes = materialise(waiting.select("block").unionAll(pool.select("block")).groupBy("block").agg((F.count("*") > PASS).alias("large")))
+    small, large = (sizes.where(c).count() for c in ("not large", "large"))
+    names = ["match_set", "id", "subject_id", "label", "distance", *(["match_priority"] if category else [])]
+    whole = None
+    if small:
+        tasks = min(4 * small, int(waiting.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        only = (lambda d: d.join(F.broadcast(sizes.where("large")), "block", "left_anti")) if large else (lambda d: d)  # of large blocks there are at most rows / PASS
+        whole = _passed(only(waiting), only(pool), tasks, k, near, far, bool(category), id_type, subject_type).select(*names)
+        if not large:
+            return materialise(whole)
+        waiting, pool = (materialise(d.join(F.broadcast(sizes.where("large")), "block", "left_semi")) for d in (waiting, pool))
     place = ["block", *(["exact"] if exact else []), "slice"]
     salts = materialise(pool.groupBy(*place).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("salts")))
     pool = pool.join(salts, place).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long"))).drop("salts")
@@ -128,10 +243,9 @@ def match(cases: DataFrame, controls: DataFrame, block: str, clock: str, k: int
         used = materialise(taken if used is None else used.unionByName(taken))
         # a case whose subject was taken as a control is not matched
         waiting = materialise(waiting.join(settled.where("head").select("block", "ord"), ["block", "ord"], "left_anti").join(used, ["block", "subject_id"], "left_anti").select(*waiting.columns))
-    names = ["match_set", "id", "subject_id", "label", "distance", *(["match_priority"] if category else [])]
     if out is None:
         out = cases.sparkSession.createDataFrame([], f"match_set string, id {id_type}, subject_id {subject_type}, label int, distance double, match_priority int")
-    return out.select(*names)
+    return out.select(*names) if whole is None else out.select(*names).unionByName(materialise(whole))
 
 
 def _lists(waiting: DataFrame, free: DataFrame, salts: DataFrame, place: list[str], length: int, near: float, far: float, category: bool, id_type: str, subject_type: str, block_type: str) -> DataFrame:

@@ -171,3 +171,28 @@ def test_matching_of_nothing(spark):
     none = spark.createDataFrame([], "id long, subject_id long, block string, clock double")
     some = spark.createDataFrame([(1, 1, "a", 1.0)], none.schema)
     assert C.match(none, some, "block", "clock").count() == 0 and C.match(some, none, "block", "clock").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 60])
+def test_large_blocks_go_in_rounds(spark, monkeypatch, most):
+    """All blocks in rounds, or the one of 85 rows, and that of 49 in one task."""
+    from clinflow.operators import matching
+
+    monkeypatch.setattr(matching, "PASS", most)
+    test_rounds_equal_one_pass(spark, monkeypatch, 3, 4, 1, 7)
+    test_snapshot_match_equals_brute_force(spark)
+
+
+@pytest.mark.parametrize("near", [6.0, 0.3])
+def test_scarce_controls_and_equal_clocks_take_few_jobs(spark, near):
+    """Many subjects share every clock and most controls are soon taken: rounds settle a handful of cases each."""
+    draw = random.Random(3)
+    at = [draw.randrange(0, 40) / 4 for _ in range(20)]
+    cases = [(i, i % 170, draw.choice("uv"), at[i % 20]) for i in range(200)]
+    controls = [(1000 + i, 150 + i % 140, draw.choice("uv"), at[i % 20] + draw.choice([0, 0, 0.25])) for i in range(260)]
+    df = lambda rows: spark.createDataFrame(rows, "id long, subject_id long, block string, clock double").repartition(3)
+    spark.sparkContext.setJobGroup("match", "match")
+    got = {(r["match_set"], r["id"]) for r in C.match(df(cases), df(controls), "block", "clock", k=3, near=near, far=2.0).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("match"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == one_pass(cases, controls, 3, near, 2.0) and len(got) > 100 and jobs < 40
