@@ -191,8 +191,31 @@ def test_scarce_controls_and_equal_clocks_take_few_jobs(spark, near):
     cases = [(i, i % 170, draw.choice("uv"), at[i % 20]) for i in range(200)]
     controls = [(1000 + i, 150 + i % 140, draw.choice("uv"), at[i % 20] + draw.choice([0, 0, 0.25])) for i in range(260)]
     df = lambda rows: spark.createDataFrame(rows, "id long, subject_id long, block string, clock double").repartition(3)
-    spark.sparkContext.setJobGroup("match", "match")
+    spark.sparkContext.setJobGroup(f"match {near}", "match")
     got = {(r["match_set"], r["id"]) for r in C.match(df(cases), df(controls), "block", "clock", k=3, near=near, far=2.0).collect()}
-    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("match"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"match {near}"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == one_pass(cases, controls, 3, near, 2.0) and len(got) > 100 and jobs < 40
+
+
+def test_scarce_snapshots_take_few_jobs(spark):
+    """More cases than controls can serve, of several categories and sources, with equal clocks."""
+    draw = random.Random(9)
+    row = lambda i, s: (i, s, draw.choice("xy"), draw.choice(["a", "b", None]), draw.randrange(0, 60) / 2)
+    cases, controls = [row(i, i) for i in range(90)], [row(100 + i, 80 + i // 2) for i in range(220)]
+    whole = lambda rows: spark.createDataFrame(rows, "id long, subject_id long, source string, category string, clock double").withColumn("all", F.lit(1))
+    spark.sparkContext.setJobGroup("snapshots", "snapshots")
+    got = {(r["match_set"], r["id"], r["match_priority"]) for r in C.match(whole(cases), whole(controls), "all", "clock", k=3, category="category", exact="source").collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("snapshots"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    wanted, used = set(), set()
+    for i, s, source, cat, clock in sorted(cases, key=lambda c: (c[2], c[3] is None, c[3] or "", c[4], c[1])):
+        options = sorted((2 * (cat is None or cat != other) + (abs(at - clock) > 6), abs(at - clock), unit(1, j), j, t) for j, t, b, other, at in controls if b == source and abs(at - clock) <= 12 and t not in used and t != s)
+        best = {}
+        for o in options:
+            best.setdefault(o[4], o)
+        if s not in used and len(best) >= 3:
+            took = sorted(best.values())[:3]
+            used |= {s} | {o[4] for o in took}
+            wanted |= {(str(i), i, 0)} | {(str(i), o[3], o[0]) for o in took}
+    assert got == wanted and len(got) > 60 and jobs < 40
