@@ -28,6 +28,8 @@ from clinflow.shared import materialise
 REPLACED, ROWS = 0.05, 4_096
 #: Rows whose scores one task puts in order.
 RANGE = 4_000_000
+#: Rows whose draws are added up together, replicates at once, rows of which a task at most keeps the sums.
+BLOCK, WIDTH, SUMS = 1 << 19, 105, 20_000
 
 
 def attempts(replicates: int) -> int:
@@ -201,6 +203,64 @@ def mean_bootstrap(df: DataFrame, keys: list[str], id_: str, value: str, replica
     return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "n", F.when(F.col("n") > 1, F.col("q")[0]).alias("low"), F.when(F.col("n") > 1, F.col("q")[1]).alias("high"))
 
 
+def _summed(cells: DataFrame, cluster: str, names: list[str], number: str, replicates: int, seed: int, rows: int) -> DataFrame:
+    """names and _m (32-bit counts as bytes): how often rows that agree in all names are drawn in each replicate. cells: `rows` rows of cluster, names, number of rows.
+
+    Clusters are drawn where their rows are, once; a task sends on a row for each distinct row of its block, so what is shuffled follows the distinct rows.
+    """
+    spark = cells.sparkSession
+    fields = [f for f in cells.schema.fields if f.name in names]
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    order = [f.name for f in fields]
+    types = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.float64() for f in fields}
+
+    def combined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(held)
+        seen, which = np.unique(np.column_stack([block[c].to_numpy().astype(np.float64) for c in order]), axis=0, return_inverse=True)
+        own = block["_k"].combine_chunks().dictionary_encode()
+        at = np.argsort(which.ravel(), kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(which.ravel()[at]) != 0))
+        clusters, drawn, n = own.dictionary.to_pylist(), own.indices.to_numpy()[at], block["_n"].to_numpy()[at]
+        for a in range(0, replicates, WIDTH):
+            m = np.concatenate([_counts(clusters[i : i + 2048], min(WIDTH, replicates - a), seed, a + 1) for i in range(0, len(clusters), 2048)])
+            v = m[drawn] if (n == 1).all() else m[drawn] * n[:, None]
+            sums = np.add.reduceat(v, starts, axis=0, dtype=np.int32)
+            if sums.max() < 1 << 15:
+                sums = sums.astype(np.int16)
+            for i in range(0, len(seen), ROWS):
+                some = seen[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([*(pa.array(some[:, j].astype(types[c].to_pandas_dtype()), types[c]) for j, c in enumerate(order)), pa.array(np.full(len(some), a, np.int32)), pa.array([x.tobytes() for x in sums[i : i + ROWS]], pa.binary())], [*order, "at", "sums"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield from combined(held)
+                held, n = [], 0
+        if n:
+            yield from combined(held)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple, int] = {}
+        total: list[np.ndarray] = []
+        for batch in batches:
+            for *key, a, x in zip(*(batch.column(c).to_pylist() for c in (*order, "at", "sums")), strict=True):
+                if (i := place.setdefault(tuple(key), len(total))) == len(total):
+                    total.append(np.zeros(replicates, np.int32))
+                width = min(WIDTH, replicates - a)
+                total[i][a : a + width] += np.frombuffer(x, f"i{len(x) // width}")
+        keys = list(place)
+        for i in range(0, len(keys), ROWS):
+            columns = zip(*keys[i : i + ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, types[c]) for x, c in zip(columns, order, strict=True)), pa.array([x.tobytes() for x in total[i : i + ROWS]], pa.binary())], [*order, "_m"])
+
+    dealt = cells.select(_key(F.col(cluster)).alias("_k"), *order, F.col(number).alias("_n")).repartition(max(spark.sparkContext.defaultParallelism, -(-rows // BLOCK)), "_k")
+    parts = dealt.mapInArrow(blocks, f"{kind}, at int, sums binary")
+    return parts.repartition(max(spark.sparkContext.defaultParallelism, -(-rows // SUMS)), *order).mapInArrow(added, f"{kind}, _m binary")
+
+
 class _Refit:
     """Weighted logistic models of all (replicate, fold, set of features) at once: features are columns of one matrix whose first is 1."""
 
@@ -210,7 +270,7 @@ class _Refit:
 
     def matrix(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x = np.column_stack([np.ones(part.num_rows), *(part.column(f"_x{i}").to_numpy() for i in range(self.d - 1))])
-        return x, part.column("_y").to_numpy(), part.column("_f").to_numpy(), _vectors(part.column("_m"), part.num_rows).astype(np.float64)
+        return x, part.column("_y").to_numpy(), part.column("_f").to_numpy(), np.frombuffer(b"".join(part.column("_m").to_pylist()), np.int32).reshape(part.num_rows, -1).astype(np.float64)
 
     def moments(self, x, y, fold, m) -> np.ndarray:
         """(fold, replicate, weight of cases and of all, sums, sums of squares)."""
@@ -283,6 +343,7 @@ def refit_bootstrap(df: DataFrame, cluster: str, label: str, fold: str, base: li
     """replicate, auc_base, auc_more, delta: clusters are drawn, folds stay, and the logistic models of `base` and of `base` and `more` are fitted again
     outside each fold and score it.
 
+    Rows that agree in label, fold and features are one row with the sum of their draws, so refits cost what the distinct rows cost.
     A Newton step is one aggregation for all replicates, folds and both models. Scores go to the task of their (model, replicate, range of scores). Features must
     be complete; rows without a label, fold or cluster are left out.
     """
@@ -291,8 +352,9 @@ def refit_bootstrap(df: DataFrame, cluster: str, label: str, fold: str, base: li
     rows = df.where(F.col(label).isNotNull() & F.col(fold).isNotNull() & F.col(cluster).isNotNull())
     cells = rows.groupBy(F.col(cluster).alias("_c"), F.col(label).cast("double").alias("_y"), F.col(fold).cast("int").alias("_f"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
     cells = cells.agg(F.count("*").alias("_n"))
-    table = _drawn(cells, "_c", most, seed, *[F.col(c) for c in cells.columns if c != "_c"])
-    table = materialise(table.withColumn("_m", F.transform("_m", lambda x: (x * F.col("_n")).cast("int"))))
+    cells = materialise(cells)
+    drawn = cells.count()
+    table = materialise(_summed(cells, "_c", [c for c in cells.columns if c not in ("_c", "_n")], "_n", most, seed, drawn))
     folds = sorted(r[0] for r in table.select("_f").distinct().collect())
     count = table.count()
     fit = _Refit(len(features), [list(range(len(base))), list(range(len(features)))], folds, most, penalty)
@@ -365,7 +427,7 @@ def _bounds(fit: _Refit, betas: list[np.ndarray], table: DataFrame, count: int)
     if ranges < 2:
         return [np.zeros((fit.r, 0)) for _ in betas]
     names = [f"_x{i}" for i in range(fit.d - 1)]
-    sample = table.where(F.pmod(F.xxhash64(*names, "_k"), F.lit(max(1, count // 2000))) == 0).select(*names).toPandas().to_numpy(np.float64)
+    sample = table.where(F.pmod(F.xxhash64(*names, "_y", "_f"), F.lit(max(1, count // 2000))) == 0).select(*names).toPandas().to_numpy(np.float64)
     x = np.column_stack([np.ones(len(sample)), sample])
     out = []
     for s, columns in enumerate(fit.sets):

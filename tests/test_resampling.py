@@ -121,3 +121,17 @@ def test_rows_of_one_file_are_drawn_in_many_tasks(spark):
     df = spark.range(400).selectExpr("id", "cast(id % 7 as double) v").coalesce(1)
     plan = Z.mean_bootstrap(df, [], "id", "v", 9)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("RoundRobinPartitioning")
+
+
+@pytest.mark.parametrize(("block", "width"), [(1 << 19, 105), (16, 4)])
+def test_draws_of_equal_rows_are_added_up(spark, monkeypatch, block, width):
+    """Rows of many clusters that agree in label, fold and features are one row for the refits."""
+    monkeypatch.setattr(Z, "BLOCK", block)
+    monkeypatch.setattr(Z, "WIDTH", width)
+    rows = [(i % 40 if i % 7 else 1000, float(i % 2), i % 3, (i % 4) / 7, 1 + (i % 5 == 0) * 40_000) for i in range(300)]
+    df = spark.createDataFrame(rows, "c int, y double, f int, x double, n long").repartition(3)
+    got = {(r["y"], r["f"], r["x"]): np.frombuffer(r["_m"], np.int32) for r in Z._summed(df, "c", ["y", "f", "x"], "n", 10, 1, 300).collect()}
+    m, wanted = drawn_counts(spark, [*range(40), 1000], 10), {}
+    for c, y, f, x, n in rows:
+        wanted[y, f, x] = wanted.get((y, f, x), 0) + n * np.array(m[c], np.int64)
+    assert len(got) == 12 and all((got[k] == v).all() for k, v in wanted.items())
