@@ -220,16 +220,17 @@ def _summed(cells: DataFrame, cluster: str, names: list[str], number: str, repli
         own = block["_k"].combine_chunks().dictionary_encode()
         at = np.argsort(which.ravel(), kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(which.ravel()[at]) != 0))
-        clusters, drawn, n = own.dictionary.to_pylist(), own.indices.to_numpy()[at], block["_n"].to_numpy()[at]
+        clusters, drawn, n = own.dictionary.to_pylist(), own.indices.to_numpy()[at], block["_n"].to_numpy()[at].astype(np.int32)
         for a in range(0, replicates, WIDTH):
             m = np.concatenate([_counts(clusters[i : i + 2048], min(WIDTH, replicates - a), seed, a + 1) for i in range(0, len(clusters), 2048)])
-            v = m[drawn] if (n == 1).all() else m[drawn] * n[:, None]
-            sums = np.add.reduceat(v, starts, axis=0, dtype=np.int32)
-            if sums.max() < 1 << 15:
-                sums = sums.astype(np.int16)
-            for i in range(0, len(seen), ROWS):
-                some = seen[i : i + ROWS]
-                yield pa.RecordBatch.from_arrays([*(pa.array(some[:, j].astype(types[c].to_pandas_dtype()), types[c]) for j, c in enumerate(order)), pa.array(np.full(len(some), a, np.int32)), pa.array([x.tobytes() for x in sums[i : i + ROWS]], pa.binary())], [*order, "at", "sums"])
+            for i in range(0, len(seen), ROWS):  # in slices of rows, so that no wide copy of the block is made
+                some, lo, hi = seen[i : i + ROWS], starts[i], starts[i + ROWS] if i + ROWS < len(seen) else len(drawn)
+                v = m[drawn[lo:hi]].astype(np.int32)
+                v *= n[lo:hi, None]
+                sums = np.add.reduceat(v, starts[i : i + ROWS] - lo, axis=0)
+                if sums.max() < 1 << 15:
+                    sums = sums.astype(np.int16)
+                yield pa.RecordBatch.from_arrays([*(pa.array(some[:, j].astype(types[c].to_pandas_dtype()), types[c]) for j, c in enumerate(order)), pa.array(np.full(len(some), a, np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], [*order, "at", "sums"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
